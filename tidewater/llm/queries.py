@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash
+from . import license_scan, packing, quality, sharding, simhash, substring_dedup
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_grouped_packing": packing.op2_grouped_packing,
     "op4_interleaved_shards": sharding.op4_interleaved_shards,
     "op7_golay_simhash": simhash.op7_golay_simhash,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
-ORACLE_SQL = {"op4_interleaved_shards": sharding.ORACLE}
+ORACLE_SQL = {"op4_interleaved_shards": sharding.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
