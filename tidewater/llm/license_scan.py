@@ -191,5 +191,5 @@ def op1_license_scan(spark, sf_dir: str, enough: float = 0.4) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"),
         F.concat_ws(",", labels(base)).alias("base_labels"), F.concat_ws(",", labels(F.concat(base, own))).alias("labels"),
-        F.coalesce(F.least(F.array_max("spans.share"), F.lit(1.0)), F.lit(0.0)).alias("score"), F.size("spans").cast("long").alias("n_spans"),
+        F.least(F.coalesce(F.array_max("spans.share"), F.lit(0.0)), F.lit(1.0)).alias("score"), F.size("spans").cast("long").alias("n_spans"),
     )
