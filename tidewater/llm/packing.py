@@ -15,38 +15,57 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import as_bytes, bounded_batches, buckets_for, ranked, stash
 
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 400_000
 
 #: A space at which a text is not cut.
 _INNER_SPACE = re.compile(r" (?=\s|$)")
 
 
-def _encoder(path: str):
-    """text -> ids as little-endian unsigned 32-bit bytes, with what was encoded before kept for each word.
+class _Encoder:
+    """Ids of a text as little-endian unsigned 32-bit bytes; the ids of words seen before are kept.
 
     The tokenizer's pattern always ends a piece before a space that another character than white
-    space follows, so a text's ids are those of its parts cut there, one after another.
+    space follows, so a text's ids are those of its parts cut there, one after another. New words are
+    encoded as one text and told apart by the tokens that begin with a space.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    cache: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        parts = text.split(" ")
-        first, rest = parts[0], parts[1:]
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
+        self.kept: dict[str, bytes] = {}
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.kept) > CACHE_WORDS:  # what was met first is what is met often
+            self.kept = dict(islice(self.kept.items(), CACHE_WORDS // 2))
+        plain = [w for w in words if " " not in w]
+        ids = np.array(self.tokenizer.encode("".join(" " + w for w in plain), add_special_tokens=False).ids, "<u4")
+        at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+        if len(at) != len(plain) + 1:
+            raise ValueError("the tokenizer doesn't cut before spaces")
+        self.kept.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, at, at[1:], strict=False))
+        self.kept.update((w, self.alone(" " + w)) for w in words if " " in w)
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
         if _INNER_SPACE.search(text):
             joined: list[str] = []
             for p in rest:
@@ -57,16 +76,17 @@ def _encoder(path: str):
                 else:
                     first += " " + p
             rest = joined
-        out = [cache.get(p) for p in rest]
+        out = list(map(self.kept.get, rest))
         if None in out:
-            new = list(dict.fromkeys(p for p, x in zip(rest, out, strict=True) if x is None))
-            for p, x in zip(new, tokenizer.encode_batch([" " + p for p in new], add_special_tokens=False), strict=True):
-                cache[p] = np.array(x.ids, "<u4").tobytes()
-            out = [cache[p] if x is None else x for p, x in zip(rest, out, strict=True)]
-        head = np.array(tokenizer.encode(first, add_special_tokens=False).ids, "<u4").tobytes() if first else b""
-        return head + b"".join(out)
-
-    return encode
+            self.learn(list(dict.fromkeys(p for p, x in zip(rest, out, strict=True) if x is None)))
+            out = [self.kept[p] if x is None else x for p, x in zip(rest, out, strict=True)]
+        return self.alone(first) + b"".join(out)
+
+
+@cache
+def _encoder(path: str) -> _Encoder:
+    """One for each worker, so that the next task finds the words of the last."""
+    return _Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
