@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from . import license_scan, packing, quality, sharding, simhash, substring_dedup
+import corpus_pipeline
+
+from . import decontaminate, html_text, license_scan, lm_score, packing, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_grouped_packing": packing.op2_grouped_packing,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_interleaved_shards": sharding.op4_interleaved_shards,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_main_text": html_text.op6_main_text,
     "op7_golay_simhash": simhash.op7_golay_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_class_lm": lm_score.op10_class_lm,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op4_interleaved_shards": sharding.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE}
+ORACLE_SQL = {
+    "op4_interleaved_shards": sharding.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -146,8 +146,11 @@ def _told(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of :func:`find_secrets` in the text put as ``mark``; other texts stay as they are."""
+def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span of :func:`find_secrets` in the text put as ``mark``; other texts stay as they are.
+
+    ``length_col``: a column of ``docs`` that holds the text's characters and is to follow it.
+    """
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -158,7 +161,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
 
     clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     found = find_secrets(docs, text_col=text_col)
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_spans")
+    found = found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text))
+    if length_col:
+        found = found.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return found.drop("_spans")
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

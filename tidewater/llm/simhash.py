@@ -88,16 +88,22 @@ def text_fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long. A null or wordless text has fingerprint 0."""
+def _fingerprints_of(docs: DataFrame, width: int) -> DataFrame:
+    """The first column of ``docs`` and ``fp``, the fingerprint of the second as a signed long."""
+    first = docs.columns[0]
 
     def scan(batches):
         for batch in batches:
             prints = np.array([text_fingerprint(t, width) for t in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], [first, "fp"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(scan, f"{first} {docs.schema[first].dataType.simpleString()}, fp long")
+
+
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed long. A null or wordless text has fingerprint 0."""
+    return _fingerprints_of(docs.select(F.col(id_col).alias("doc_id"), text_col), width)
 
 
 def near_links(prints: DataFrame, bits: int = 2, in_bucket: int = 48) -> DataFrame:
@@ -146,5 +152,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, in_bucket: int = 48, id_col
     return rows.join(by_print, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each group of near duplicates, with its columns: that of the smallest id, then of the smallest text hash.
+
+    A null id is larger than any other. Of several equal rows one stays.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    own_id, text = (f"_c{names.index(c)}" for c in (id_col, text_col))
+    keys = [F.xxhash64(own_id).alias("_k1"), F.xxhash64(text).alias("_k2")]
+    listed = plain.select(F.struct(F.col(own_id).isNull().alias("none"), F.col(own_id).alias("id"), *keys).alias("_me"), F.col(text).alias("text"))
+    rows = stash(_fingerprints_of(listed, width), "prints")
+    nodes = stash(rows.groupBy("fp").agg(F.min("_me").alias("least")), "nodes")
+    roots = components(near_links(nodes.select("fp")))
+    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    chosen = linked.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
+    kept = plain.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(chosen, ["_k1", "_k2"], "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*plain.columns).toDF(*names)
+
+
 def op7_golay_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -112,24 +112,24 @@ def compact_paths(docs: DataFrame, k: int, m: int, text_col: str) -> DataFrame:
                 doc, start, windows, *hashes = paths_of(*_joined(part), k, m)
                 row = doc + first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), *(pa.array(h.astype(np.uint64).view(np.int64)) for h in hashes)],
+                    [pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), *(pa.array(h.astype(np.uint64).view(np.int64)) for h in hashes[:2]), pa.array((hashes[2].astype(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32))],
                     ["_k1", "_k2", "start", "windows", "minimizer", "content", "check"],
                 )
 
-    kinds = "_k1 long, _k2 long, start int, windows int, minimizer long, content long, check long"
+    kinds = "_k1 long, _k2 long, start int, windows int, minimizer long, content long, check int"
     return docs.select("_k1", "_k2", text_col).mapInArrow(scan, kinds)
 
 
-def open_paths(docs: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(path, offset, edge, edge_check) for each window of the listed paths.
+def open_paths(docs: DataFrame, k: int) -> DataFrame:
+    """(minimizer, content, check, offset, edge, edge_check) for each window of the listed paths.
 
-    ``docs``: text and ``paths``, an array of structs (minimizer, content, check, start, windows).
+    ``docs``: doc_id, text and ``paths``, an array of structs (minimizer, content, check, start, windows).
     """
 
     def scan(batches):
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            for first, part in _parts(batch, 0):
+            lists = batch.column(2).to_pylist()
+            for first, part in _parts(batch, 1):
                 words, _ = _joined(part)
                 a, b = Rolling(words, ROLL[0]), Rolling(words, ROLL[1])
                 base = np.cumsum([0, *map(len, part)])
@@ -139,11 +139,11 @@ def open_paths(docs: DataFrame, k: int, text_col: str) -> DataFrame:
                 n = np.array([p["windows"] for _, p in paths])
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(np.array([x + p["start"] for x, p in paths]), n) + offset
-                named = [np.repeat(np.array([p[c] for _, p in paths], np.int64), n) for c in ("minimizer", "content", "check")]
+                named = [np.repeat(np.array([p[c] for _, p in paths], t), n) for c, t in (("minimizer", np.int64), ("content", np.int64), ("check", np.int32))]
                 edges = [x.runs(at, at + k).view(np.int64) for x in (a, b)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, named), pa.array(offset, pa.int32()), *map(pa.array, edges)], ["minimizer", "content", "check", "offset", "edge", "edge_check"])
 
-    return docs.select(text_col, "paths").mapInArrow(scan, "minimizer long, content long, check long, offset int, edge long, edge_check long")
+    return docs.select("doc_id", "text", "paths").mapInArrow(scan, "minimizer long, content long, check int, offset int, edge long, edge_check long")
 
 
 def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,15 +155,16 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, id_col: str = "doc_
     """
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
-    paths = stash(compact_paths(keyed, k, m, "text"), "paths")
+    paths = compact_paths(keyed, k, m, "text")
+    again = paths.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("minimizer")
+    paths = stash(paths.join(again, "minimizer", "left_semi"), "paths")
     same = ["minimizer", "content", "check"]
-    distinct = paths.groupBy(*same).agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("_k1", "_k2", "start", "windows")).alias("one"))
-    distinct = stash(distinct, "distinct")
+    distinct = stash(paths.groupBy(*same).agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("_k1", "_k2", "start", "windows")).alias("one")), "distinct")
     branching = distinct.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("minimizer")
     opened = distinct.join(branching, "minimizer", "left_semi").select(*same, "one.*")
     by_row = opened.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(*same, "start", "windows")).alias("paths"))
-    sources = keyed.select("_k1", "_k2", "text").join(by_row, ["_k1", "_k2"])
-    edges = stash(open_paths(sources, k, "text").distinct(), "edges")
+    # The same columns of the documents go into both joins, so that Spark deals out the texts once and reuses them.
+    edges = open_paths(keyed.join(by_row, ["_k1", "_k2"]), k).distinct()
     repeated = edges.groupBy("edge", "edge_check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", "edge_check")
     marks = edges.join(repeated, ["edge", "edge_check"]).groupBy(*same).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))).alias("mask"))
     full = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("one.windows")) - 1
