@@ -151,6 +151,9 @@ LABELLED = (
     "<article><p>+{1}</p><p>+<a>{2}</a></p><p>+{4}</p></article><aside><p>{60}</p></aside><footer><p>{45}</p></footer>",
     "<header>{15}</header><nav>{8}</nav><div class='newsletter'>{25}</div><form>{30}</form><main><p>+{18}</p><p>+{1}</p><h2>+{3}</h2><p>+{90}</p></main>",
     "<p>+{30}</p><p>+{6}</p>",
+    "<nav><a>{2}</a></nav><article><p>+{9}</p></article>",
+    "<nav><a>{1}</a></nav><article><p>+{50}</p></article>",
+    "<nav><a>{3}</a></nav><main><p>+<a>{6}</a></p><p>+{3}</p></main>",
     "<nav><ul><li><a>{8}</a></li><li><a>{12}</a></li></ul></nav><article><h1>+{9}</h1><p>+{1}</p></article><footer><a>{9}</a> {2}</footer>",
     "<nav><a>{25}</a></nav><article><p>+{33}</p><p>+<a>{7}</a></p><p>+{5}</p><p>+<a>{3}</a> {1}</p></article><nav><a>{30}</a></nav>",
     "<header><a>{10}</a></header><main><p>+{7}</p><p>+{200}</p><ul><li>+<a>{6}</a></li><li>+<a>{9}</a></li></ul><p>+{2}</p></main><aside><a>{11}</a></aside>",
