@@ -2,22 +2,536 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import scalars as S
+from ..operators import bars, changes, constraints, market, relational, timeseries
+from ..sources import feeds, schemas, tables
+from ..streaming import incremental, live
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return tables.scan(self.spark, f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str, name: str | None = None):
+    """Register a function of Tables with its SQL."""
+
+    def add(make):
+        key = name or make.__name__
+        QUERIES[key] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        ORACLE_SQL[key] = sql
+        return make
+
+    return add
+
+
+# Projection, order, paging
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders")
+def select_columns(t):
+    return relational.select(t.orders, ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 100")
+def top_n(t):
+    return relational.select(t.orders, ["o_orderkey", "o_totalprice"], order=[F.desc("o_totalprice"), "o_orderkey"], limit=100)
+
+
+@query("select o_orderkey, o_orderdate from orders order by o_orderdate, o_orderkey limit 250 offset 500")
+def page_of_rows(t):
+    return relational.page(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 3, 250)
+
+
+@query("select count(*)::bigint as n_rows, ceil(count(*) / 100)::bigint as n_pages from orders")
+def page_count(t):
+    return relational.page_count(t.orders, 100)
+
+
+@query("select p_partkey, p_name as name, p_type as type, 1::int as version, current_date < date '1990-01-01' as old from part")
+def literals_and_names(t):
+    return t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.lit(1).cast("int").alias("version"), (F.current_date() < F.lit("1990-01-01").cast("date")).alias("old"))
+
+
+# Predicates
+
+for _name, _table, _column, _operator, _value, _sql in [
+    ("filter_eq", "orders", "o_orderstatus", "=", "F", "o_orderstatus = 'F'"),
+    ("filter_ne", "orders", "o_orderstatus", "<>", "F", "o_orderstatus <> 'F'"),
+    ("filter_gt", "part", "p_retailprice", ">", 980.0, "p_retailprice > 980"),
+    ("filter_ge", "part", "p_size", ">=", 25, "p_size >= 25"),
+    ("filter_lt", "part", "p_retailprice", "<", 920.0, "p_retailprice < 920"),
+    ("filter_le", "part", "p_size", "<=", 10, "p_size <= 10"),
+    ("filter_between", "lineitem", "l_quantity", "BETWEEN", (10.0, 20.0), "l_quantity between 10 and 20"),
+    ("filter_in", "orders", "o_orderpriority", "IN", ["1-URGENT", "2-HIGH"], "o_orderpriority in ('1-URGENT', '2-HIGH')"),
+    ("filter_not_in", "orders", "o_orderpriority", "NOT IN", ["1-URGENT", "2-HIGH"], "o_orderpriority not in ('1-URGENT', '2-HIGH')"),
+    ("filter_like", "part", "p_name", "LIKE", ["%a%e%", "part%1"], "p_name like '%a%e%' or p_name like 'part%1'"),
+]:
+    query(f"select * from {_table} where {_sql}", _name)(lambda t, n=_table, c=_column, o=_operator, v=_value: P.where_all(getattr(t, n), P.predicate(c, o, v)))
+
+
+def _customers_with_orders(t):
+    some = t.orders.where("o_custkey % 5 <> 0").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return relational.join(t.customer.select("c_custkey"), some, "left", "c_custkey", "o_custkey")
+
+
+_LEFT = "customer left join (select o_custkey, count(*)::bigint as n from orders where o_custkey % 5 <> 0 group by 1) on c_custkey = o_custkey"
+
+
+@query(f"select c_custkey from {_LEFT} where n is null")
+def filter_is_null(t):
+    return P.where_all(_customers_with_orders(t), P.predicate("n", "IS NULL")).select("c_custkey")
+
+
+@query(f"select c_custkey, n from {_LEFT} where n is not null")
+def filter_is_not_null(t):
+    return P.where_all(_customers_with_orders(t), P.predicate("n", "IS NOT NULL")).select("c_custkey", "n")
+
+
+@query("select * from part where p_size > 10 and p_retailprice < 990 and (p_brand = 'Brand#13' or not p_size between 20 and 40)")
+def filter_and_or_not(t):
+    either = P.any_of(P.predicate("p_brand", "=", "Brand#13"), ~P.predicate("p_size", "BETWEEN", (20, 40)))
+    return P.where_all(t.part, [P.predicate("p_size", ">", 10), P.predicate("p_retailprice", "<", 990.0), either])
+
+
+@query("select * from part where p_retailprice > any (select p_retailprice from part where p_size = 3)")
+def filter_any(t):
+    return P.compare_any(t.part, "p_retailprice", ">", t.part.where("p_size = 3"), "p_retailprice")
+
+
+@query("select * from part where p_size = any (select p_size from part where p_retailprice > 998)")
+def filter_some(t):
+    return P.compare_any(t.part, "p_size", "=", t.part.where("p_retailprice > 998"), "p_size")
+
+
+@query("select * from part where p_retailprice >= all (select p_retailprice from part where p_size = 3)")
+def filter_all(t):
+    return P.compare_all(t.part, "p_retailprice", ">=", t.part.where("p_size = 3"), "p_retailprice")
+
+
+@query("select * from customer where c_custkey not in (select o_custkey from orders where o_custkey % 3 = 0)")
+def filter_not_in_table(t):
+    return P.not_in_table(t.customer, "c_custkey", t.orders.where("o_custkey % 3 = 0"), "o_custkey")
+
+
+@query("select * from events where event_type = 'click' and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12 06:00:00'")
+def range_absolute(t):
+    return P.where_all(t.events, [P.predicate("event_type", "=", "click"), P.in_range("ts", "2024-01-05 00:00:00", "2024-01-12 06:00:00")])
+
+
+@query("select * from events where ts >= timestamp '2024-01-30' - interval 36 hours")
+def range_relative(t):
+    return P.where_all(t.events, P.since("ts", -36, "h", "2024-01-30 00:00:00"))
+
+
+@query("select o_orderkey, o_orderdate from orders where o_orderdate::date between date '1995-01-01' and date '1995-01-31'")
+def range_days(t):
+    return t.orders.where(P.dates_between("o_orderdate", "1995-01-01", "1995-01-31")).select("o_orderkey", "o_orderdate")
+
+
+# Joins
+
+for _kind in ("inner", "left", "right", "full"):
+    query(
+        f"""select c_custkey, c_name, o_orderkey, o_totalprice from (select * from customer where c_custkey % 3 <> 0) {_kind} join
+        (select * from orders where o_custkey % 5 <> 0) on c_custkey = o_custkey""",
+        f"join_{_kind}",
+    )(lambda t, k=_kind: relational.join(t.customer.where("c_custkey % 3 <> 0"), t.orders.where("o_custkey % 5 <> 0"), k, "c_custkey", "o_custkey").select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))
+
+
+@query("select n_nationkey, r_regionkey from nation cross join region")
+def join_cross(t):
+    return relational.join(t.nation.select("n_nationkey"), t.region.select("r_regionkey"), "cross")
+
+
+@query(
+    """select r_name, n_name, count(*)::bigint as n_orders, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey
+    left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey group by all"""
+)
+def join_chain(t):
+    chain = relational.join_chain(
+        t.orders, [relational.Step("inner", t.customer, "o_custkey", "c_custkey"), relational.Step("left", t.nation, "c_nationkey", "n_nationkey"), relational.Step("left", t.region, "n_regionkey", "r_regionkey")]
+    )
+    return chain.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("select * from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)")
+def join_semi(t):
+    return relational.join(t.customer, t.orders.where("o_totalprice > 250000"), "semi", "c_custkey", "o_custkey")
+
+
+@query("select * from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)")
+def join_anti(t):
+    return relational.join(t.customer, t.orders.where("o_totalprice > 250000"), "anti", "c_custkey", "o_custkey")
+
+
+@query(
+    """select s_suppkey, n_nationkey, n_nationkey is null as rejected from (select s_suppkey, case when s_suppkey % 7 = 0 then 'nowhere' else lower(n_name) end as place
+    from supplier join nation on s_nationkey = n_nationkey) left join nation on upper(place) = upper(n_name)"""
+)
+def market_lookup(t):
+    named = relational.join(t.supplier, t.nation, "inner", "s_nationkey", "n_nationkey").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "nowhere").otherwise(F.lower("n_name")).alias("place"))
+    found, rejected = relational.lookup(named, "place", t.nation, "n_name", "n_nationkey")
+    rows = [x.select("s_suppkey", k, F.lit(r).alias("rejected")) for x, k, r in ((found, F.col("n_nationkey"), False), (rejected, F.lit(None).cast("int").alias("n_nationkey"), True))]
+    return relational.append(rows)
+
+
+@query("(select n_name as value, 'actual' as side from nation where n_nationkey > 20) union all select 'ATLANTIS', 'expected'")
+def set_equality(t):
+    expected = t.nation.where("n_nationkey <= 20").select("n_name").union(t.spark.sql("select 'ATLANTIS'"))
+    return relational.set_difference(t.nation, "n_name", expected, "n_name")
+
+
+@query(
+    """select event_id, case event_type when 'click' then 'Click' when 'view' then 'Page view' when 'purchase' then 'Sale' end as label from events"""
+)
+def code_labels(t):
+    return t.events.select("event_id", S.label(F.col("event_type"), {"CLICK": "Click", "VIEW": "Page view", "PURCHASE": "Sale"}).alias("label"))
+
+
+# Row changes
+
+
+@query("select s_suppkey, s_name, s_nationkey, case when s_acctbal < 0 then 0 else s_acctbal end as s_acctbal from supplier")
+def update_where(t):
+    return changes.update(t.supplier, {"s_acctbal": F.lit(0.0)}, P.predicate("s_acctbal", "<", 0.0))
+
+
+@query(
+    """select s_suppkey, case when n_nationkey is not null then 'Region 1' else s_name end as s_name, s_nationkey, s_acctbal
+    from supplier left join (select n_nationkey from nation where n_regionkey = 1) on s_nationkey = n_nationkey"""
+)
+def update_join(t):
+    return changes.update_joined(t.supplier, t.nation.where("n_regionkey = 1"), "s_nationkey", "n_nationkey", {"s_name": F.lit("Region 1")})
+
+
+@query("select * from supplier where not (s_acctbal < 1000 and s_nationkey > 10)")
+def delete_where(t):
+    return changes.delete(t.supplier, P.all_of(P.predicate("s_acctbal", "<", 1000.0), P.predicate("s_nationkey", ">", 10)))
+
+
+def _sides(t):
+    target = t.supplier.where("s_suppkey % 3 <> 0").select("s_suppkey", "s_name", "s_acctbal")
+    return target, t.supplier.where("s_suppkey % 5 <> 0").select("s_suppkey", F.upper("s_name").alias("name"), (F.col("s_acctbal") + 1).alias("balance"))
+
+
+_MERGED = """(select * from supplier where s_suppkey % 3 <> 0) t full join
+    (select s_suppkey, upper(s_name) as name, s_acctbal + 1 as balance from supplier where s_suppkey % 5 <> 0) s on t.s_suppkey = s.s_suppkey"""
+_COPY = {"s_name": changes.source("name"), "s_acctbal": changes.source("balance")}
+_INSERT = _COPY | {"s_suppkey": changes.source("s_suppkey")}
+
+
+@query(f"select coalesce(t.s_suppkey, s.s_suppkey) as s_suppkey, coalesce(name, s_name) as s_name, case when s.s_suppkey is null then -1 else balance end as s_acctbal from {_MERGED}")
+def merge_full(t):
+    target, source = _sides(t)
+    return changes.merge(target, source, "s_suppkey", matched=_COPY, insert=_INSERT, missing={"s_acctbal": F.lit(-1.0)})
+
+
+@query(f"select t.s_suppkey, s_name, s_acctbal from {_MERGED} where s.s_suppkey is null")
+def merge_match_delete(t):
+    return changes.merge(*_sides(t), "s_suppkey", matched=changes.DELETE)
+
+
+@query(f"select coalesce(t.s_suppkey, s.s_suppkey) as s_suppkey, coalesce(name, s_name) as s_name, balance as s_acctbal from {_MERGED} where s.s_suppkey is not null")
+def merge_source_delete(t):
+    return changes.merge(*_sides(t), "s_suppkey", matched=_COPY, insert=_INSERT, missing=changes.DELETE)
+
+
+@query(f"select coalesce(t.s_suppkey, s.s_suppkey) as s_suppkey, coalesce(s_name, name) as s_name, coalesce(s_acctbal, balance) as s_acctbal from {_MERGED}")
+def merge_insert_only(t):
+    return changes.merge(*_sides(t), "s_suppkey", insert=_INSERT)
+
+
+@query("select s_name, s_acctbal, (1000 + row_number() over (order by s_name, s_suppkey))::int as id from supplier")
+def insert_with_identity(t):
+    return changes.with_identity(t.supplier, "id", ["s_name", "s_suppkey"], 1000).select("s_name", "s_acctbal", F.col("id").cast("int").alias("id"))
+
+
+# Constraints
+
+
+@query("select l_orderkey, l_linenumber from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_custkey % 5 <> 0)")
+def orphans(t):
+    return constraints.orphans(t.lineitem, "l_orderkey", t.orders.where("o_custkey % 5 <> 0"), "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("select l_orderkey, l_linenumber, count(*)::bigint as n from lineitem group by all having count(*) > 1")
+def duplicate_keys(t):
+    return constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    """select p_partkey, concat_ws(',', case when nullif(p_brand, 'Brand#13') is null then 'brand is null' end, case when length(p_type) > 12 then 'p_type is longer than 12' end) as faults
+    from part where p_brand = 'Brand#13' or length(p_type) > 12"""
+)
+def constraint_violations(t):
+    part = t.part.withColumn("brand", F.nullif("p_brand", F.lit("Brand#13")))
+    return constraints.split_valid(part, ["brand"], {"p_type": 12})[1].select("p_partkey", F.concat_ws(",", "violations").alias("faults"))
+
+
+@query(
+    """select 'no discount' as test, count(*)::bigint as n from lineitem where l_discount = 0 union all
+    select 'price per unit below 900', count(*) from lineitem where l_extendedprice / l_quantity < 900"""
+)
+def quality_report(t):
+    return constraints.report(t.lineitem, {"no discount": F.col("l_discount") == 0, "price per unit below 900": F.col("l_extendedprice") / F.col("l_quantity") < 900})
+
+
+# Points and aggregates
+
+
+@query(
+    """select event_id, user_id, value from (select event_id, user_id, value, 0 as new from events union all
+    select event_id, user_id, value + 1, 1 from events where event_id % 3 = 0 union all select event_id + 1000000000, user_id, value, 1 from events where event_id % 7 = 0)
+    qualify row_number() over (partition by event_id order by new desc) = 1"""
+)
+def points_upsert(t):
+    old = t.events.select("event_id", "user_id", "value")
+    new = old.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1).unionByName(old.where("event_id % 7 = 0").withColumn("event_id", F.col("event_id") + 1000000000))
+    return timeseries.upserted(old, new, ["event_id"])
+
+
+@query("unpivot (select l_orderkey, l_linenumber, l_partkey, l_quantity::double as l_quantity, l_tax::double as l_tax from lineitem) on l_quantity, l_tax into name field value value")
+def points_long(t):
+    return timeseries.to_long(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_tax"])
+
+
+@query("select event_id, map_from_entries([('user', user_id::varchar)])['user'] as user, event_type as measurement, value from events")
+def points_maps(t):
+    points = t.events.select("event_id", F.col("event_type").alias("measurement"), F.col("ts").alias("time"), F.col("user_id").alias("user"), "value")
+    maps = points.select("event_id", "measurement", "time", S.string_map(["user"]).alias("tags"), S.number_map(["value"]).alias("fields"))
+    return maps.select("event_id", S.map_value(F.col("tags"), "user").alias("user"), "measurement", S.map_value(F.col("fields"), "value").alias("value"))
+
+
+_SKEW = "avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5)"
+for _name, _sql in {
+    "mean": "avg(value)", "median": "median(value)", "max": "max(value)", "min": "min(value)", "sum": "sum(value)", "count": "count(value)::bigint", "spread": "max(value) - min(value)",
+    "stddev": "stddev_samp(value)", "first": "arg_min(value, (ts, event_id))", "last": "arg_max(value, (ts, event_id))", "skew": _SKEW,
+}.items():
+    _value = _sql if _name == "count" else f"round({_sql}, 4)"
+    query(f"select event_type, user_id, {_value} as {_name} from (select *, avg(value) over (partition by event_type, user_id) as m from events) group by event_type, user_id", f"agg_{_name}")(
+        lambda t, n=_name: timeseries.aggregate(t.events, ["event_type", "user_id"], "value", n, ["ts", "event_id"]).withColumn(n, F.col(n) if n == "count" else F.round(n, 4))
+    )
+
+
+_RATE = "(value - lag(value) over w) / ((epoch_us(ts) - epoch_us(lag(ts) over w)) / 1e6)"
+_W = "window w as (partition by event_type, user_id order by ts, event_id)"
+
+
+@query(f"select event_id, round({_RATE}, 6) as derivative from events {_W}")
+def agg_derivative(t):
+    return timeseries.derivative(t.events, ["event_type", "user_id"], "ts", "value", tie=["event_id"]).select("event_id", F.round("derivative", 6).alias("derivative"))
+
+
+@query(f"select event_id, round(case when {_RATE} >= 0 then {_RATE} end, 6) as rate from events {_W}")
+def agg_nonnegative_derivative(t):
+    return timeseries.derivative(t.events, ["event_type", "user_id"], "ts", "value", nonnegative=True, tie=["event_id"], alias="rate").select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query(
+    f"""select event_id, round(coalesce(sum(rise) over (partition by event_type, user_id order by ts, event_id rows unbounded preceding), 0), 4) as increase
+    from (select *, greatest(value - lag(value) over w, 0) * case when lag(value) over w is null then 0 else 1 end as rise from events {_W})"""
+)
+def agg_increase(t):
+    return timeseries.increase(t.events, ["event_type", "user_id"], ["ts", "event_id"], "value").select("event_id", F.round("increase", 4).alias("increase"))
+
+
+@query("select distinct event_type, user_id from events")
+def agg_distinct(t):
+    return timeseries.distinct_values(t.events, ["event_type"], "user_id")
+
+
+@query("select event_id, event_type, value from events qualify row_number() over (partition by event_type, value order by ts, event_id) = 1")
+def agg_unique(t):
+    return timeseries.first_of_values(t.events, ["event_type"], "value", ["ts", "event_id"]).select("event_id", "event_type", "value")
+
+
+@query("select event_id, row_number() over (partition by event_type, user_id order by value, event_id)::int as place from events")
+def agg_sort(t):
+    return timeseries.sorted_places(t.events, ["event_type", "user_id"], "value", ["event_id"]).select("event_id", "place")
+
+
+@query(
+    """select event_type, time_bucket(interval 1 hour, ts) as window_start, round(avg(value), 4) as mean, max(value) as max, count(value)::bigint as count from events group by 1, 2"""
+)
+def agg_windowed(t):
+    return timeseries.windowed(t.events, ["event_type"], "ts", "value", ["mean", "max", "count"], "1 hour").withColumn("mean", F.round("mean", 4))
+
+
+@query(
+    """select event_type, time_bucket(interval 7 days, ts, timestamp '2024-01-01') as window_start, round(median(value), 4) as median, round(sum(value), 2) as sum from events group by 1, 2"""
+)
+def agg_windowed_week(t):
+    weeks = timeseries.windowed(t.events, ["event_type"], "ts", "value", ["median", "sum"], "7 days", "4 days")  # weeks from a Monday
+    return weeks.withColumns({"median": F.round("median", 4), "sum": F.round("sum", 2)})
+
+
+@query("select event_type, round(avg(value), 4) as mean from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by 1")
+def agg_range(t):
+    return timeseries.aggregate(t.events.where(P.in_range("ts", "2024-01-10 00:00:00", "2024-01-20 00:00:00")), ["event_type"], "value", "mean").withColumn("mean", F.round("mean", 4))
+
+
+# Feeds
+
+
+@query("select r_name as Market, n_nationkey::varchar as Symbol, n_name as StockName, lower(n_name) as StockEnName from nation join region on n_regionkey = r_regionkey")
+def feed_parse(t):
+    item = F.struct(F.col("r_name").alias("Market"), F.col("n_nationkey").cast("string").alias("Symbol"), F.col("n_name").alias("StockName"), F.lower("n_name").alias("StockEnName"))
+    listed = relational.join(t.nation, t.region, "inner", "n_regionkey", "r_regionkey").groupBy("r_name").agg(F.collect_list(item).alias("data"), F.count(F.lit(1)).alias("totalRecord"))
+    pages = listed.select(F.to_json(F.struct(F.lit("ok").alias("message"), F.lit(200).alias("status"), "totalRecord", "data")).alias("page"))
+    return feeds.items(feeds.parse_pages(pages, "page", "securities"), "securities")
+
+
+@query("select r_regionkey::varchar as IndexCode, r_name as IndexName, null::varchar as Exchange, 5::varchar as TotalSymbolNo, n_nationkey::varchar as Isin, n_name as StockSymbol from nation join region on n_regionkey = r_regionkey")
+def feed_nested(t):
+    inner = F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("Isin"), F.col("n_name").alias("StockSymbol")))
+    item = F.struct(F.col("r_regionkey").cast("string").alias("IndexCode"), F.col("r_name").alias("IndexName"), F.lit("5").alias("TotalSymbolNo"), inner.alias("IndexComponent"))
+    listed = relational.join(t.nation, t.region, "inner", "n_regionkey", "r_regionkey").groupBy("r_regionkey", "r_name").agg(item.alias("item"))
+    pages = listed.select(F.to_json(F.struct(F.array("item").alias("data"))).alias("page"))
+    return feeds.items(feeds.parse_pages(pages, "page", "index_components"), "index_components")
+
+
+@query(
+    """select event_id, (props->>'k')::bigint as k, trunc(value)::bigint as whole, case when event_id % 10 = 0 then null else value end as number, strftime(ts, '%d/%m/%Y') as day_text,
+    case when event_id % 7 <> 0 then ts::date::timestamp end as day, strftime(ts - interval 7 hours, '%Y-%m-%dT%H:%M:%SZ') as utc from events"""
+)
+def feed_casts(t):
+    day = F.when(F.col("event_id") % 7 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(S.day_text(F.col("ts")))
+    text = F.when(F.col("event_id") % 10 == 0, F.lit("abc")).otherwise(F.col("value").cast("string"))
+    return t.events.select(
+        "event_id", S.whole_number(F.get_json_object("props", "$.k")).alias("k"), S.whole_number(F.col("value").cast("string")).alias("whole"), S.decimal_number(text).alias("number"), S.day_text(F.col("ts")).alias("day_text"),
+        S.day_of(day).cast("timestamp_ntz").alias("day"), S.utc_text(F.col("ts").cast("timestamp"), "Asia/Ho_Chi_Minh").alias("utc"),
+    )
+
+
+# Incremental work
+
+_WORK = "nation cross join (select unnest(generate_series(timestamp '2020-02-01', timestamp '2020-06-09 23:59:59', interval 30 days)) as window_start)"
+
+
+@query(f"select window_start, window_start + interval 30 days as window_end, n_name as symbol from {_WORK}")
+def crawl_worklist(t):
+    return incremental.work_list(t.nation, "n_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00")
+
+
+@query(f"select window_start, window_start + interval 30 days as window_end, n_name as symbol from {_WORK} where (window_start, n_name) >= (timestamp '2020-04-01', 'JAPAN')")
+def crawl_resume(t):
+    checkpoint = t.spark.sql("select 1 as ID, timestamp'2020-04-01' as CurrentStartInterval, 'JAPAN' as CurrentSymbol")
+    return incremental.resume(incremental.work_list(t.nation, "n_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00"), checkpoint)
+
+
+# Market analytics
+
+
+@query(
+    """select event_type, ts::date as day, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close,
+    count(value)::bigint as n from events group by 1, 2"""
+)
+def ohlc_daily(t):
+    return bars.daily_bars(t.events, ["event_type"], "ts", "value", tie="event_id")
+
+
+@query(
+    """select event_type, time_bucket(interval 15 minutes, ts) as bar_start, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low,
+    arg_max(value, (ts, event_id)) as close, count(value)::bigint as n from events group by 1, 2"""
+)
+def ohlc_minutes(t):
+    return market.intraday_bars(t.events, ["event_type"], "ts", "value", 15, "event_id")
+
+
+def _trades(t):
+    return relational.join(t.lineitem, t.part, "inner", "l_partkey", "p_partkey").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+
+
+_TRADES = "(select *, l_extendedprice / l_quantity as price from lineitem join part on l_partkey = p_partkey)"
+
+
+@query(
+    f"""select p_brand, l_shipdate::date as day, count_if(price > p_retailprice)::bigint as advances, count_if(price = p_retailprice)::bigint as no_changes,
+    count_if(price < p_retailprice)::bigint as declines, count_if(price >= 1.07 * p_retailprice)::bigint as ceilings, count_if(price <= 0.93 * p_retailprice)::bigint as floors from {_TRADES} group by 1, 2"""
+)
+def breadth(t):
+    prices = _trades(t).withColumns({"day": F.to_date("l_shipdate"), "top": 1.07 * F.col("p_retailprice"), "bottom": 0.93 * F.col("p_retailprice")})
+    return market.breadth(prices, ["p_brand", "day"], "price", "p_retailprice", "top", "bottom")
+
+
+@query(
+    """select l_shipdate::date as day, sum(case when l_linestatus = 'F' then l_quantity else 0 end) as match_vol, round(sum(case when l_linestatus = 'F' then l_extendedprice else 0 end), 2) as match_val,
+    sum(case when l_linestatus <> 'F' then l_quantity else 0 end) as deal_vol, round(sum(case when l_linestatus <> 'F' then l_extendedprice else 0 end), 2) as deal_val,
+    sum(l_quantity) as total_vol, round(sum(l_extendedprice), 2) as total_val from lineitem group by 1"""
+)
+def index_totals(t):
+    totals = market.index_totals(t.lineitem.withColumn("day", F.to_date("l_shipdate")), ["day"], F.col("l_linestatus") == "F", "l_quantity", F.col("l_extendedprice"))
+    return totals.withColumns({c: F.round(c, 2) for c in ("match_val", "deal_val", "total_val")})
+
+
+@query(
+    """select l_partkey, l_shipdate::date as day, sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as net_vol,
+    round(sum(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end), 2) as net_val from lineitem group by 1, 2"""
+)
+def net_flow(t):
+    flow = market.net_flow(t.lineitem.withColumn("day", F.to_date("l_shipdate")), ["l_partkey", "day"], F.col("l_returnflag") != "R", "l_quantity", "l_extendedprice")
+    return flow.withColumn("net_val", F.round("net_val", 2))
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, price - p_retailprice as price_change, 100 * (price - p_retailprice) / p_retailprice as per_price_change from {_TRADES}")
+def price_change(t):
+    changed = market.price_change(_trades(t), "price", "p_retailprice")
+    return changed.select("l_orderkey", "l_linenumber", "l_partkey", "price_change", "per_price_change")
+
+
+@query(
+    """select p_partkey, p_size * 1000000::bigint as shares, round(last_close, 4) as last_close, (p_size * 1000000::bigint * round(last_close)::bigint)::varchar as market_cap
+    from part left join (select l_partkey, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) as last_close from lineitem group by 1) on p_partkey = l_partkey"""
+)
+def market_cap(t):
+    securities = t.part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size").cast("long") * 1000000).alias("shares"))
+    capped = market.market_cap(securities, t.lineitem, "l_partkey", "shares", "l_extendedprice", ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"])
+    return capped.select(F.col("l_partkey").alias("p_partkey"), "shares", F.round("last_close", 4).alias("last_close"), F.col("market_cap").cast("string").alias("market_cap"))
+
+
+@query(
+    """select n_name, count(case when s_acctbal >= 0 then 1 end)::bigint as n_active, count(case when s_acctbal < 0 then 1 end)::bigint as n_delisted from nation left join supplier on s_nationkey = n_nationkey group by 1"""
+)
+def per_market(t):
+    return market.per_market(t.supplier, "s_nationkey", t.nation, "n_nationkey", "n_name", F.col("s_acctbal") < 0)
 
-from ..operators import bars
 
+@query("select p_partkey, coalesce(upper(t), p_type) as p_type from part left join (select l_partkey, max(l_linestatus || l_returnflag) as t from lineitem where l_tax > 0.07 group by 1) on p_partkey = l_partkey")
+def fill_details(t):
+    details = t.lineitem.where("l_tax > 0.07").select(F.col("l_partkey").alias("p_partkey"), F.upper(F.concat("l_linestatus", "l_returnflag")).alias("p_type"))
+    return market.fill_details(t.part.select("p_partkey", "p_type"), details, "p_partkey", ["p_type"])
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+# Streams over the events table, drained
 
-def ohlc_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.daily_bars(_table(spark, sf_dir, "events"), ["event_type"], "ts", "value", tie="event_id")
 
+@query(
+    """select event_type, time_bucket(interval 1 day, ts) as window_start, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close,
+    count(*)::bigint as n from events where ts < (select time_bucket(interval 1 day, max(ts) - interval 1 hour) from events) group by 1, 2"""
+)
+def stream_ohlc(t):
+    events = live.parquet_stream(t.spark, f"{t.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.struct("ts", "event_id")
+    sums = [F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("n")]
+    return live.drain(live.tumbling(events, "ts", "1 day", "1 hour", ["event_type"], sums)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).drop("_batch")
 
-QUERIES = {"ohlc_daily": ohlc_daily}
 
-ORACLE_SQL = {
-    "ohlc_daily": """select event_type, ts::date as day, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low,
-        arg_max(value, (ts, event_id)) as close, count(value)::bigint as n from events group by 1, 2"""
-}
+@query("select distinct event_type, user_id from events")
+def stream_dedup(t):
+    events = live.parquet_stream(t.spark, f"{t.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.drain(live.distinct_within(events, "ts", ["event_type", "user_id"], "60 days").select("event_type", "user_id")).drop("_batch")
