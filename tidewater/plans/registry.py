@@ -72,7 +72,7 @@ def literals_and_names(t):
 for _name, _table, _column, _operator, _value, _sql in [
     ("filter_eq", "orders", "o_orderstatus", "=", "F", "o_orderstatus = 'F'"),
     ("filter_ne", "orders", "o_orderstatus", "<>", "F", "o_orderstatus <> 'F'"),
-    ("filter_gt", "part", "p_retailprice", ">", 980.0, "p_retailprice > 980"),
+    ("filter_gt", "part", "p_retailprice", ">", 910.0, "p_retailprice > 910"),
     ("filter_ge", "part", "p_size", ">=", 25, "p_size >= 25"),
     ("filter_lt", "part", "p_retailprice", "<", 920.0, "p_retailprice < 920"),
     ("filter_le", "part", "p_size", "<=", 10, "p_size <= 10"),
@@ -113,9 +113,9 @@ def filter_any(t):
     return P.compare_any(t.part, "p_retailprice", ">", t.part.where("p_size = 3"), "p_retailprice")
 
 
-@query("select * from part where p_size = any (select p_size from part where p_retailprice > 998)")
+@query("select * from part where p_size = any (select p_size from part where p_retailprice > 915)")
 def filter_some(t):
-    return P.compare_any(t.part, "p_size", "=", t.part.where("p_retailprice > 998"), "p_size")
+    return P.compare_any(t.part, "p_size", "=", t.part.where("p_retailprice > 915"), "p_size")
 
 
 @query("select * from part where p_retailprice >= all (select p_retailprice from part where p_size = 3)")
@@ -231,14 +231,20 @@ def _sides(t):
 
 _MERGED = """(select * from supplier where s_suppkey % 3 <> 0) t full join
     (select s_suppkey, upper(s_name) as name, s_acctbal + 1 as balance from supplier where s_suppkey % 5 <> 0) s on t.s_suppkey = s.s_suppkey"""
-_COPY = {"s_name": changes.source("name"), "s_acctbal": changes.source("balance")}
-_INSERT = _COPY | {"s_suppkey": changes.source("s_suppkey")}
+
+
+def _copy():
+    return {"s_name": changes.source("name"), "s_acctbal": changes.source("balance")}
+
+
+def _insert():
+    return _copy() | {"s_suppkey": changes.source("s_suppkey")}
 
 
 @query(f"select coalesce(t.s_suppkey, s.s_suppkey) as s_suppkey, coalesce(name, s_name) as s_name, case when s.s_suppkey is null then -1 else balance end as s_acctbal from {_MERGED}")
 def merge_full(t):
     target, source = _sides(t)
-    return changes.merge(target, source, "s_suppkey", matched=_COPY, insert=_INSERT, missing={"s_acctbal": F.lit(-1.0)})
+    return changes.merge(target, source, "s_suppkey", matched=_copy(), insert=_insert(), missing={"s_acctbal": F.lit(-1.0)})
 
 
 @query(f"select t.s_suppkey, s_name, s_acctbal from {_MERGED} where s.s_suppkey is null")
@@ -248,12 +254,12 @@ def merge_match_delete(t):
 
 @query(f"select coalesce(t.s_suppkey, s.s_suppkey) as s_suppkey, coalesce(name, s_name) as s_name, balance as s_acctbal from {_MERGED} where s.s_suppkey is not null")
 def merge_source_delete(t):
-    return changes.merge(*_sides(t), "s_suppkey", matched=_COPY, insert=_INSERT, missing=changes.DELETE)
+    return changes.merge(*_sides(t), "s_suppkey", matched=_copy(), insert=_insert(), missing=changes.DELETE)
 
 
 @query(f"select coalesce(t.s_suppkey, s.s_suppkey) as s_suppkey, coalesce(s_name, name) as s_name, coalesce(s_acctbal, balance) as s_acctbal from {_MERGED}")
 def merge_insert_only(t):
-    return changes.merge(*_sides(t), "s_suppkey", insert=_INSERT)
+    return changes.merge(*_sides(t), "s_suppkey", insert=_insert())
 
 
 @query("select s_name, s_acctbal, (1000 + row_number() over (order by s_name, s_suppkey))::int as id from supplier")
@@ -322,9 +328,9 @@ for _name, _sql in {
     "mean": "avg(value)", "median": "median(value)", "max": "max(value)", "min": "min(value)", "sum": "sum(value)", "count": "count(value)::bigint", "spread": "max(value) - min(value)",
     "stddev": "stddev_samp(value)", "first": "arg_min(value, (ts, event_id))", "last": "arg_max(value, (ts, event_id))", "skew": _SKEW,
 }.items():
-    _value = _sql if _name == "count" else f"round({_sql}, 4)"
+    _value = _sql if _name == "count" else f"round({_sql}, 8)"
     query(f"select event_type, user_id, {_value} as {_name} from (select *, avg(value) over (partition by event_type, user_id) as m from events) group by event_type, user_id", f"agg_{_name}")(
-        lambda t, n=_name: timeseries.aggregate(t.events, ["event_type", "user_id"], "value", n, ["ts", "event_id"]).withColumn(n, F.col(n) if n == "count" else F.round(n, 4))
+        lambda t, n=_name: timeseries.aggregate(t.events, ["event_type", "user_id"], "value", n, ["ts", "event_id"]).withColumn(n, F.col(n) if n == "count" else F.round(n, 8))
     )
 
 
