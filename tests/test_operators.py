@@ -299,8 +299,9 @@ def test_late_rows_are_dropped(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     line = lambda t: json.dumps({"channel": "X", "symbol": "a", "ts": f"2024-01-01T{t}Z", "price": 1.0, "volume": 1})
-    for i, times in enumerate((["00:01:00", "01:30:00"], ["00:02:00", "03:00:00"])):
+    closed = []
+    for i, times in enumerate((["00:01:00", "01:30:00"], ["00:02:00", "03:00:00"], ["05:00:00"])):
         (source / f"{i}.json").write_text("\n".join(map(line, times)))
-    stream = spark.readStream.schema(schemas.MESSAGE).option("maxFilesPerTrigger", 1).json(f"file://{source}")
-    counted = live.drain(live.tumbling(live.on_channel(stream, "X"), "ts", "1 hour", "10 minutes", ["symbol"], [F.count(F.lit(1)).alias("n")]))
-    assert {(r.window_start.hour, r.n) for r in counted.collect()} == {(0, 1), (1, 1)}
+        counted = live.tumbling(live.on_channel(live.messages(spark, f"file://{source}"), "X"), "ts", "1 hour", "10 minutes", ["symbol"], [F.count(F.lit(1)).alias("n")])
+        live.each_batch(counted, lambda batch, _: closed.extend((r.window_start.hour, r.n) for r in batch.collect()), f"file://{tmp_path}/state")
+    assert sorted(closed) == [(0, 1), (1, 1), (3, 1)]
