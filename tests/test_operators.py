@@ -152,7 +152,7 @@ def test_catalog_tables(spark):
             tables.create_table(spark, "security", schemas.SECURITY, "ID", {"Market_ID": ("nothing", "ID")})
         tables.create_table(spark, "security", schemas.SECURITY, "ID", {"Market_ID": ("market", "ID")})
         now = F.lit("2024-01-01").cast("timestamp")
-        tables.append(tables.seed_markets(spark, now).select("Symbol", "ID", "Name", "EnName", "CreateDate", "UpdateDate", "DeleteDate"), "market")
+        assert tables.append_counted(tables.seed_markets(spark, now).select("Symbol", "ID", "Name", "EnName", "CreateDate", "UpdateDate", "DeleteDate"), "market") == 5
         assert rows(tables.scan(spark, "market"), "ID", "Symbol")[0] == (1, "HNX") and tables.seed_security_types(spark, now).count() == 7
         with pytest.raises(ValueError, match="differ"):
             tables.append(spark.range(1), "market")
@@ -218,6 +218,7 @@ def test_points_are_upserted_by_month(spark, tmp_path):
     path = f"file://{tmp_path}/points"
     make = lambda xs: spark.createDataFrame([("p", s, datetime(2024, m, 1), v) for s, m, v in xs], "measurement string, symbol string, time timestamp, close int")
     keys = ["measurement", "symbol", "time"]
+    assert not timeseries.points_exist(spark, path)
     timeseries.upsert_points(make([("a", 1, 1), ("b", 1, 2), ("a", 2, 3)]), path, keys)
     for _ in range(2):
         timeseries.upsert_points(make([("a", 1, 10), ("c", 1, 4)]), path, keys)
@@ -242,6 +243,19 @@ def test_feeds(spark, tmp_path):
         feeds.required(bad.limit(0), "securities")
 
 
+@pytest.mark.parametrize("feed", sorted(schemas.ITEMS))
+def test_every_feed_reads_its_page(spark, tmp_path, feed):
+    inner = {"details": {"RepeatedinfoList": [{"Isin": "i", "Symbol": "A", "ListedShare": "5"}, {"Symbol": "B"}]}, "index_components": {"IndexComponent": [{"Isin": "i", "StockSymbol": "A"}, {"StockSymbol": "B"}]}}.get(feed, {})
+    item = {"Symbol": "A", "TradingDate": "01/02/2024", "Exchange": "X", **inner}
+    (tmp_path / "p.json").write_text(json.dumps({"totalRecord": 1, "data": [{k: v for k, v in item.items() if not inner or k != "Symbol"}]}))
+    (tmp_path / "q.json").write_text(json.dumps({"totalRecord": 0, "data": []}))
+    read = feeds.items(feeds.read_pages(spark, f"file://{tmp_path}", feed), feed)
+    good, bad = feeds.typed(read, feed)
+    assert good.count() == (2 if inner else 1) and bad.count() == 0
+    if "TradingDate" in good.columns:
+        assert good.first().TradingDate == datetime(2024, 2, 1)
+
+
 def test_markets_of_a_feed(spark):
     now = F.lit("2024-01-01").cast("timestamp")
     listed = spark.createDataFrame([(m, f"S{i}", "n", "e") for i, m in enumerate(("hose", "DERIVATIVES", "DER", "XYZ", None))], "Market string, Symbol string, StockName string, StockEnName string")

@@ -106,6 +106,12 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], version: str | Non
     return latest(both, keys, order + rest).drop("_new")
 
 
+def points_exist(spark, path: str) -> bool:
+    """Whether there is a points table at the path."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+
+
 def upsert_points(new: DataFrame, path: str, keys: list[str], time: str = "time", measurement: str = "measurement") -> None:
     """Upsert into a table partitioned by measurement and month; only months that the new points touch are read and rewritten.
 
@@ -115,8 +121,7 @@ def upsert_points(new: DataFrame, path: str, keys: list[str], time: str = "time"
         raise ValueError("no points to write")
     spark = new.sparkSession
     new = new.withColumn("month", F.date_format(time, "yyyy-MM"))
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+    if points_exist(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
         touched = new.select(measurement, "month").distinct()
         new = upserted(old.join(touched, [measurement, "month"], "left_semi").select(new.columns), new, keys)

@@ -45,8 +45,9 @@ SESSIONS = {
 
 _TEXT = lambda names: "struct<" + ", ".join(f"{n}: string" for n in names.split()) + ">"
 DETAIL = _TEXT(
-    "isin symbol symbolName symbolEngName secType marketId exchange issuer lotSize issueDate maturityDate firstTradingDate lastTradingDate contractMultiplier settlMethod underlying "
-    "putOrCall exercisePrice exerciseStyle excerciseRatio listedShare tickPrice1 tickIncrement1 tickPrice2 tickIncrement2 tickPrice3 tickIncrement3 tickPrice4 tickIncrement4"
+    "Isin Symbol SymbolName SymbolEngName SecType MarketId Exchange Issuer LotSize IssueDate MaturityDate FirstTradingDate LastTradingDate "
+    "ContractMultiplier SettlMethod Underlying PutOrCall ExercisePrice ExerciseStyle ExcerciseRatio ListedShare TickPrice1 TickIncrement1 TickPrice2 "
+    "TickIncrement2 TickPrice3 TickIncrement3 TickPrice4 TickIncrement4"
 )
 PRICE_FIELDS = (
     "PriceChange PerPriceChange CeilingPrice FloorPrice RefPrice OpenPrice HighestPrice LowestPrice ClosePrice AveragePrice ClosePriceAdjusted TotalMatchVol TotalMatchVal TotalDealVal "
@@ -56,7 +57,7 @@ PRICE_FIELDS = (
 #: Items of the feeds; every value is text until it is cast.
 ITEMS = {
     "securities": _TEXT("Market Symbol StockName StockEnName"),
-    "details": f"struct<RType: string, ReportDate: string, TotalNoSym: string, RepeatedInfo: array<{DETAIL}>>",
+    "details": f"struct<RType: string, ReportDate: string, TotalNoSym: string, RepeatedinfoList: array<{DETAIL}>>",
     "index_components": f"struct<IndexCode: string, IndexName: string, Exchange: string, TotalSymbolNo: string, IndexComponent: array<{_TEXT('Isin StockSymbol')}>>",
     "index_list": _TEXT("IndexCode IndexName Exchange"),
     "daily_ohlc": _TEXT("Symbol Market TradingDate Time Open High Low Close Volume Value"),
@@ -67,7 +68,7 @@ ITEMS = {
     ),
     "daily_prices": _TEXT("Symbol TradingDate Time " + " ".join(PRICE_FIELDS)),
 }
-NESTED = {"details": "RepeatedInfo", "index_components": "IndexComponent"}
+NESTED = {"details": "RepeatedinfoList", "index_components": "IndexComponent"}
 #: Items' whole numbers, decimals and days, by feed.
 WHOLE = {
     "daily_prices": [f for f in PRICE_FIELDS if f != "PerPriceChange"],

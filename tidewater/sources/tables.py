@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -70,6 +70,13 @@ def append(df: DataFrame, name: str) -> None:
     df.select(have.columns).write.mode("append").insertInto(name)
 
 
+def append_counted(df: DataFrame, name: str) -> int:
+    """Append and tell how many rows were written; they are counted on their way."""
+    seen = Observation()
+    append(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return seen.get["rows"]
+
+
 def truncate(spark: SparkSession, name: str) -> None:
     spark.sql(f"TRUNCATE TABLE {name}")
 
