@@ -284,6 +284,17 @@ def test_proximity(spark):
     assert [(r._k1, r.apart) for r in near] == [(1, 1)]
 
 
+def test_near_matches_of_items(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(1, item), (2, item.replace("epsilon", "epsilon and more")), (3, "alpha only"), (None, None)], "doc_id int, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id int, text string")
+    near = {(r.doc_id, r.item_id) for r in decontaminate.find_near(docs, bench).collect()}
+    assert near <= {(2, "7")}
+    wide = spark.createDataFrame([(7, "zeta one two three four kappa")], "item_id int, text string")
+    moved = spark.createDataFrame([(1, "x zeta one two three inserted four kappa one two three four one two three four")], "doc_id int, text string")
+    assert [tuple(r) for r in decontaminate.find_near(moved, wide).collect()] == [(1, "7", 1)]
+
+
 # secrets
 
 

@@ -124,6 +124,27 @@ def proximity_matches(index: DataFrame, slots: DataFrame, slop: int) -> DataFram
     return pairs.withColumn("apart", F.col("then") - F.col("begin")).where(f"other <> q and apart between 1 and {int(slop)}").select("_k1", "_k2", "item_no", "begin", "apart")
 
 
+def phrase_index(keyed: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, slots, index) of documents with columns _k1, _k2 and the text, each written to the scratch folder."""
+    bounded_batches(keyed.sparkSession)
+    items = stash(item_table(benchmark, window, item_col), "items")
+    counts = term_counts(keyed, items.select(F.explode("words").alias("term")).distinct(), text_col)
+    slots = stash(rarest_slots(items, counts), "slots")
+    return items, slots, stash(positional_index(keyed, slots, text_col), "index")
+
+
+def find_near(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(id, item_id, n_near): proximity matches of items in documents, pairs of an item's terms 1 to ``slop`` words off their distance.
+
+    Documents with equal ids and texts count once.
+    """
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
+    items, slots, index = phrase_index(keyed, benchmark, window, "text", item_col)
+    near = proximity_matches(index, slots, slop).groupBy("_k1", "_k2", "item_no").agg(F.count(F.lit(1)).alias("n_near"))
+    ids = keyed.select("_k1", "_k2", "doc_id").distinct()
+    return near.join(items, "item_no").join(ids, ["_k1", "_k2"]).select(F.col("doc_id").alias(id_col), "item_id", "n_near")
+
+
 def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` with a struct column ``_found``: n_words, n_hit, items (distinct item ids as text).
 
@@ -132,15 +153,11 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
     windows; a null item id counts as the empty one. Equal rows have equal results; other columns
     stay as they are, whatever their names.
     """
-    bounded_batches(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     own_id, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     keyed = plain.select("*", *row_key(own_id, text))
-    items = stash(item_table(benchmark, window, item_col), "items")
-    counts = term_counts(plain, items.select(F.explode("words").alias("term")).distinct(), text)
-    slots = stash(rarest_slots(items, counts), "slots")
-    index = stash(positional_index(keyed, slots, text), "index")
+    items, slots, index = phrase_index(keyed, benchmark, window, text, item_col)
     starts = aligned(index, slots).groupBy("_k1", "_k2", "item_no", "begin").agg(F.count_distinct("q").alias("n"))
     listed = starts.join(items, "item_no").where("n >= least(2, span)").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("item_id", "begin", "span", "words")).alias("_candidates"))
 
