@@ -9,7 +9,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tidewater.llm import packing, quality, simhash
+from tidewater.llm import packing, quality
+
+from .test_operators import groups_of
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,7 @@ def tables(spark, tmp_path_factory):
     prose = lambda n: " ".join("".join(rng.choices("aeioubcdfglmnprst", k=rng.randrange(2, 9))) for _ in range(n))
     item = prose(30)
     texts = [prose(rng.randrange(60, 400)) for _ in range(30)]
-    texts += [texts[0], texts[0].upper(), texts[1] + "\n", "short", None, "", "dup line of words here\n" * 60, prose(100) + " " + item + " " + prose(20), prose(80) + " token = 0123456789abcdef0123456789abcdef " + prose(3)]
+    texts += [texts[0], texts[0].upper(), texts[2] + " and some more",  texts[1] + "\n", "short", None, "", "dup line of words here\n" * 60, prose(100) + " " + item + " " + prose(20), prose(80) + " token = 0123456789abcdef0123456789abcdef " + prose(3)]
     rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[2], (None, prose(70), None, None, None)]
     path = f"file://{tmp_path_factory.mktemp('tables')}"
@@ -36,12 +38,7 @@ def expected(rows, item):
         repeated = {p for i, w in enumerate(windows) if windows.count(w) > 1 for p in range(i, i + 3)}
         if n >= 50 and 100 * len(repeated) <= 50 * n and covered <= 0.3 * n and longest <= 0.2 * n:
             kept.append(r)
-    groups = []
-    for r in kept:
-        f = simhash.text_fingerprint(r[1].encode())
-        near = [g for g in groups if any((f ^ x).bit_count() <= 2 for x, _ in g)]
-        groups = [g for g in groups if g not in near] + [[(f, r), *(m for g in near for m in g)]]
-    single = [min((r for _, r in g), key=lambda r: (r[0] is None, r[0])) for g in groups]
+    single = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups_of(kept)]
     clean = [r for r in single if item.split()[5:15] != next((r[1].split()[i : i + 10] for i in range(len(r[1].split())) if r[1].split()[i : i + 10] == item.split()[5:15]), None)]
     return kept, single, clean
 

@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN_SCRATCH: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_SCRATCH:
-        _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return _OWN_SCRATCH[app]
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
-
-    Cuts the lineage there: a lost executor repeats a file read, not the work before it. The
-    table stays until the cluster clears the folder, as lazy readers may still need it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import stash
 
+__all__ = ["stash"]
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two hashes that name a row by its id and whole text; equal rows share a key and all their results."""
@@ -72,6 +47,16 @@ def ranked(df: DataFrame, keys: list[str], bucket: str, order: list) -> DataFram
     return df.withColumn("_within", within).join(before, [*keys, bucket]).withColumn("_rank", (F.col("_before") + F.col("_within") - 1).cast("long")).drop("_within", "_before")
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join that Spark deals anew on both sides, so that it can split a hot key's partition of the left one.
+
+    Beneath an aggregate on the same keys it would keep the aggregate's partitions, and could split none.
+    A further key, derived from the others, makes it deal them again.
+    """
+    again = F.pmod(F.hash(*keys), F.lit(1024)).alias("_again")
+    return left.select("*", again).join(right.select("*", again), [*keys, "_again"], how).drop("_again")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, empty where null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, components, flat_lists, stash
+from .common import as_bytes, bounded_batches, components, flat_lists, row_key, split_join, stash
 
 #: Generator polynomial of the binary Golay code of length 23, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -81,11 +81,7 @@ def text_fingerprint(text: bytes, width: int = 3) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     h = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.fromiter((h(s, 42) for s in shingles), "<u8", len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return _majority(np.fromiter((h(s, 42) for s in shingles), "<u8", len(words) - width + 1))
 
 
 def _fingerprints_of(docs: DataFrame, width: int) -> DataFrame:
@@ -152,22 +148,122 @@ def near_duplicates(docs: DataFrame, width: int = 3, in_bucket: int = 48, id_col
     return rows.join(by_print, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Independent fingerprints in a wide print, and the shingle they are made of. At a similarity of 0.8 over five
+#: words, two-word fingerprints differ in about 9 bits of 100, so that some of 18 exact segments meets.
+WIDE, WIDE_SHINGLE = 6, 2
+#: Bits of the 384 in which a pair of that similarity may differ, four deviations above what it has.
+WIDE_BITS = 60
+
+
+def _shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; of all words where there are fewer."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n, h = max(1, len(words) - width + 1), xxhash.xxh64_intdigest
+    return np.fromiter((h(b" ".join(words[i : i + width]), 42) for i in range(n)), "<u8", n)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def wide_prints(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but the last, and ``p``, an array of WIDE fingerprints of the text in the last."""
+    kept = docs.columns[:-1]
+
+    def scan(batches):
+        for batch in batches:
+            out = []
+            for text in as_bytes(batch.column(len(kept))):
+                h = _shingles(text, WIDE_SHINGLE)
+                out.append(np.array([_majority((h ^ (h >> np.uint64(29 + j))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j)) for j in range(WIDE)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat_lists(out, pa.int64())], [*kept, "p"])
+
+    bounded_batches(docs.sparkSession)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.mapInArrow(scan, f"{kinds}, p array<long>")
+
+
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of ``prints`` (node, p), from members of a bucket and three representatives of it.
+
+    Keys are those of :func:`fingerprint_keys` for each of the WIDE fingerprints. A bucket's
+    representatives are its least, its greatest and a random node, found by an aggregate that combines
+    before the shuffle, so that a group of any size makes rows in proportion to its members.
+    """
+
+    def keys(batches):
+        for batch in batches:
+            p = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+            found = np.concatenate([(fingerprint_keys(p[:, j]) << 2) | j for j in range(WIDE)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists([np.unique(x) for x in found], pa.int64())], ["node", "keys"])
+
+    listed = prints.select("node", "p").mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    chance = F.min(F.struct(F.xxhash64("node", "key").alias("at"), "node"))
+    buckets = listed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), chance.alias("chance")).where("least <> most")
+    met = split_join(listed, buckets.select("key", F.array("least", "most", "chance.node").alias("others")), ["key"])
+    met = met.select("node", F.explode(F.array_distinct("others")).alias("other")).where("node <> other")
+    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    side = lambda c: prints.select(F.col("node").alias(c), F.col("p").alias(f"p{c}"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= WIDE_BITS).select("a", "b")
+
+
+def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, among the candidates.
+
+    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. Every candidate is
+    verified on the whole texts' shingles (as 32-bit hashes); two texts without words are alike.
+    """
+    rows = stash(wide_prints(keyed.select("_k1", "_k2", "text")), "wide")
+    prints = stash(rows.groupBy(F.col("_k2").alias("node")).agg(F.min("_k1").alias("_k1"), F.min("p").alias("p")), "prints")
+    pairs = stash(near_pairs(prints), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = prints.join(nodes, "node", "left_semi").select("_k1", F.col("node").alias("_k2"))
+
+    def sets(batches):
+        for batch in batches:
+            out = [np.unique(_shingles(t, width).astype(np.uint32)).view(np.int32) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists(out, pa.int32())], ["node", "set"])
+
+    texts = keyed.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"], "left_semi").select(F.col("_k2").alias("node"), "text")
+    known = stash(texts.mapInArrow(sets, "node long, set array<int>"), "sets")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda c: known.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+    both = split_join(split_join(pairs, side("b"), ["b"]), side("a"), ["a"])
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` of each group of near duplicates, with its columns: that of the smallest id, then of the smallest text hash.
 
-    A null id is larger than any other. Of several equal rows one stays.
+    Equal texts and verified links make the groups. A null id is larger than any other. Of several
+    equal rows one stays.
     """
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     own_id, text = (f"_c{names.index(c)}" for c in (id_col, text_col))
-    keys = [F.xxhash64(own_id).alias("_k1"), F.xxhash64(text).alias("_k2")]
-    listed = plain.select(F.struct(F.col(own_id).isNull().alias("none"), F.col(own_id).alias("id"), *keys).alias("_me"), F.col(text).alias("text"))
-    rows = stash(_fingerprints_of(listed, width), "prints")
-    nodes = stash(rows.groupBy("fp").agg(F.min("_me").alias("least")), "nodes")
-    roots = components(near_links(nodes.select("fp")))
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    keys = dict(zip(("_k1", "_k2"), row_key(own_id, text), strict=True))
+    keyed = plain.withColumns(keys)
+    roots = components(similar_links(keyed.select("_k1", "_k2", F.col(text).alias("text")), width, similarity))
+    me = F.struct(F.col(own_id).isNull().alias("none"), F.col(own_id).alias("id"), "_k1", "_k2")
+    nodes = keyed.groupBy(F.col("_k2").alias("node")).agg(F.min(me).alias("least"))
+    linked = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     chosen = linked.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    kept = plain.withColumns({"_k1": keys[0], "_k2": keys[1]}).join(chosen, ["_k1", "_k2"], "left_semi")
+    kept = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
     return kept.dropDuplicates(["_k1", "_k2"]).select(*plain.columns).toDF(*names)
 
 
