@@ -9,7 +9,8 @@ equal minimizers, so a Spark join by minimizer brings together all paths that ca
 * where one minimizer has several different paths, the path branches there; one copy of each is
   opened into its windows, and the windows that stand in two paths repeat.
 
-Two further hashes of the words at a path's own place in its source verify every match.
+A second hash, of other word values and another base, taken from the words at a path's own place in
+its source, verifies every match of a path or a window.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, row_key, stash
+from .common import as_bytes, bounded_batches, row_key, split_join, stash
 
 #: Odd multipliers of the rolling hashes and of the mixing step, modulo 2^64.
 ROLL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = 0xBF58476D1CE4E5B9
 #: Words whose hashes a task holds at once.
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -34,6 +35,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _upper(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 class Rolling:
     """Hashes of any run of a list of words, from prefix sums of word hashes times powers of an odd number."""
 
@@ -112,7 +117,7 @@ def compact_paths(docs: DataFrame, k: int, m: int, text_col: str) -> DataFrame:
                 doc, start, windows, *hashes = paths_of(*_joined(part), k, m)
                 row = doc + first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), *(pa.array(h.astype(np.uint64).view(np.int64)) for h in hashes[:2]), pa.array((hashes[2].astype(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                    [pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), *(pa.array(h.astype(np.uint64).view(np.int64)) for h in hashes[:2]), pa.array(_upper(hashes[2].astype(np.uint64)))],
                     ["_k1", "_k2", "start", "windows", "minimizer", "content", "check"],
                 )
 
@@ -121,9 +126,9 @@ def compact_paths(docs: DataFrame, k: int, m: int, text_col: str) -> DataFrame:
 
 
 def open_paths(docs: DataFrame, k: int) -> DataFrame:
-    """(minimizer, content, check, offset, edge, edge_check) for each window of the listed paths.
+    """(content, check, offset, edge, edge_check) for each window of the listed paths.
 
-    ``docs``: doc_id, text and ``paths``, an array of structs (minimizer, content, check, start, windows).
+    ``docs``: doc_id, text and ``paths``, an array of structs (content, check, start, windows).
     """
 
     def scan(batches):
@@ -139,11 +144,11 @@ def open_paths(docs: DataFrame, k: int) -> DataFrame:
                 n = np.array([p["windows"] for _, p in paths])
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(np.array([x + p["start"] for x, p in paths]), n) + offset
-                named = [np.repeat(np.array([p[c] for _, p in paths], t), n) for c, t in (("minimizer", np.int64), ("content", np.int64), ("check", np.int32))]
-                edges = [x.runs(at, at + k).view(np.int64) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, named), pa.array(offset, pa.int32()), *map(pa.array, edges)], ["minimizer", "content", "check", "offset", "edge", "edge_check"])
+                named = [np.repeat(np.array([p[c] for _, p in paths], t), n) for c, t in (("content", np.int64), ("check", np.int32))]
+                edges = [a.runs(at, at + k).view(np.int64), _upper(b.runs(at, at + k))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, named), pa.array(offset, pa.int32()), *map(pa.array, edges)], ["content", "check", "offset", "edge", "edge_check"])
 
-    return docs.select("doc_id", "text", "paths").mapInArrow(scan, "minimizer long, content long, check int, offset int, edge long, edge_check long")
+    return docs.select("doc_id", "text", "paths").mapInArrow(scan, "content long, check int, offset int, edge long, edge_check int")
 
 
 def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,19 +162,20 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, id_col: str = "doc_
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     paths = compact_paths(keyed, k, m, "text")
     again = paths.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("minimizer")
-    paths = stash(paths.join(again, "minimizer", "left_semi"), "paths")
-    same = ["minimizer", "content", "check"]
-    distinct = stash(paths.groupBy(*same).agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("_k1", "_k2", "start", "windows")).alias("one")), "distinct")
+    paths = stash(split_join(paths, again, ["minimizer"], "left_semi"), "paths")
+    path = ["content", "check"]
+    distinct = stash(paths.groupBy(*path).agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("_k1", "_k2", "start", "windows")).alias("one"), F.first("minimizer").alias("minimizer")), "distinct")
     branching = distinct.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("minimizer")
-    opened = distinct.join(branching, "minimizer", "left_semi").select(*same, "one.*")
-    by_row = opened.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(*same, "start", "windows")).alias("paths"))
+    opened = split_join(distinct, branching, ["minimizer"], "left_semi").select(*path, "one.*")
+    by_row = opened.groupBy("_k1", "_k2").agg(F.collect_list(F.struct(*path, "start", "windows")).alias("paths"))
     # The same columns of the documents go into both joins, so that Spark deals out the texts once and reuses them.
-    edges = open_paths(keyed.join(by_row, ["_k1", "_k2"]), k).distinct()
+    edges = open_paths(keyed.join(by_row, ["_k1", "_k2"]), k)
     repeated = edges.groupBy("edge", "edge_check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge", "edge_check")
-    marks = edges.join(repeated, ["edge", "edge_check"]).groupBy(*same).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))).alias("mask"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))
+    marks = split_join(edges, repeated, ["edge", "edge_check"], "left_semi").groupBy(*path).agg(F.bit_or(bit).alias("mask"))
     full = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("one.windows")) - 1
-    marked = distinct.join(marks, same, "left").select(*same, F.when(F.col("places") > 1, full).otherwise(F.col("mask")).alias("mask")).where("mask is not null")
-    found = paths.join(marked, same).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marked = distinct.join(marks, path, "left").select(*path, F.when(F.col("places") > 1, full).otherwise(F.col("mask")).alias("mask")).where("mask is not null")
+    found = split_join(paths.select("_k1", "_k2", "start", *path), marked, path).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     return _without(keyed.join(found, ["_k1", "_k2"], "left"), k, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("doc_id", id_col)
 
 
