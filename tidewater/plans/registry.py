@@ -153,9 +153,9 @@ for _kind in ("inner", "left", "right", "full"):
     )(lambda t, k=_kind: relational.join(t.customer.where("c_custkey % 3 <> 0"), t.orders.where("o_custkey % 5 <> 0"), k, "c_custkey", "o_custkey").select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))
 
 
-@query("select n_nationkey, r_regionkey from nation cross join region")
+@query("select s_suppkey, r_regionkey from supplier cross join region")
 def join_cross(t):
-    return relational.join(t.nation.select("n_nationkey"), t.region.select("r_regionkey"), "cross")
+    return relational.join(t.supplier.select("s_suppkey"), t.region.select("r_regionkey"), "cross")
 
 
 @query(
@@ -190,10 +190,12 @@ def market_lookup(t):
     return relational.append(rows)
 
 
-@query("(select n_name as value, 'actual' as side from nation where n_nationkey > 20) union all select 'ATLANTIS', 'expected'")
+@query(
+    """(select distinct o_custkey as value, 'actual' as side from orders where o_custkey % 7 <> 0 and o_custkey not in (select c_custkey from customer where c_custkey % 5 <> 0)) union all
+    (select c_custkey, 'expected' from customer where c_custkey % 5 <> 0 and c_custkey not in (select o_custkey from orders where o_custkey % 7 <> 0))"""
+)
 def set_equality(t):
-    expected = t.nation.where("n_nationkey <= 20").select("n_name").union(t.spark.sql("select 'ATLANTIS'"))
-    return relational.set_difference(t.nation, "n_name", expected, "n_name")
+    return relational.set_difference(t.orders.where("o_custkey % 7 <> 0"), "o_custkey", t.customer.where("c_custkey % 5 <> 0"), "c_custkey")
 
 
 @query(
@@ -394,20 +396,24 @@ def agg_range(t):
 # Feeds
 
 
-@query("select r_name as Market, n_nationkey::varchar as Symbol, n_name as StockName, lower(n_name) as StockEnName from nation join region on n_regionkey = r_regionkey")
+@query("select n_name as Market, c_custkey::varchar as Symbol, c_name as StockName, lower(c_name) as StockEnName from customer join nation on c_nationkey = n_nationkey")
 def feed_parse(t):
-    item = F.struct(F.col("r_name").alias("Market"), F.col("n_nationkey").cast("string").alias("Symbol"), F.col("n_name").alias("StockName"), F.lower("n_name").alias("StockEnName"))
-    listed = relational.join(t.nation, t.region, "inner", "n_regionkey", "r_regionkey").groupBy("r_name").agg(F.collect_list(item).alias("data"), F.count(F.lit(1)).alias("totalRecord"))
+    item = F.struct(F.col("n_name").alias("Market"), F.col("c_custkey").cast("string").alias("Symbol"), F.col("c_name").alias("StockName"), F.lower("c_name").alias("StockEnName"))
+    paged = relational.join(t.customer, t.nation, "inner", "c_nationkey", "n_nationkey").groupBy(F.expr("c_custkey div 100").alias("page"))
+    listed = paged.agg(F.collect_list(item).alias("data"), F.count(F.lit(1)).alias("totalRecord"))
     pages = listed.select(F.to_json(F.struct(F.lit("ok").alias("message"), F.lit(200).alias("status"), "totalRecord", "data")).alias("page"))
     return feeds.items(feeds.parse_pages(pages, "page", "securities"), "securities")
 
 
-@query("select r_regionkey::varchar as IndexCode, r_name as IndexName, null::varchar as Exchange, 5::varchar as TotalSymbolNo, n_nationkey::varchar as Isin, n_name as StockSymbol from nation join region on n_regionkey = r_regionkey")
+@query(
+    """select n_nationkey::varchar as IndexCode, n_name as IndexName, null::varchar as Exchange, '100' as TotalSymbolNo, c_custkey::varchar as Isin, c_name as StockSymbol
+    from customer join nation on c_nationkey = n_nationkey"""
+)
 def feed_nested(t):
-    inner = F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("Isin"), F.col("n_name").alias("StockSymbol")))
-    item = F.struct(F.col("r_regionkey").cast("string").alias("IndexCode"), F.col("r_name").alias("IndexName"), F.lit("5").alias("TotalSymbolNo"), inner.alias("IndexComponent"))
-    listed = relational.join(t.nation, t.region, "inner", "n_regionkey", "r_regionkey").groupBy("r_regionkey", "r_name").agg(item.alias("item"))
-    pages = listed.select(F.to_json(F.struct(F.array("item").alias("data"))).alias("page"))
+    inner = F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("Isin"), F.col("c_name").alias("StockSymbol")))
+    item = F.struct(F.col("n_nationkey").cast("string").alias("IndexCode"), F.col("n_name").alias("IndexName"), F.lit("100").alias("TotalSymbolNo"), inner.alias("IndexComponent"))
+    paged = relational.join(t.customer, t.nation, "inner", "c_nationkey", "n_nationkey").groupBy("n_nationkey", "n_name", F.expr("c_custkey div 100").alias("page"))
+    pages = paged.agg(item.alias("item")).select(F.to_json(F.struct(F.array("item").alias("data"))).alias("page"))
     return feeds.items(feeds.parse_pages(pages, "page", "index_components"), "index_components")
 
 
@@ -426,18 +432,18 @@ def feed_casts(t):
 
 # Incremental work
 
-_WORK = "nation cross join (select unnest(generate_series(timestamp '2020-02-01', timestamp '2020-06-09 23:59:59', interval 30 days)) as window_start)"
+_WORK = "supplier cross join (select unnest(generate_series(timestamp '2020-02-01', timestamp '2020-06-09 23:59:59', interval 30 days)) as window_start)"
 
 
-@query(f"select window_start, window_start + interval 30 days as window_end, n_name as symbol from {_WORK}")
+@query(f"select window_start, window_start + interval 30 days as window_end, s_name as symbol from {_WORK}")
 def crawl_worklist(t):
-    return incremental.work_list(t.nation, "n_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00")
+    return incremental.work_list(t.supplier, "s_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00")
 
 
-@query(f"select window_start, window_start + interval 30 days as window_end, n_name as symbol from {_WORK} where (window_start, n_name) >= (timestamp '2020-04-01', 'JAPAN')")
+@query(f"select window_start, window_start + interval 30 days as window_end, s_name as symbol from {_WORK} where (window_start, s_name) >= (timestamp '2020-04-01', 'Supplier#000000004')")
 def crawl_resume(t):
-    checkpoint = t.spark.sql("select 1 as ID, timestamp'2020-04-01' as CurrentStartInterval, 'JAPAN' as CurrentSymbol")
-    return incremental.resume(incremental.work_list(t.nation, "n_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00"), checkpoint)
+    checkpoint = t.spark.sql("select 1 as ID, timestamp'2020-04-01' as CurrentStartInterval, 'Supplier#000000004' as CurrentSymbol")
+    return incremental.resume(incremental.work_list(t.supplier, "s_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00"), checkpoint)
 
 
 # Market analytics
