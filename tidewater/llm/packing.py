@@ -149,7 +149,7 @@ def _configurations(sizes: list[int], counts: list[int], size: int) -> list[tupl
     return made
 
 
-def plan(histogram: dict[int, int], size: int = 2048, groups: int = 96, large: int | None = None) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], size: int = 2048, groups: int = 400, large: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, ranks, first sequence, offset): where the pieces of each length go.
 
     ``groups`` is the number of linear groups and so of sizes in a configuration; ``large`` the least
@@ -240,7 +240,7 @@ def plan(histogram: dict[int, int], size: int = 2048, groups: int = 96, large: i
     return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, groups: int = 96, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, groups: int = 400, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 2048) -> DataFrame:
     """Pieces of all documents with sequence_id and offset; see :func:`pieces` and :func:`plan`.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Every piece is placed once,
