@@ -149,10 +149,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, in_bucket: int = 48, id_col
 
 
 #: Independent fingerprints in a wide print, and the shingle they are made of. At a similarity of 0.8 over five
-#: words, two-word fingerprints differ in about 9 bits of 100, so that some of 18 exact segments meets.
-WIDE, WIDE_SHINGLE = 6, 2
-#: Bits of the 384 in which a pair of that similarity may differ, four deviations above what it has.
-WIDE_BITS = 60
+#: words, two-word fingerprints differ in about 9 bits of 100, so that some of 15 exact segments meets.
+WIDE, WIDE_SHINGLE = 5, 2
+#: Bits of the 320 in which a pair of that similarity may differ, four deviations above what it has.
+WIDE_BITS = 50
+#: Most rows of a table of hash buckets that is broadcast to keep rows out of a shuffle.
+BUCKETS = 1 << 20
 
 
 def _shingles(text: bytes, width: int) -> np.ndarray:
@@ -192,8 +194,9 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of ``prints`` (node, p), from members of a bucket and three representatives of it.
 
     Keys are those of :func:`fingerprint_keys` for each of the WIDE fingerprints. A bucket's
-    representatives are its least, its greatest and a random node, found by an aggregate that combines
-    before the shuffle, so that a group of any size makes rows in proportion to its members.
+    representatives are its least, its greatest and one by chance (least after an exclusive or with the
+    key's hash), found by an aggregate that combines before the shuffle, so that a group of any size
+    makes rows in proportion to its members.
     """
 
     def keys(batches):
@@ -203,9 +206,9 @@ def near_pairs(prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists([np.unique(x) for x in found], pa.int64())], ["node", "keys"])
 
     listed = prints.select("node", "p").mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    chance = F.min(F.struct(F.xxhash64("node", "key").alias("at"), "node"))
-    buckets = listed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), chance.alias("chance")).where("least <> most")
-    met = split_join(listed, buckets.select("key", F.array("least", "most", "chance.node").alias("others")), ["key"])
+    mask = F.xxhash64("key")
+    buckets = listed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.col("node").bitwiseXOR(mask)).alias("chance")).where("least <> most")
+    met = split_join(listed, buckets.select("key", F.array("least", "most", F.col("chance").bitwiseXOR(mask)).alias("others")), ["key"])
     met = met.select("node", F.explode(F.array_distinct("others")).alias("other")).where("node <> other")
     pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     side = lambda c: prints.select(F.col("node").alias(c), F.col("p").alias(f"p{c}"))
@@ -213,6 +216,17 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= WIDE_BITS).select("a", "b")
 
 
+def _in_buckets(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows that share a hash bucket with ``some`` (or with left_anti none do), told without a shuffle.
+
+    The broadcast table has BUCKETS rows at most, whatever the input. It spares the texts of most other
+    rows a shuffle as long as ``some`` fills few buckets, and passes all on when it fills them.
+    """
+    bucket = F.pmod("_k2", F.lit(BUCKETS)).alias("_bucket")
+    hit = some.select(bucket).distinct()
+    return rows.select("*", bucket).join(F.broadcast(hit), "_bucket", how).drop("_bucket")
+
+
 def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, among the candidates.
 
@@ -230,7 +244,7 @@ def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8) ->
             out = [np.unique(_shingles(t, width).astype(np.uint32)).view(np.int32) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists(out, pa.int32())], ["node", "set"])
 
-    texts = keyed.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"], "left_semi").select(F.col("_k2").alias("node"), "text")
+    texts = _in_buckets(keyed.select("_k1", "_k2", "text"), wanted).join(wanted, ["_k1", "_k2"], "left_semi").select(F.col("_k2").alias("node"), "text")
     known = stash(texts.mapInArrow(sets, "node long, set array<int>"), "sets")
 
     def verify(batches):
@@ -260,11 +274,16 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     keyed = plain.withColumns(keys)
     roots = components(similar_links(keyed.select("_k1", "_k2", F.col(text).alias("text")), width, similarity))
     me = F.struct(F.col(own_id).isNull().alias("none"), F.col(own_id).alias("id"), "_k1", "_k2")
-    nodes = keyed.groupBy(F.col("_k2").alias("node")).agg(F.min(me).alias("least"))
-    linked = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    chosen = linked.groupBy("root").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
-    kept = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*plain.columns).toDF(*names)
+    nodes = keyed.groupBy(F.col("_k2").alias("node")).agg(F.min(me).alias("least"), F.count(F.lit(1)).alias("rows"))
+    linked = nodes.join(roots, "node", "left").select("least", "rows", F.coalesce("root", "node").alias("root"), F.col("node").alias("_k2"))
+    linked = stash(linked, "linked")
+    groups = linked.groupBy("root").agg(F.min("least").alias("least"), F.sum("rows").alias("n")).where("n > 1")
+    chosen = stash(groups.select("root", "least._k1", "least._k2"), "chosen")
+    grouped = linked.join(chosen.select("root"), "root", "left_semi").select("_k2")
+    single = linked.join(chosen.select("root"), "root", "left_anti").select("least._k1", "_k2")
+    stay = _in_buckets(single, grouped).unionByName(chosen.select("_k1", "_k2"))
+    kept = _in_buckets(keyed, grouped).join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(keyed.columns)
+    return _in_buckets(keyed, grouped, "left_anti").unionByName(kept).select(*plain.columns).toDF(*names)
 
 
 def op7_golay_simhash(spark, sf_dir: str) -> DataFrame:
