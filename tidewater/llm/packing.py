@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from .common import as_bytes, bounded_batches, buckets_for, ranked, stash
 
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 #: A space at which a text is not cut.
 _INNER_SPACE = re.compile(r" (?=\s|$)")
