@@ -183,6 +183,36 @@ def test_near_copies_are_found(spark):
     assert found <= true and len(true) > 25 and len(found) >= 0.9 * len(true)
 
 
+def same_components(spark, texts, **settings):
+    links = simhash.similar_links(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_k1 long, _k2 long, text string"), **settings).collect()
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := t.split()) else frozenset() for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert {tuple(sorted(x, reverse=True)) for x in links} <= set(alike)
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
+
+    assert groups(links) == groups(alike)
+    return len(alike)
+
+
+def test_appended_cut_and_replaced_passages_are_found(spark):
+    rng, texts = random.Random(4), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    for i in range(150):
+        words = [word() for _ in range(rng.randrange(80, 400))]
+        n = int(len(words) * rng.choice([0.06, 0.1]) if i % 3 == 2 else len(words) * rng.choice([0.15, 0.2, 0.23]))
+        at = rng.randrange(len(words) - n)
+        passage = [word() for _ in range(n)]
+        other = (words + passage, words[: len(words) - int(n * 0.8)], words[:at] + passage + words[at + n :])[i % 3]
+        texts += [" ".join(words), " ".join(other)]
+    assert same_components(spark, texts) > 100
+
+
 @pytest.mark.parametrize("in_bucket", [2, 100])
 def test_links_give_the_components_of_planted_neighbours(spark, in_bucket):
     rng = random.Random(3)

@@ -10,13 +10,14 @@ Fingerprints that share a key are compared, and the links' components give the g
 
 from __future__ import annotations
 
+import math
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, components, flat_lists, row_key, split_join, stash
@@ -148,11 +149,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, in_bucket: int = 48, id_col
     return rows.join(by_print, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Independent fingerprints in a wide print, and the shingle they are made of. At a similarity of 0.8 over five
-#: words, two-word fingerprints differ in about 9 bits of 100, so that some of 15 exact segments meets.
-WIDE, WIDE_SHINGLE = 5, 2
-#: Bits of the 320 in which a pair of that similarity may differ, four deviations above what it has.
-WIDE_BITS = 50
+#: Members up to which all pairs of a prefix key are compared without a look at what is linked already.
+IN_BUCKET = 48
+#: One of so many texts tells which shingles are frequent, and the most of them that all tasks hold.
+SAMPLED, FREQUENT = 8, 1 << 17
 #: Most rows of a table of hash buckets that is broadcast to keep rows out of a shuffle.
 BUCKETS = 1 << 20
 
@@ -173,47 +173,114 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def wide_prints(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but the last, and ``p``, an array of WIDE fingerprints of the text in the last."""
-    kept = docs.columns[:-1]
+def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """``texts`` (_k1, _k2, text) as distinct nodes: node, _k1, n (shingles of the set) and keys, the first of the set.
+
+    The order of shingles is that of their hashes with those in ``last`` (sorted) behind all others, the
+    same for all texts. Sets of ``similarity`` share at least ceil(similarity * n) shingles, so the least
+    of these is among the first n - ceil(similarity * n) + 1 of both. A text without words has the key 0.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(last)
 
     def scan(batches):
+        last = shared.value
+        for batch in batches:
+            sizes, keys = [], []
+            for text in as_bytes(batch.column(2)):
+                h = np.unique(_shingles(text, width) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                late = np.isin(h, last) if len(last) else np.zeros(len(h), bool)
+                n = len(h)
+                sizes.append(n)
+                keys.append(np.concatenate([h[~late], h[late]])[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int32()), flat_lists(keys, pa.int64())], ["_k1", "_k2", "n", "keys"])
+
+    bounded_batches(texts.sparkSession)
+    found = texts.mapInArrow(scan, "_k1 long, _k2 long, n int, keys array<long>")
+    return found.groupBy(F.col("_k2").alias("node")).agg(F.min("_k1").alias("_k1"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+
+
+def _frequent(nodes: DataFrame) -> np.ndarray:
+    """Sorted keys of many ``nodes``, at most FREQUENT, told from a sample; any choice gives the same links, at another cost."""
+    sampled = nodes.where(F.pmod("node", F.lit(SAMPLED)) == 0).select(F.explode("keys").alias("key"))
+    counts = stash(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IN_BUCKET // SAMPLED), "frequent")
+    step = F.floor(16 * F.log2("n")).cast("int")
+    least, room = None, FREQUENT
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.step
+    if least is None:
+        return np.zeros(0, np.int64)
+    return np.sort(np.array([r.key for r in counts.where(step >= least).select("key").collect()], np.int64))
+
+
+def prefix_nodes(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The distinct texts of ``keyed`` as of :func:`_prefixes`, with frequent shingles last."""
+    first = stash(_prefixes(keyed, width, similarity, np.zeros(0, np.int64)), "prefixes")
+    last = _frequent(first)
+    if not len(last):
+        return first
+    shared = keyed.sparkSession.sparkContext.broadcast(last)
+
+    def touch(batches):
         for batch in batches:
-            out = []
-            for text in as_bytes(batch.column(len(kept))):
-                h = _shingles(text, WIDE_SHINGLE)
-                out.append(np.array([_majority((h ^ (h >> np.uint64(29 + j))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j)) for j in range(WIDE)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat_lists(out, pa.int64())], [*kept, "p"])
+            hit = [bool(np.isin(k.values.to_numpy(), shared.value).any()) for k in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "hit"])
 
-    bounded_batches(docs.sparkSession)
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(scan, f"{kinds}, p array<long>")
+    marked = first.select("node", "_k1", "n", "keys").mapInArrow(touch, "node long, _k1 long, n int, keys array<long>, hit boolean")
+    again = stash(marked.where("hit").select("_k1", F.col("node").alias("_k2")), "again")
+    texts = _in_buckets(keyed, again).join(again, ["_k1", "_k2"], "left_semi")
+    return stash(marked.where("not hit").drop("hit").unionByName(_prefixes(texts, width, similarity, last)), "prefixes")
+
+
+def _size_fits(a: Column, b: Column, similarity: float) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
 
 
-def near_pairs(prints: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of ``prints`` (node, p), from members of a bucket and three representatives of it.
+def prefix_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, n, p, key, members): the keys that several nodes have, with the number of these; p is the length of a node's keys."""
+    listed = nodes.select("node", "n", F.size("keys").alias("p"), F.explode("keys").alias("key"))
+    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return split_join(listed, counts, ["key"])
 
-    Keys are those of :func:`fingerprint_keys` for each of the WIDE fingerprints. A bucket's
-    representatives are its least, its greatest and one by chance (least after an exclusive or with the
-    key's hash), found by an aggregate that combines before the shuffle, so that a group of any size
-    makes rows in proportion to its members.
+
+def _enough(both: DataFrame, common: Column, similarity: float) -> DataFrame:
+    """Pairs that may be alike if they have at most ``common`` keys in common.
+
+    Of one of the two, whose last key comes no later than the other's, all keys are told: those not in
+    common aren't in the other set either. So the sets share at most ``common`` and what is outside the keys.
     """
+    outside = F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return both.where(common + outside >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
 
-    def keys(batches):
-        for batch in batches:
-            p = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
-            found = np.concatenate([(fingerprint_keys(p[:, j]) << 2) | j for j in range(WIDE)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists([np.unique(x) for x in found], pa.int64())], ["node", "keys"])
 
-    listed = prints.select("node", "p").mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+_BOTH = ("a", "b", "na", "nb", "pa", "pb")
+
+
+def _ordered(x: Column, y: Column) -> list[Column]:
+    """The columns of _BOTH from structs (node, n, p, ...)."""
+    low, high = F.when(x["node"] < y["node"], x).otherwise(y), F.when(x["node"] < y["node"], y).otherwise(x)
+    return [low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("na"), high["n"].alias("nb"), low["p"].alias("pa"), high["p"].alias("pb")]
+
+
+def small_pairs(found: DataFrame, in_bucket: int, similarity: float) -> DataFrame:
+    """_BOTH and ``common``: the pairs of nodes of a fitting size that share keys of up to ``in_bucket`` members, and how many of these."""
+    me = F.struct("node", "n", "p")
+    before = F.collect_list(me).over(Window.partitionBy("key").orderBy("node").rowsBetween(-in_bucket, -1))
+    met = found.where(F.col("members") <= in_bucket).select(me.alias("x"), before.alias("before"))
+    met = met.select("x", F.explode(F.filter("before", lambda y: _size_fits(y["n"], F.col("x.n"), similarity))).alias("y"))
+    return met.select(*_ordered(F.col("x"), F.col("y"))).groupBy(*_BOTH).agg(F.count(F.lit(1)).alias("common"))
+
+
+def hub_pairs(large: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the members of ``large`` buckets with four of them: least, greatest, one by chance, and that of most large keys."""
     mask = F.xxhash64("key")
-    buckets = listed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.col("node").bitwiseXOR(mask)).alias("chance")).where("least <> most")
-    met = split_join(listed, buckets.select("key", F.array("least", "most", F.col("chance").bitwiseXOR(mask)).alias("others")), ["key"])
-    met = met.select("node", F.explode(F.array_distinct("others")).alias("other")).where("node <> other")
-    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda c: prints.select(F.col("node").alias(c), F.col("p").alias(f"p{c}"))
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= WIDE_BITS).select("a", "b")
+    me = F.struct("node", "n", "p")
+    hubs = large.groupBy("key").agg(F.min(me).alias("least"), F.max(me).alias("most"), F.min_by(me, F.col("node").bitwiseXOR(mask)).alias("chance"), F.max_by(me, F.struct("large", "node")).alias("centre"))
+    met = split_join(large, hubs.select("key", F.array_distinct(F.array("least", "most", "chance", "centre")).alias("hubs")), ["key"])
+    met = met.select(me.alias("x"), F.explode("hubs").alias("y")).where("x.node <> y.node").where(_size_fits(F.col("x.n"), F.col("y.n"), similarity))
+    return met.select(*_ordered(F.col("x"), F.col("y"))).select("a", "b").distinct()
 
 
 def _in_buckets(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -227,24 +294,18 @@ def _in_buckets(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> Dat
     return rows.select("*", bucket).join(F.broadcast(hit), "_bucket", how).drop("_bucket")
 
 
-def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, among the candidates.
-
-    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. Every candidate is
-    verified on the whole texts' shingles (as 32-bit hashes); two texts without words are alike.
-    """
-    rows = stash(wide_prints(keyed.select("_k1", "_k2", "text")), "wide")
-    prints = stash(rows.groupBy(F.col("_k2").alias("node")).agg(F.min("_k1").alias("_k1"), F.min("p").alias("p")), "prints")
-    pairs = stash(near_pairs(prints), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = prints.join(nodes, "node", "left_semi").select("_k1", F.col("node").alias("_k2"))
+def verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole texts' shingles (as 32-bit hashes) are that similar; two texts without words are alike."""
+    pairs = stash(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stash(nodes.select("node", "_k1").join(ends, "node", "left_semi").select("_k1", F.col("node").alias("_k2")), "wanted")
 
     def sets(batches):
         for batch in batches:
             out = [np.unique(_shingles(t, width).astype(np.uint32)).view(np.int32) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists(out, pa.int32())], ["node", "set"])
 
-    texts = _in_buckets(keyed.select("_k1", "_k2", "text"), wanted).join(wanted, ["_k1", "_k2"], "left_semi").select(F.col("_k2").alias("node"), "text")
+    texts = _in_buckets(keyed, wanted).join(wanted, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k2"]).select(F.col("_k2").alias("node"), "text")
     known = stash(texts.mapInArrow(sets, "node long, set array<int>"), "sets")
 
     def verify(batches):
@@ -258,7 +319,28 @@ def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     side = lambda c: known.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
     both = split_join(split_join(pairs, side("b"), ["b"]), side("a"), ["a"])
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+    return stash(both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), "alike")
+
+
+def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8, in_bucket: int = IN_BUCKET) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of texts with a Jaccard similarity of ``similarity`` or more.
+
+    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. Two such texts
+    share a prefix key (see :func:`_prefixes`). Keys of up to ``in_bucket`` members give
+    all their pairs, the members of others meet four of them. Every link is verified.
+    """
+    keyed = keyed.select("_k1", "_k2", "text")
+    nodes = prefix_nodes(keyed, width, similarity)
+    found = stash(prefix_buckets(nodes), "buckets")
+    large = found.where(F.col("members") > in_bucket)
+    per_node = large.groupBy("node").agg(F.count(F.lit(1)).alias("large"))
+    large = stash(large.join(per_node, "node"), "large")
+    small = stash(small_pairs(found, in_bucket, similarity), "small")
+    held = lambda c: per_node.select(F.col("node").alias(c), F.col("large").alias(f"l{c}"))
+    near = small.join(held("a"), "a", "left").join(held("b"), "b", "left")
+    near = _enough(near, F.col("common") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))), similarity)
+    links = verified(keyed, nodes, near.unionByName(hub_pairs(large, similarity)).distinct(), width, similarity)
+    return links
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
