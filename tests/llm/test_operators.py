@@ -213,6 +213,26 @@ def test_appended_cut_and_replaced_passages_are_found(spark):
     assert same_components(spark, texts) > 100
 
 
+@pytest.mark.parametrize("in_bucket", [3, 48])
+def test_large_buckets_lose_no_links(spark, in_bucket):
+    """A group of copies that are near the original alone, a chain of versions, and pairs in a crowd with one passage."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    words = [word() for _ in range(200)]
+    change = lambda w, at, n: w[:at] + [word() for _ in range(n)] + w[at + n :]
+    texts = [" ".join(change(words, rng.randrange(180), 16)) for _ in range(60)]
+    texts.insert(25, " ".join(words))
+    chain = [word() for _ in range(120)]
+    for _ in range(60):
+        texts.append(" ".join(chain))
+        chain = chain[6:] + [word() for _ in range(6)]
+    shared = [word() for _ in range(90)]
+    for _ in range(60):
+        own = [word() for _ in range(15)]
+        texts += [" ".join(shared + own), " ".join(shared[:-1] + own + [word()])] if rng.random() < 0.3 else [" ".join(shared[:70] + own + [word() for _ in range(10)])]
+    assert same_components(spark, texts, in_bucket=in_bucket) > 100
+
+
 @pytest.mark.parametrize("in_bucket", [2, 100])
 def test_links_give_the_components_of_planted_neighbours(spark, in_bucket):
     rng = random.Random(3)

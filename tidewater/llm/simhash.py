@@ -283,6 +283,24 @@ def hub_pairs(large: DataFrame, similarity: float) -> DataFrame:
     return met.select(*_ordered(F.col("x"), F.col("y"))).select("a", "b").distinct()
 
 
+def other_pairs(large: DataFrame, roots: DataFrame, small: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of ``large`` buckets that may be alike and that ``roots`` (node, root) do not join.
+
+    In each bucket, all members outside its greatest component meet all members of another component;
+    those inside one need no pair. ``small`` has the keys in common beside, so these counts are whole.
+    """
+    held = stash(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "held")
+    parts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    held = stash(split_join(held, main.select("key", F.col("main.root").alias("main")), ["key"]), "open")
+    me = F.struct("node", "n", "p", "root", "main")
+    met = split_join(held.select("key", me.alias("x")), held.where("root <> main").select("key", me.alias("y")), ["key"])
+    met = met.where("x.root <> y.root and (x.root = x.main or x.node < y.node)").where(_size_fits(F.col("x.n"), F.col("y.n"), similarity))
+    common = met.select(*_ordered(F.col("x"), F.col("y"))).groupBy(*_BOTH).agg(F.count(F.lit(1)).alias("common"))
+    beside = small.select("a", "b", F.col("common").alias("beside"))
+    return _enough(common.join(beside, ["a", "b"], "left"), F.col("common") + F.coalesce("beside", F.lit(0)), similarity)
+
+
 def _in_buckets(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows that share a hash bucket with ``some`` (or with left_anti none do), told without a shuffle.
 
@@ -325,9 +343,10 @@ def verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, s
 def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8, in_bucket: int = IN_BUCKET) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of texts with a Jaccard similarity of ``similarity`` or more.
 
-    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. Two such texts
-    share a prefix key (see :func:`_prefixes`). Keys of up to ``in_bucket`` members give
-    all their pairs, the members of others meet four of them. Every link is verified.
+    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. No pair is missed:
+    two such texts share a prefix key (see :func:`_prefixes`). Keys of up to ``in_bucket`` members give
+    all their pairs. The members of others meet four of them first; then all that are not yet joined
+    meet each other. Every link is verified.
     """
     keyed = keyed.select("_k1", "_k2", "text")
     nodes = prefix_nodes(keyed, width, similarity)
@@ -340,7 +359,10 @@ def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8, in_
     near = small.join(held("a"), "a", "left").join(held("b"), "b", "left")
     near = _enough(near, F.col("common") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))), similarity)
     links = verified(keyed, nodes, near.unionByName(hub_pairs(large, similarity)).distinct(), width, similarity)
-    return links
+    if large.isEmpty():
+        return links
+    more = stash(other_pairs(large, components(links), small, similarity), "more")
+    return links if more.isEmpty() else links.unionByName(verified(keyed, nodes, more, width, similarity)).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
