@@ -405,6 +405,21 @@ def test_random_tokens_are_told_from_words(spark):
 # pages
 
 
+def test_a_strong_token_passes_in_a_crowd(spark):
+    """Its deviation is beyond what two million ordinary candidates of its band have."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=120))
+    found = spark.createDataFrame([(token,)], "text string").select(secrets._places(F.col("text"), secrets.TOKEN, 3).alias("tokens"))
+    found = found.select(secrets._battery(F.col("tokens"), 4.0).alias("random"))
+    (own,) = found.first().random
+    plain = F.struct(F.lit(0).cast("long").alias("start"), F.lit(3).alias("kind"), F.lit(0).cast("long").alias("end"), F.lit(own.band).alias("band"), F.lit(0).alias("x"))
+    crowd = spark.range(200).select(F.array_repeat(plain, 10_000).alias("random"))
+    assert secrets.thresholds(found.unionByName(crowd), 0.05) == {own.band: own.x}
+
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class=\"ad\">Buy now <b>x</b></div>"

@@ -38,8 +38,8 @@ WORD_SHARES, NUMBER_SHARES = (0.0655, 0.0054), (0.1, 0.01)
 TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 #: Lower ends of the length bands.
 BANDS = (20, 28, 40, 64, 128)
-#: Largest deviation that is told apart, in hundredths.
-MOST = 500
+#: Largest deviation that is told apart, in hundredths: the tail beyond it is less than a double can hold well.
+MOST = 3700
 
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
 
