@@ -173,6 +173,13 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted ``held``, by binary search, as ``held`` may be far the longer."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
 def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
     """``texts`` (_k1, _k2, text) as distinct nodes: node, _k1, n (shingles of the set) and keys, the first of the set.
 
@@ -188,7 +195,7 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray)
             sizes, keys = [], []
             for text in as_bytes(batch.column(2)):
                 h = np.unique(_shingles(text, width) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                late = np.isin(h, last) if len(last) else np.zeros(len(h), bool)
+                late = _among(h, last)
                 n = len(h)
                 sizes.append(n)
                 keys.append(np.concatenate([h[~late], h[late]])[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.int64))
@@ -225,10 +232,10 @@ def prefix_nodes(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
 
     def touch(batches):
         for batch in batches:
-            hit = [bool(np.isin(k.values.to_numpy(), shared.value).any()) for k in batch.column(3)]
+            hit = [bool(_among(k.values.to_numpy(), shared.value).any()) for k in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "hit"])
 
-    marked = first.select("node", "_k1", "n", "keys").mapInArrow(touch, "node long, _k1 long, n int, keys array<long>, hit boolean")
+    marked = stash(first.select("node", "_k1", "n", "keys").mapInArrow(touch, "node long, _k1 long, n int, keys array<long>, hit boolean"), "marked")
     again = stash(marked.where("hit").select("_k1", F.col("node").alias("_k2")), "again")
     texts = _in_buckets(keyed, again).join(again, ["_k1", "_k2"], "left_semi")
     return stash(marked.where("not hit").drop("hit").unionByName(_prefixes(texts, width, similarity, last)), "prefixes")
