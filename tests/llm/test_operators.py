@@ -523,3 +523,24 @@ def test_exchange_finds_alternating_classes(spark):
     model = lm_score.train(spark.createDataFrame(texts, "text string"), lm_score.Settings(known=8, clustered=8, classes=2, endings=1, rounds=8))
     classes = {w: c for w, (c, _) in model.known.items()}
     assert len({classes[w] for w in (b"a", b"b", b"c", b"d")}) == 1 and len(set(classes.values())) == 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>no</title><script>var x = '<p>'</script><meta charset=utf-8><body><nav><a>no</a></nav>{}</body></html>",
+        "<html><head><title>no</title></head><body><div class='content-sidebar-wrap'>{}</div></body></html>",
+        "<div class='has-sidebar'><div class='page-with-comments'>{}</div></div>",
+        "<form id='page'><main>{}</main></form>",
+    ],
+)
+def test_wrappers_and_open_heads_keep_the_article(page):
+    words = " ".join(["word"] * 60)
+    article = f"<article><header class='entry-header'><h1>A headline here</h1></header><p>{words}</p><p>{words}</p></article>"
+    assert html_text.main_text(page.format(article), html_text.trained_tree()) == f"A headline here {words} {words}"
+
+
+def test_comments_as_articles_stay_asides():
+    words = " ".join(["word"] * 60)
+    page = f"<article><h1>A headline here</h1><p>{words}</p></article><div class='comments'><article class='comment'><p>{words} no</p></article></div>"
+    assert "no" not in html_text.main_text(page, html_text.trained_tree()).split()

@@ -24,6 +24,9 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Silent elements that may stand in a head and hold raw text; what may stand in a head. All else ends it.
+RAW = frozenset("script style title".split())
+IN_HEAD = frozenset("script style noscript template title base basefont bgsound link meta head html".split())
 ASIDE = frozenset("nav aside footer form menu dialog button fieldset header".split())
 #: Words in a class, id or role that tell of boilerplate.
 HINTS = frozenset(
@@ -36,11 +39,20 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"[\s\x00]+")
 
 
+def _hinted(attributes: str) -> bool:
+    return any(w.lower() in HINTS for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
+
+
 def _aside(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element holds no main text. An article's own header does, as its heading stands there."""
-    if name in ASIDE and not (name == "header" and in_article):
-        return True
-    return name not in ("body", "html", "article", "main") and any(w.lower() in HINTS for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
+    if name == "header" and in_article:
+        return False
+    return name in ASIDE or (name not in ("body", "html", "article", "main") and _hinted(attributes))
+
+
+def _begins_main(name: str, attributes: str, around: list[str]) -> bool:
+    """Whether an element is main text whatever its wrappers are named: main, and an article that is no comment or aside itself."""
+    return name == "main" or (name == "article" and "article" not in around and not _hinted(attributes) and not {"nav", "aside", "footer", "dialog", "menu"}.intersection(around))
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
@@ -48,7 +60,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     out: list[tuple[str, int, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open block elements: name, in an aside, in an article
     parts: list[str] = []
-    links, in_link, silent, heading = 0, 0, "", False
+    links, in_link, silent, in_head, heading = 0, 0, "", False, False
 
     def end_block() -> None:
         nonlocal links
@@ -70,9 +82,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 links += len(text.split())
             continue
         name, closing = name.lower(), bool(m[1])
+        if silent == "head" and not closing and name not in IN_HEAD:
+            silent = ""  # the end tag of a head may be left out
         if silent:
             if closing and name == silent:
-                silent = ""
+                silent, in_head = "head" if in_head else "", False
+            elif silent == "head" and name in RAW and not closing:
+                silent, in_head = name, True
             continue
         if name in SILENT and not closing:
             silent = name if not m[3].endswith("/") else ""
@@ -93,6 +109,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends at the next
                     stack.pop()
                     _, aside, article = stack[-1] if stack else ("", False, False)
+                aside = aside and not _begins_main(name, m[3], [x[0] for x in stack])
                 stack.append((name, aside or _aside(name, m[3], article), article or name in ("article", "main")))
             heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     end_block()
