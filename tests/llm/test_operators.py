@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -540,6 +541,83 @@ def test_wrappers_and_open_heads_keep_the_article(page):
     assert html_text.main_text(page.format(article), html_text.trained_tree()) == f"A headline here {words} {words}"
 
 
+WORDS = "the market of rivers and stones was open when a boat with grain came up from old town".split()
+
+
+def held_out_pages():
+    """(html, main text) of pages with other mark-up and other texts than the labelled ones of the module."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices(WORDS, k=n))
+    out = []
+
+    def page(*parts):
+        """Parts are mark-up; a pair is mark-up with {} and main text for it."""
+        out.append(("".join(p if isinstance(p, str) else p[0].format(p[1]) for p in parts), " ".join(p[1] for p in parts if not isinstance(p, str))))
+
+    for _ in range(6):
+        h, a, b, c = text(rng.randrange(3, 12)), text(rng.randrange(20, 120)), text(rng.randrange(1, 60)), text(rng.randrange(15, 200))
+        menu = "<ul class='menu'>" + "".join(f"<li><a href='/x{i}'>{text(2)}</a></li>" for i in range(5)) + "</ul>"
+        notes = "".join(f"<div class='comment'><b>{text(1)}</b><p>{text(rng.randrange(5, 90))}</p></div>" for _ in range(3))
+        script = "<script>if (a < b && c > d) { document.write('<p>no</p>'); } for(i=0;i<n;i++){}</script>"
+        page("<!doctype html><html><head><title>", text(4), "</title>", script, "</head><body><div id=top>", menu, "</div>", ("<article><h1>{}</h1>", h), ("<p>{}</p>", a), ("<p>{}", b), ("<p>{}</p></article>", c), f"<section id='comments'>{notes}</section><footer>{text(9)}</footer></body></html>")
+        page(f"<div class='page has-sidebar'><nav>{menu}</nav><div class=post>", ("<h1>{}</h1>", h), ("<p>{}</p>", a), ("<p>{}</p>", c), f"</div><div class='sidebar'><h3>{text(2)}</h3><p>{text(20)}</p></div><div class='footer'>{text(6)}</div></div>")
+        page(f"<header><a href=/>{text(2)}</a></header><form id=aspnetForm action=x>{menu}<main>", ("<h1>{}</h1>", h), ("<div>{}</div>", a), ("<blockquote>{}</blockquote>", c), f"</main><input name=q></form><div class='reader-feedback'><p>{text(50)}</p></div>")
+        page(f"<div class='cookie-banner'>{text(12)} <button>{text(1)}</button></div>{menu}", ("<h1>{}</h1>", h), ("<p title=don't>{}</p>", a), ("<ul><li>{}", b), ("<li>{}</ul>", text(8)), ("<p>{}</p>", c), f"<div id='disqus_thread'>{notes}</div><div><a>{text(2)}</a> | <a>{text(3)}</a></div>")
+        page("<table><tr><td>", menu, ("<td><p>{}</p>", c), ("<p>{}</p>", a), "</table>", f"<div class='adv'><p>{text(25)}</p></div>")
+        page(("<article><header><h2>{}</h2></header>", h), f"<div class='social-share'><a>{text(1)}</a></div>", ("<p>{}</p>", a), f"<div class='newsletter'><p>{text(14)}</p><form><input></form></div>", ("<p>{}</p>", c), "</article>", f"<div><h4>{text(2)}</h4><p>{text(30)}</p><p>{text(18)}</p></div>")
+    return out
+
+
+def test_words_of_held_out_pages(spark):
+    pages = held_out_pages()
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "page_id int, html string"), ("page_id",)).collect()}
+    found = wanted = both = 0
+    for i, (_, main) in enumerate(pages):
+        a, b = Counter(got[i].split()), Counter(main.split())
+        found, wanted, both = found + a.total(), wanted + b.total(), both + (a & b).total()
+    assert both >= 0.98 * wanted and both >= 0.98 * found
+
+
+ARTICLE = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script>for(var i=0;i<n;i++){{go(i)}}</script><article><p>{}</p></article>",
+        "<div class='layout with-sidebar'><article><p>{}</p></article></div>",
+        "<div class='notice-free'><article><p>{}</p></article></div>",
+        "<form id='aspnetForm'><article><p>{}</p></article></form>",
+        "<article><p title=don't>{}</p></article>",
+        "<article><p>{}</p></article><div class='user-feedback'><p>readers say a lot</p></div>",
+        "<title>no</title><SCRIPT>var x = '<article>'</SCRIPT\n><article><p>{}</article>",
+        "<style>p > a < b<body><article><p>{}</p></article>",
+        "<article><p data-x='>' class=\"a>b\">{}</p></article>",
+        "<article><svg><title>no</title><text>no</text></svg><p>{}</p><textarea>no <p>no</textarea></article>",
+        "<noscript>no<div><article><p>{}</p></article>".replace("<div>", "</noscript><div>"),
+        "<!-- <article> --><!DOCTYPE x><?xml no?><article><p>{}</p></article></span></b>",
+    ],
+)
+def test_pages_as_they_occur(page):
+    assert html_text.main_text(page.format(ARTICLE), html_text.trained_tree()) == ARTICLE
+
+
+@pytest.mark.parametrize("part", ["<a", "<a =\">\" ", "<a x='", "<div>", "<p></i>", "<script>", "<!--", "</", "< ", "&amp", "<h1>", "<article>", "<a href=x>b "])
+def test_long_broken_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html_text.main_text(part * (1_000_000 // len(part)), html_text.trained_tree())
+    html_text.main_text("<div>" * 50_000 + part * 50_000 + "</p></a></div>" * 50_000, html_text.trained_tree())
+    assert time.perf_counter() - began < 40
+
+
+def test_pages_with_nulls_repeats_and_other_columns(spark):
+    rows = [(1, "u", f"<p>{ARTICLE}</p>", "x", 2)] * 2 + [(None, None, None, None, None), (2, "v", "", "y", 3), (3, "w", " <p> ", "", 1)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, text string, n int")
+    got = [tuple(r) for r in html_text.extract(pages).collect()]
+    same(got, [(1, "u", ARTICLE)] * 2 + [(None, None, ""), (2, "v", ""), (3, "w", "")])
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_comments_as_articles_stay_asides():
     words = " ".join(["word"] * 60)
     page = f"<article><h1>A headline here</h1><p>{words}</p></article><div class='comments'><article class='comment'><p>{words} no</p></article></div>"
