@@ -39,12 +39,14 @@ class _Encoder:
 
     The tokenizer's pattern always ends a piece before a space that another character than white
     space follows, so a text's ids are those of its parts cut there, one after another. New words are
-    encoded as one text and told apart by the tokens that begin with a space.
+    encoded as one text and told apart by the tokens that begin with a space. A text with one of the
+    tokenizer's added tokens in it, such as an end mark, is encoded as a whole, as these cut it first.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
@@ -65,6 +67,8 @@ class _Encoder:
         self.kept.update((w, self.alone(" " + w)) for w in words if " " in w)
 
     def __call__(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.alone(text)
         first, *rest = text.split(" ")
         if _INNER_SPACE.search(text):
             joined: list[str] = []
@@ -249,14 +253,15 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
     of lengths and configurations.
     """
     spark = docs.sparkSession
-    cut = stash(pieces(docs, tokenizer_path, size, end_id, id_col, text_col), "pack")
+    # The row's number is written with it, so it stays the same and deals equal rows out like others.
+    cut = stash(pieces(docs, tokenizer_path, size, end_id, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "pack")
     histogram = {int(n): int(k) for n, k in cut.groupBy("length").count().collect()}
     n_buckets = buckets_for(sum(histogram.values()), per_bucket)
     rows = sorted(plan(histogram, size, groups))
     starts = np.array([(n << 44) + rank for n, rank, *_ in rows], np.int64)
     sequences, offsets = (np.array([x[i] for x in rows], np.int64) for i in (3, 4))
     shared = spark.sparkContext.broadcast((starts, sequences, offsets))
-    by_rank = ranked(cut.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets))), ["length"], "b", ["doc_id", "piece", "ids_crc32"])
+    by_rank = ranked(cut.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(n_buckets))), ["length"], "b", ["doc_id", "piece", "_row"])
 
     def place(batches):
         starts, sequences, offsets = shared.value
@@ -271,4 +276,5 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
 
 
 def op2_grouped_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens; nulls and empty texts are their end id, repeated rows are packed each."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
