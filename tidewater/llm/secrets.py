@@ -2,14 +2,19 @@
 
 All work is DataFrame functions. A token's encoding is inferred from its characters, and three tests
 ask whether it could be random over that encoding's alphabet: chi-squared uniformity of the symbols,
-the number of runs above and below the alphabet's middle, and serial correlation of neighbours.
-Tokens that pass are candidates. The same collision count that gives the chi-squared statistic also
-tells how unlikely so even a token is if its characters are as uneven as in ordinary text of its
-length; these p-values go through Benjamini-Hochberg within bands of length over the whole corpus.
+the number of runs above and below the alphabet's middle, and serial correlation of neighbours. Each
+test is turned both ways. Against a random token, the three p-values combined by Fisher's method say
+that a token is none. Against an ordinary one, they say how unlikely a word, a path or a number is to
+come so close to random: by its symbols, if they are as uneven as in ordinary text of its length, and
+by its runs and neighbours. These, combined by Fisher's method too and kept as logarithms, go through
+Benjamini-Hochberg within bands of length over the whole corpus; tokens that are not random count there
+as tested. Work is linear in a text's length, in the number of its matches and in a token's length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,95 +39,131 @@ ENCODINGS = (
 )
 #: Sums of squares and cubes of symbol shares in ordinary text, for words and for plain numbers.
 WORD_SHARES, NUMBER_SHARES = (0.0655, 0.0054), (0.1, 0.01)
-#: The normal tail, Abramowitz and Stegun 26.2.17.
-TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 #: Lower ends of the length bands.
 BANDS = (20, 28, 40, 64, 128)
-#: Largest deviation that is told apart, in hundredths: the tail beyond it is less than a double can hold well.
-MOST = 3700
+#: Bins of the logarithm of a p-value for each doubling.
+BINS = 64
 
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
+_FOUND = "array<struct<start: bigint, kind: int, end: bigint, found: string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, op, zero: Column, block: int = 128) -> Column:
+    """Running sums (or maxima, by ``op``) of an array, each with its own value.
+
+    Arrays grow by copies, so the sums are taken in blocks first and the blocks' own sums after.
+    """
+    last = lambda x: F.element_at(x, -1)
+    scan = lambda xs, of: F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(op(last(acc), of(x)))))
+
+    def run(xs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: scan(F.slice(xs, i * block + 1, block), lambda x: x))
+        return _let(blocks, lambda inner: F.flatten(F.zip_with(inner, F.slice(scan(inner, last), 1, F.size(inner)), lambda xs, before: F.transform(F.slice(xs, 2, block), lambda x: op(before, x)))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) == 0, xs).otherwise(run(xs)))
 
 
 def _places(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Array of (piece, match, wanted group) turned into (start, kind, end, found): code points, end exclusive.
+    """Array of (start, kind, end, found group) of the matches: code points, end exclusive.
 
     The pieces between matches and the matches alternate, so running lengths give their places.
     """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    kinds = "array<struct<start: bigint, kind: int, end: bigint, found: string>>"
+    none = F.array().cast(_FOUND)
+
+    def place(rows):
+        ends = _running(F.transform(rows, lambda x: (F.length(x["piece"]) + F.length(x["match"])).cast("long")), lambda a, b: a + b, F.lit(0).cast("long"))
+        return F.zip_with(rows, ends, lambda x, end: F.struct((end - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found")))
+
     rows = F.filter(F.arrays_zip(pieces.alias("piece"), matches.alias("match"), found.alias("found")), lambda x: x["match"].isNotNull())
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kinds).alias("out"))
+    return F.when(text.rlike(pattern), _let(rows, place)).otherwise(none)
+
+
+def _outside(base: Column, tokens: Column) -> Column:
+    """The tokens that lie in no base span."""
+    none = F.transform(base, lambda b: F.struct(b["start"], b["kind"], b["end"], F.lit("").alias("found")))
+
+    def clear(both):
+        reach = _running(F.transform(both, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.greatest, F.lit(0).cast("long"))
+        return F.transform(F.filter(F.arrays_zip(both.alias("x"), reach.alias("reach")), lambda z: (z["x"]["kind"] == 3) & (z["reach"] < z["x"]["end"])), lambda z: z["x"])
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(_let(F.array_sort(F.concat(none.cast(_FOUND), tokens)), clear))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kinds))
+def _log_tail(z: Column) -> Column:
+    """log P(normal > z), by Boyd's approximation of the tail's ratio to the density."""
+    a = F.abs(z)
+    upper = -a * a / 2 - 0.5 * math.log(2 / math.pi) - F.log((math.pi - 1) * a + F.sqrt(a * a + 2 * math.pi))
+    return F.when(z >= 0, upper).otherwise(F.log1p(-F.exp(upper)))
 
 
-def _tail(x: Column) -> Column:
-    """P(normal > x) for x from 0."""
-    t = 1 / (1 + 0.2316419 * x)
-    poly = F.lit(0.0)
-    for c in reversed(TAIL):
-        poly = (poly + c) * t
-    return F.exp(-x * x / 2) / 2.5066282746310002 * poly
+def _fisher(*logs: Column) -> Column:
+    """Logarithm of the p-value of three p-values' product, from their logarithms."""
+    x = -sum(logs[1:], logs[0])
+    return F.log(1 + x + x * x / 2) - x
 
 
-def _battery(tokens: Column, tolerance: float) -> Column:
-    """(start, kind, end, band, x) of the tokens that pass; x: hundredths of a deviation below ordinary text's collisions."""
+def _battery(tokens: Column, level: float) -> Column:
+    """(start, kind, end, band, x) of the tokens; x: the bin of the p-value against ordinary text, 0 for what is not random."""
     encoding = lambda s: F.coalesce(*(F.when(s.rlike(p), F.lit(a)) if p else F.lit(a) for p, a in ENCODINGS))
     step = F.transform(tokens, lambda c: F.struct(c["start"], c["kind"], c["end"], F.translate(c["found"], "-_", "+/").alias("s"), encoding(c["found"]).alias("abc")))
     symbol = lambda c, i: F.length(c["s"]) - F.length(F.replace(c["s"], F.substring(c["abc"], i, 1)))
-    place = lambda c, i: F.call_function("locate", F.substring(c["s"], i, 1), c["abc"])
     step = F.transform(step, lambda c: F.struct(
         c["start"], c["kind"], c["end"], F.length(c["s"]).cast("double").alias("n"), F.length(c["abc"]).cast("double").alias("k"), c["s"].rlike("^[0-9]+$").alias("number"),
         F.aggregate(F.transform(F.sequence(F.lit(1), F.length(c["abc"])), lambda i: symbol(c, i).cast("double")), F.lit(0.0), lambda a, x: a + x * (x - 1)).alias("collisions"),
-        F.transform(F.sequence(F.lit(1), F.length(c["s"])), lambda i: place(c, i)).alias("x"),
+        F.transform(F.split(c["s"], ""), lambda x: F.call_function("locate", x, c["abc"]) - (F.length(c["abc"]) + 1) / 2).alias("x"),
     ))
-    pairs = lambda c, f, zero: F.aggregate(F.sequence(F.lit(2), F.size(c["x"])), F.lit(zero), lambda a, i: a + f(F.element_at(c["x"], i), F.element_at(c["x"], i - 1)))
+    pairs = lambda c, f, zero: F.aggregate(F.zip_with(F.slice(c["x"], 2, F.size(c["x"])), F.slice(c["x"], 1, F.size(c["x"]) - 1), f), F.lit(zero), lambda a, x: a + x)
     step = F.transform(step, lambda c: F.struct(
         c["start"], c["kind"], c["end"], c["n"], c["k"], c["number"], c["collisions"],
-        pairs(c, lambda x, y: F.when((2 * x > c["k"]) != (2 * y > c["k"]), 1.0).otherwise(0.0), 1.0).alias("runs"),
-        pairs(c, lambda x, y: (x - (c["k"] + 1) / 2) * (y - (c["k"] + 1) / 2), 0.0).alias("serial"),
+        pairs(c, lambda x, y: F.when((x > 0) != (y > 0), 1.0).otherwise(0.0), 1.0).alias("runs"), pairs(c, lambda x, y: x * y, 0.0).alias("serial"),
     ))
-    # Deviations from what a random token has: chi-squared, runs, serial correlation.
+    # Deviations from what a random token has: chi-squared, runs, serial correlation; half a step of the last two.
     chi = lambda c: (c["k"] * c["collisions"] / c["n"] - c["n"] + 1) / F.sqrt(2 * (c["k"] - 1) * (c["n"] - 1) / c["n"])
-    runs = lambda c: (c["runs"] - 1 - (c["n"] - 1) / 2) / F.sqrt((c["n"] - 1) / 4)
-    serial = lambda c: c["serial"] * 12 / (c["k"] * c["k"] - 1) / F.sqrt(c["n"] - 1)
-    passed = F.filter(step, lambda c: ~c["number"] & (chi(c) <= tolerance) & (F.abs(runs(c)) <= tolerance) & (F.abs(serial(c)) <= tolerance))
+    runs = lambda c: F.abs((c["runs"] - 1 - (c["n"] - 1) / 2) / F.sqrt((c["n"] - 1) / 4))
+    serial = lambda c: F.abs(c["serial"] * 12 / (c["k"] * c["k"] - 1) / F.sqrt(c["n"] - 1))
+    half = lambda c: (0.5 / F.sqrt((c["n"] - 1) / 4), 0.25 * 12 / (c["k"] * c["k"] - 1) / F.sqrt(c["n"] - 1))
 
     def unlike_text(c):
+        """Deviations of the collisions below those of ordinary text."""
         q2, q3 = (F.when(c["k"] == 16, b).otherwise(a) for a, b in zip(WORD_SHARES, NUMBER_SHARES, strict=True))
         n = c["n"]
         spread = F.sqrt(2 * n * (n - 1) * (q2 - q2 * q2) + 4 * n * (n - 1) * (n - 2) * (q3 - q2 * q2))
-        return F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(100 * (n * (n - 1) * q2 - c["collisions"]) / spread))).cast("int")
+        return (n * (n - 1) * q2 - c["collisions"]) / spread
 
+    random = lambda c: _fisher(_log_tail(chi(c)), F.log(F.lit(2.0)) + _log_tail(runs(c)), F.log(F.lit(2.0)) + _log_tail(serial(c)))
+    within = lambda z, step: F.log1p(-2 * F.exp(_log_tail(z + step)))
+    ordinary = lambda c: _fisher(_log_tail(unlike_text(c)), within(runs(c), half(c)[0]), within(serial(c), half(c)[1]))
     band = lambda c: sum((F.when(c["n"] >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-    return F.transform(passed, lambda c: F.struct(c["start"], c["kind"], c["end"], band(c).alias("band"), unlike_text(c).alias("x")))
+    x = lambda c: F.when(~c["number"] & (random(c) >= math.log(level)), F.floor(BINS * F.log2(1 - ordinary(c))).cast("int")).otherwise(0)
+    return F.transform(step, lambda c: F.struct(c["start"], c["kind"], c["end"], band(c).alias("band"), x(c).alias("x")))
 
 
 def thresholds(scanned: DataFrame, rate: float) -> dict[int, int]:
-    """Least x of each band that Benjamini-Hochberg accepts; counts at most bands times MOST rows, and brings a row a band to the driver."""
+    """Least x of each band that Benjamini-Hochberg accepts; counts bands times bins, and brings a row a band to the driver."""
     counts = scanned.select(F.explode("random").alias("c")).groupBy("c.band", "c.x").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("band").orderBy(F.desc("x"))
     ranked = counts.withColumns({"rank": F.sum("n").over(down), "of": F.sum("n").over(Window.partitionBy("band"))})
-    accepted = ranked.where(F.col("of") * _tail(F.col("x") / 100) <= rate * F.col("rank")).groupBy("band").agg(F.min("x").alias("x"))
+    log_p = 1 - F.pow(F.lit(2.0), F.col("x") / BINS)  # the bin's largest
+    accepted = ranked.where(F.log("of") + log_p <= math.log(rate) + F.log("rank")).groupBy("band").agg(F.min("x").alias("x"))
     return {r.band: r.x for r in accepted.collect()}
 
 
-def find_secrets(docs: DataFrame, rate: float = 0.05, tolerance: float = 4.0, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def find_secrets(docs: DataFrame, rate: float = 0.05, level: float = 1e-4, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with an array column ``_spans`` of (start, kind, end), by start, then kind (see KINDS).
 
-    ``rate``: share of the random tokens found that may be ordinary text; ``tolerance``: deviations at
-    which a test tells that a token is not random. A null text counts as empty and has no spans. Rows
-    are independent but for the thresholds, which are the whole table's; other columns stay as they
-    are, whatever their names; an empty table stays empty. Tokens inside a fixed pattern's match are
-    left to it. ``keep_text=False`` drops the text column.
+    ``rate``: share of the random tokens found that may be ordinary text; ``level``: how unlikely a random
+    token must be to fail the three tests as a token does, for it to count as not random. A null or
+    empty text has no spans. Rows are independent but for the thresholds, which are the whole table's:
+    repeated rows have the same spans and count as often as they stand there. Null ids and other columns
+    stay as they are, whatever their names; an empty table stays empty. Tokens inside a fixed pattern's
+    match are left to it. ``keep_text=False`` drops the text column.
     """
     names = [c for c in docs.columns if keep_text or c != text_col]
     plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
@@ -131,9 +172,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.05, tolerance: float = 4.0, te
     base = F.concat(F.filter(_places(text, ASSIGN, 0, 2), lambda x: F.length(x["found"]) >= 6), _places(text, ACCESS, 1), _places(text, HEX, 2))
     bare = F.transform(base, lambda x: F.struct(x["start"], x["kind"], x["end"]))
     scanned = plain.select(*kept, bare.cast(_SPAN).alias("base"), _places(text, TOKEN, 3).alias("tokens"))
-    outside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
-    scanned = scanned.select(*kept, "base", outside.alias("tokens"))
-    scanned = stash(scanned.select(*kept, "base", _battery(F.col("tokens"), tolerance).alias("random")), "secrets")
+    scanned = scanned.select(*kept, "base", _outside(F.col("base"), F.col("tokens")).alias("tokens"))
+    scanned = stash(scanned.select(*kept, "base", _battery(F.col("tokens"), level).alias("random")), "secrets")
     least = thresholds(scanned, rate)
     enough = lambda c: sum((F.when((c["band"] == b) & (c["x"] >= x), 1).otherwise(0) for b, x in least.items()), F.lit(0)) > 0
     found = F.transform(F.filter("random", enough), lambda c: F.struct(c["start"], c["kind"], c["end"]))
@@ -149,25 +189,26 @@ def _told(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span of :func:`find_secrets` in the text put as ``mark``; other texts stay as they are.
 
-    ``length_col``: a column of ``docs`` that holds the text's characters and is to follow it.
+    Spans that overlap have one mark. ``length_col``: a column of ``docs`` that holds the text's
+    characters and is to follow it. Null texts stay null, repeated rows are treated alike, and an empty table stays empty.
     """
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    text, zero = F.col(text_col), F.lit(0).cast("long")
 
-    def step(acc, s):
-        begin = F.greatest(acc["at"], s["start"])
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out")))
+    def put(chars):
+        ends = _running(F.transform("_spans", lambda s: s["end"]), F.greatest, zero)
+        cut = lambda a, b: F.array_join(F.slice(chars, (a + 1).cast("int"), F.greatest(b - a, zero).cast("int")), "")
+        pieces = F.zip_with("_spans", F.concat(F.array(zero), ends), lambda s, before: F.when(s["start"].isNull(), cut(before, F.size(chars))).when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit(mark))).otherwise(""))
+        return F.array_join(pieces, "")
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     found = find_secrets(docs, text_col=text_col)
-    found = found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text))
+    found = found.withColumn(text_col, F.when(F.size("_spans") > 0, _let(F.split(text, ""), put)).otherwise(text))
     if length_col:
         found = found.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return found.drop("_spans")
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The scan's digest of every document; nulls and empty texts have no spans, repeated rows a row each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_secrets(docs, keep_text=False)
     of = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
