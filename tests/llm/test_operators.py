@@ -460,15 +460,18 @@ def test_repeats_against_all_windows(docs, rows, nothing, k, m):
 
 
 def test_class_model(docs, rows, nothing):
-    settings = lm_score.Settings(known=30, clustered=12, classes=3, endings=2, rounds=3)
+    settings = lm_score.Settings(known=0.002, clustered=0.01, classes=3, rounds=3)
     train = [r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2]
     model = lm_score.train(docs.where(~lm_score.held_out()).select("text"), settings)
     tokens = lambda t: [*lowered(t).split(), None]
     count = Counter(w for r in train for w in tokens(r[1]))
     n, v = sum(count.values()), len(count)
     assert (model.tokens, model.types) == (n, v)
+    all_words = n - count[None]
+    assert {w: k for w, (_, k) in model.known.items()} == {w: k for w, k in count.items() if w is not None and k >= max(2, 0.002 * all_words)}
     classes = {w: c for w, (c, _) in model.known.items()}
-    of = lambda w: 0 if w is None else classes.get(w) or lm_score.ending_class(w, settings.endings)
+    assert {w for w, c in classes.items() if c > 1} == {w for w, k in count.items() if w is not None and k >= max(2, 0.01 * all_words)}
+    of = lambda w: 0 if w is None else classes.get(w, 1)
     pairs, of_class, kinds = Counter(), Counter(), Counter(of(w) for w in count if w is not None)
     for r in train:
         before = 0
@@ -522,11 +525,36 @@ def test_exchange_moves_gain_what_they_say():
 def test_exchange_finds_alternating_classes(spark):
     rng = random.Random(1)
     texts = [(" ".join(w for _ in range(30) for w in (rng.choice("abcd"), rng.choice("wxyz"))),) for _ in range(60)]
-    model = lm_score.train(spark.createDataFrame(texts, "text string"), lm_score.Settings(known=8, clustered=8, classes=2, endings=1, rounds=8))
+    model = lm_score.train(spark.createDataFrame(texts, "text string"), lm_score.Settings(known=0.001, clustered=0.001, classes=2, rounds=8))
     classes = {w: c for w, (c, _) in model.known.items()}
     assert len({classes[w] for w in (b"a", b"b", b"c", b"d")}) == 1 and len(set(classes.values())) == 2
 
 
+def test_neighbours_of_words(spark):
+    texts = ["b a b", "", None, "a rare b a"]
+    got = {r.w: sorted(zip(r.o, r.n, strict=True)) for r in lm_score.neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), [b"a", b"b"]).collect()}
+    ids = {"a": 2, "b": 3}
+    expected = {}
+    for t in texts:
+        at = [0, *(ids.get(x, 1) for x in (t or "").split()), 0]
+        for x, y in zip(at, at[1:], strict=False):
+            expected.setdefault(x, Counter())[y] += 1
+            expected.setdefault(y, Counter())[-x - 1] += 1
+    assert got == {w: sorted(c.items()) for w, c in expected.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_out_perplexity_is_below_the_unigrams(spark, seed):
+    """Sentences of a small grammar, whose word order the classes have to find."""
+    rng = random.Random(seed)
+    parts = [[f"{k}{i}" for i in range(40)] for k in ("det", "adj", "noun", "verb")]
+    text = lambda: " ".join(rng.choice(p) for _ in range(rng.randrange(2, 8)) for p in parts)
+    train = [(text(),) for _ in range(300)]
+    model = lm_score.train(spark.createDataFrame(train, "text string"), lm_score.Settings(classes=6))
+    held = lm_score.score(spark.createDataFrame([(i, text()) for i in range(50)], "doc_id int, text string"), model).agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert held["sum(score)"] / held["sum(n_tokens)"] > held["sum(base_score)"] / held["sum(n_tokens)"] + 0.4
+
+
 @pytest.mark.parametrize(
     "page",
     [

@@ -1,15 +1,17 @@
 """Language-model scores from a class-based bigram model with exchange clustering.
 
 The probability of a word is that of its class after the class before, times that of the word in its
-class. The most frequent words are assigned to classes by exchange: each word moves to the class in
-which the class bigrams are likeliest, in rounds over bigram counts that Spark gathers from the whole
-training part. All other words have a class by their last two bytes. A document's end is a word and a
-class of its own, and the context of the first word.
+class. Every word that makes up a given share of the training tokens is assigned to a class by exchange:
+it moves to the class in which the class bigrams are likeliest, in rounds over the bigram counts that
+Spark gathers from the whole training part. A share of the tokens bounds the number of such words, and
+their letters too, at any corpus size; the number itself follows the data. All other words are one
+class of their own, the unknown one, which counts as a neighbour like the rest. A document's end is a
+word and a class of its own, and the context of the first word.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
@@ -29,22 +31,26 @@ HELD = 250_000
 class Settings:
     """The model's size, the same for every corpus.
 
-    ``known``: the most words whose counts every task holds; ``clustered``: those of them that exchange
-    assigns; ``classes``, ``endings``: classes of these and of all other words; ``rounds`` of exchange;
-    ``emission``, ``transition``: smoothing added to a word in its class and to a class after a class.
+    ``known``: share of the training tokens from which every task holds a word's count, so that it holds
+    1 / known words at most; ``clustered``: share from which exchange assigns a word; a word that occurs
+    once is in neither; ``classes`` of exchange and ``rounds``; ``emission``, ``transition``: smoothing
+    added to a word in its class and to a class after a class.
     """
 
-    known: int = 131_072
-    clustered: int = 4096
+    known: float = 1e-6
+    clustered: float = 4e-6
     classes: int = 64
-    endings: int = 16
     rounds: int = 6
     emission: float = 0.5
     transition: float = 16.0
 
     @property
     def all_classes(self) -> int:
-        return 1 + self.endings + self.classes
+        return 2 + self.classes
+
+
+#: Classes of a text's end and of all words that exchange doesn't assign; its own follow.
+END, UNKNOWN = 0, 1
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
@@ -69,22 +75,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words above a count that at most ``most`` words reach, with their counts, in falling order.
-
-    The count is found from a histogram over steps of a sixteenth of a power of two, so that only this
-    and the words themselves come to the driver, not the best of every task.
-    """
-    step = F.floor(16 * F.log2("n")).cast("int")
-    sizes = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, room = None, most
-    for at, n in sizes:
-        if n > room:
-            break
-        least, room = at, room - n
-    if least is None:
-        return []
-    return sorted(((r.word.encode(), r.n) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+def frequent_words(counts: DataFrame, least: int) -> list[tuple[bytes, int]]:
+    """The words that occur ``least`` times or more with their counts, in falling order."""
+    found = counts.where(F.col("n") >= least).toArrow()
+    return sorted(zip(as_bytes(found.column("word")), found.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def _coded_counts(codes_of):
@@ -111,20 +105,26 @@ def _coded_counts(codes_of):
     return count
 
 
-def pair_counts(texts: DataFrame, words: list[bytes]) -> DataFrame:
-    """(a, b, n): how often listed word b follows listed word a; words are numbered from 1, 0 is the end of a text."""
-    shared = texts.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
-    size = len(words) + 1
+def neighbours(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """(w, o, n): of each listed word the words beside it with their counts, o those after it and -o - 1 those before it.
+
+    Words are numbered from 2, END and UNKNOWN stand for themselves. A row is a word, whose lists are
+    bounded by the number of listed words.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
+    size = len(words) + 2
 
     def codes(text):
-        ids = shared.value
         tokens = text.lower().split()
         at = np.zeros(len(tokens) + 2, np.int64)
-        at[1:-1] = np.fromiter(map(ids.get, tokens, repeat(-1)), np.int64, len(tokens))
-        return (at[:-1] * size + at[1:])[(at[:-1] >= 0) & (at[1:] >= 0)]
+        at[1:-1] = np.fromiter(map(shared.value.get, tokens, repeat(UNKNOWN)), np.int64, len(tokens))
+        return at[:-1] * size + at[1:]
 
     counted = texts.mapInArrow(_coded_counts(codes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return counted.select(F.expr(f"cast(code div {size} as int)").alias("a"), F.expr(f"cast(code % {size} as int)").alias("b"), "n")
+    a, b = F.expr(f"cast(code div {size} as int)"), F.expr(f"cast(code % {size} as int)")
+    sides = F.array(F.struct(a.alias("w"), b.alias("o")), F.struct(b.alias("w"), (-a - 1).cast("int").alias("o")))
+    listed = counted.select(F.explode(sides).alias("x"), F.col("n").cast("int").alias("n")).select("x.w", F.struct("x.o", "n").alias("y"))
+    return listed.groupBy("w").agg(F.collect_list("y").alias("y")).select("w", F.col("y.o").alias("o"), F.col("y.n").alias("n"))
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -154,63 +154,73 @@ def move_gains(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndarr
     return gain - gain[own]
 
 
-def exchange(pairs: DataFrame, words: int, settings: Settings) -> list[int]:
-    """The class, from 1, of each of ``words`` words; place 0 is the end's class 0.
+def _by_class(batch, classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of :func:`neighbours`: words, their counts by side (after, before) and class, and with themselves."""
+    w, o, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+    row = np.repeat(np.arange(len(w)), np.diff(o.offsets.to_numpy()))
+    o, n = o.flatten().to_numpy(), n.flatten().to_numpy()
+    before = o < 0
+    other = np.where(before, -o - 1, o)
+    counts = np.bincount((row * 2 + before) * size + classes[other], n, len(w) * 2 * size).reshape(len(w), 2, size)
+    itself = np.bincount(row, n * ((other == w[row]) & ~before), len(w))
+    return w, counts, itself
+
 
-    ``pairs``: (a, b, n) as of :func:`pair_counts`. In each round Spark sums the pairs by word and
-    class, weighs every word's moves in parallel, and moves half of the words by turns; the driver holds
-    the class of each clustered word and the class matrix. The likeliest assignment seen is returned.
+def exchange(lists: DataFrame, words: int, settings: Settings) -> np.ndarray:
+    """The class of each of ``words`` words, numbered from 2; places 0 and 1 are END and UNKNOWN.
+
+    ``lists``: as of :func:`neighbours`, written. Each round sums the lists by class, weighs the moves of
+    half of the words by turns and moves them, all in parallel by word; nothing is shuffled but the class
+    matrix. The driver holds the classes and the matrix. The likeliest assignment seen is returned.
     """
-    spark, size = pairs.sparkSession, settings.classes + 1
-    classes = [0, *(1 + i % settings.classes for i in range(words))]
+    spark, size = lists.sparkSession, settings.all_classes
+    classes = np.concatenate([[END, UNKNOWN], 2 + np.arange(words) % settings.classes]).astype(np.int64)
     best, best_score = classes, -np.inf
     for turn in range(settings.rounds + 1):
-        of = spark.createDataFrame([(i, c) for i, c in enumerate(classes)], "w int, c int")
-        both = pairs.join(F.broadcast(of.toDF("a", "ca")), "a").join(F.broadcast(of.toDF("b", "cb")), "b")
-        matrix = np.zeros((size, size))
-        for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-            matrix[r.ca, r.cb] = r.n
+        shared = spark.sparkContext.broadcast(classes)
+
+        def sums(batches, shared=shared):
+            total = np.zeros((size, size))
+            for batch in batches:
+                w, counts, _ = _by_class(batch, shared.value, size)
+                np.add.at(total, shared.value[w], counts[:, 0])
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["code", "n"])
+
+        matrix = np.zeros(size * size)
+        for r in lists.mapInArrow(sums, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+            matrix[r.code] = r.n
+        matrix = matrix.reshape(size, size)
         score = _g(matrix).sum() - _g(matrix.sum(0)).sum() - _g(matrix.sum(1)).sum()
         if score > best_score:
             best, best_score = classes, score
         if turn == settings.rounds:
             break
-        after = both.groupBy(F.col("a").alias("w"), F.col("cb").alias("c")).agg(F.sum("n").alias("after"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("itself"))
-        before = both.groupBy(F.col("b").alias("w"), F.col("ca").alias("c")).agg(F.sum("n").alias("before"))
-        moved = (F.col("w") > 0) & (F.col("w") % 2 == turn % 2)
-        listed = after.where(moved).join(before.where(moved), ["w", "c"], "full").groupBy("w").agg(F.collect_list(F.struct("c", "after", "before", "itself")).alias("n"))
-        shared = spark.sparkContext.broadcast((matrix, classes))
-
-        def choose(batches, shared=shared):
-            matrix, classes = shared.value
+        base = spark.sparkContext.broadcast((matrix, classes))
+
+        def choose(batches, base=base):
+            matrix, classes = base.value
             for batch in batches:
-                to = []
-                for w, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    vectors = np.zeros((2, len(matrix)))
-                    for r in rows:
-                        vectors[:, r["c"]] = r["after"] or 0, r["before"] or 0
-                    gain = move_gains(matrix, classes[w], *vectors, sum(r["itself"] or 0 for r in rows))
-                    gain[0] = -np.inf
-                    to.append(int(gain.argmax()) if gain.max() > 1e-6 else classes[w])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int32())], ["w", "to"])
-
-        classes = list(classes)
-        for r in listed.mapInArrow(choose, "w int, to int").collect():
-            classes[r.w] = r.to
+                w, counts, itself = _by_class(batch, classes, size)
+                moved, to = [], []
+                for i, x in enumerate(w):
+                    gain = move_gains(matrix, classes[x], *counts[i], itself[i])
+                    gain[[END, UNKNOWN]] = -np.inf
+                    if gain.max() > 1e-6:
+                        moved.append(x)
+                        to.append(gain.argmax())
+                yield pa.RecordBatch.from_arrays([pa.array(moved, pa.int32()), pa.array(to, pa.int32())], ["w", "to"])
+
+        turns = lists.where((F.col("w") > UNKNOWN) & (F.col("w") % 2 == turn % 2))
+        moves = turns.mapInArrow(choose, "w int, to int").toArrow()
+        classes = classes.copy()
+        classes[moves.column("w").to_numpy()] = moves.column("to").to_numpy()
     return best
 
 
-def ending_class(word: bytes, endings: int) -> int:
-    return 1 + zlib.crc32(word[-2:]) % endings
-
-
-def _ending_column(word: str, endings: int) -> Column:
-    return (F.crc32(F.substring(F.col(word).cast("binary"), -2, 2)) % endings + 1).cast("int")
-
-
 @dataclass
 class Model:
-    """What scoring needs, none of it larger than :class:`Settings` says, and the table of all word counts."""
+    """What scoring needs, none of it larger than :class:`Settings` allows, and the table of all word counts."""
 
     settings: Settings
     counts: DataFrame
@@ -222,28 +232,30 @@ class Model:
     log_class: np.ndarray  # of each class: log10 of what an emission is divided by
 
 
-def _class_ids(tokens: list[bytes], known: dict, endings: int) -> np.ndarray:
+def _class_ids(tokens: list[bytes], known: dict) -> np.ndarray:
     """Classes of the tokens between two ends."""
     at = np.zeros(len(tokens) + 2, np.int64)
-    at[1:-1] = [x[0] if x else 1 + zlib.crc32(w[-2:]) % endings for w, x in zip(tokens, map(known.get, tokens), strict=True)]
+    at[1:-1] = [x[0] if x else UNKNOWN for x in map(known.get, tokens)]
     return at
 
 
 def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
-    """The model of the texts in one column; counts cover every word of all of them."""
+    """The model of the texts in one column; counts cover every word of all of them. Null texts count as empty."""
+    bounded_batches(texts.sparkSession)
     spark, s = texts.sparkSession, settings
     counts = stash(word_counts(texts), "words")
     ends = texts.count()
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = frequent_words(counts, s.known)
-    clustered = [w for w, _ in top[: s.clustered]]
-    classes = exchange(stash(pair_counts(texts, clustered), "pairs"), len(clustered), s)
-    own = {w: s.endings + c for w, c in zip(clustered, classes[1:], strict=True)}
-    known = {w: (own.get(w) or ending_class(w, s.endings), n) for w, n in top}
-    shared, size = spark.sparkContext.broadcast((known, s.endings)), s.all_classes
+    least = lambda share: max(2, math.ceil(share * words))
+    top = frequent_words(counts, least(s.known))
+    clustered = [w for w, n in top if n >= least(s.clustered)]
+    classes = exchange(stash(neighbours(texts, clustered), "neighbours"), len(clustered), s).tolist()
+    own = dict(zip(clustered, classes[2:], strict=True))
+    known = {w: (own.get(w, UNKNOWN), n) for w, n in top}
+    shared, size = spark.sparkContext.broadcast(known), s.all_classes
 
     def codes(text):
-        at = _class_ids(text.lower().split(), *shared.value)
+        at = _class_ids(text.lower().split(), shared.value)
         return at[:-1] * size + at[1:]
 
     matrix = np.zeros(size * size)
@@ -253,15 +265,10 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     total = matrix.sum(0)
     share = (total + 1) / (total.sum() + size)
     transition = (matrix + s.transition * share) / (matrix.sum(1, keepdims=True) + s.transition)
-    by_class = spark.createDataFrame([(w.decode(), c) for w, c in own.items()], "word string, c int")
-    kinds = np.zeros(size)
-    rest = counts.join(F.broadcast(by_class), "word", "left_anti").groupBy(_ending_column("word", s.endings).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    for r in rest.collect():
-        kinds[r.c] = r.n
-    for c in own.values():
-        kinds[c] += 1
+    kinds = np.bincount(np.array(list(own.values()), np.int64), minlength=size).astype(float)
+    kinds[UNKNOWN] = types - len(own)
     divisor = total + s.emission * (kinds + 1)
-    divisor[0] = 1
+    divisor[END] = 1
     return Model(s, counts, int(words) + ends, int(types) + (ends > 0), ends, known, np.log10(transition), np.log10(divisor))
 
 
@@ -285,7 +292,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             rare_at, rare_words, rare_n = [0], [], []
             for text in as_bytes(batch.column(2)):
                 tokens = text.lower().split()
-                at = _class_ids(tokens, known, s.endings)
+                at = _class_ids(tokens, known)
                 found = list(map(known.get, tokens))
                 n = np.array([x[1] for x in found if x], float)
                 classes = np.array([x[0] for x in found if x], np.int64)
@@ -303,7 +310,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col)
     rows = stash(numbered.mapInArrow(scan, kinds), "scored")  # written, so a row's number is the same from here on
     c = F.coalesce("n", F.lit(0))
-    divisor = F.element_at(F.array(*(F.lit(float(x)) for x in model.log_class)), _ending_column("word", s.endings) + 1)
+    divisor = float(model.log_class[UNKNOWN])
     rare = rows.select("_row", F.inline("rare")).join(model.counts, "word", "left").groupBy("_row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"),
         F.sum(F.col("k") * (F.log10(c + 1) - base)).alias("more_base"),
@@ -314,6 +321,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op10_class_lm(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out; null and empty texts are their end alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bounded_batches(spark)
     model = train(docs.where(~held_out()).select("text"))
