@@ -26,6 +26,8 @@ from .common import as_bytes, bounded_batches, row_key, split_join, stash
 #: Odd multipliers of the rolling hashes and of the mixing step, modulo 2^64.
 ROLL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = 0xBF58476D1CE4E5B9
+#: Windows of a path that a mask can mark.
+MASK_BITS = 62
 #: Words whose hashes a task holds at once.
 BATCH_WORDS = 1 << 18
 
@@ -156,8 +158,10 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, id_col: str = "doc_
 
     A word goes if some window of ``k`` words over it also starts at another place in any document.
     A null, empty or short text has no windows; equal rows are each other's repeats; null and repeated
-    ids are allowed; an empty table gives no rows.
+    ids are allowed; an empty table gives no rows. ``m``: words of a minimizer; more are taken where a
+    path could have more windows than a mask has bits.
     """
+    m = max(m, k - MASK_BITS + 1)
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     paths = compact_paths(keyed, k, m, "text")
