@@ -370,13 +370,30 @@ def test_near_matches_of_items(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = spark.createDataFrame([(1, item), (2, item.replace("epsilon", "epsilon and more")), (3, "alpha only"), (None, None)], "doc_id int, text string")
     bench = spark.createDataFrame([(7, item)], "item_id int, text string")
-    near = {(r.doc_id, r.item_id) for r in decontaminate.find_near(docs, bench).collect()}
-    assert near <= {(2, "7")}
+    assert [tuple(r) for r in decontaminate.find_near(docs, bench).collect()] == []  # its two rarest terms stand before what is put in
     wide = spark.createDataFrame([(7, "zeta one two three four kappa")], "item_id int, text string")
     moved = spark.createDataFrame([(1, "x zeta one two three inserted four kappa one two three four one two three four")], "doc_id int, text string")
     assert [tuple(r) for r in decontaminate.find_near(moved, wide).collect()] == [(1, "7", 1)]
 
 
+@pytest.mark.parametrize("seed,slop", [(1, 3), (2, 1), (3, 5)])
+def test_all_proximity_matches_are_found(spark, seed, slop):
+    rng = random.Random(seed)
+    terms = ["a", "b", "c", "d"]
+    texts = [" ".join(rng.choices([*terms, "x", "y"], k=rng.randrange(1, 60))) for _ in range(25)]
+    slots = [(i, q, rng.choice(terms)) for i in range(3) for q in range(0, 9, 2)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_k1 long, _k2 long, text string")
+    slot_table = spark.createDataFrame(slots, "item_no long, q int, term string")
+    near = decontaminate.proximity_matches(decontaminate.positional_index(docs, slot_table, "text"), slot_table, slop).collect()
+    expected = []
+    for i, t in enumerate(texts):
+        for item in range(3):
+            at = [(p - q, q) for p, w in enumerate(t.split()) for no, q, term in slots if no == item and w == term]
+            expected += [(i, i, item, b, c - b) for b, q in at for c, r in at if q != r and 1 <= c - b <= slop]
+    assert len(expected) > 50
+    same(near, expected)
+
+
 # secrets
 
 
@@ -442,7 +459,7 @@ def test_tree_knows_its_table():
 # substring dedup
 
 
-@pytest.mark.parametrize("k,m", [(35, 8), (6, 2), (3, 3)])
+@pytest.mark.parametrize("k,m", [(35, 8), (6, 2), (3, 3), (80, 8), (110, 4)])
 def test_repeats_against_all_windows(docs, rows, nothing, k, m):
     got = substring_dedup.remove_repeats(docs, k, m).collect()
     count = Counter(tuple(words_of(r[1])[i : i + k]) for r in rows for i in range(len(words_of(r[1])) - k + 1))

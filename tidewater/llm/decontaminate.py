@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, flat_lists, plain_words, row_key, stash
@@ -118,10 +118,16 @@ def aligned(index: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, slots: DataFrame, slop: int) -> DataFrame:
-    """(_k1, _k2, item_no, begin, apart): pairs of an item's terms in the order of ``begin`` that are 1 to ``slop`` words off their distance in the item."""
-    place = Window.partitionBy("_k1", "_k2", "item_no").orderBy("begin", "q")
-    pairs = aligned(index, slots).distinct().withColumns({"then": F.lead("begin").over(place), "other": F.lead("q").over(place)})
-    return pairs.withColumn("apart", F.col("then") - F.col("begin")).where(f"other <> q and apart between 1 and {int(slop)}").select("_k1", "_k2", "item_no", "begin", "apart")
+    """(_k1, _k2, item_no, begin, apart): all pairs of postings of two of an item's terms that are 1 to ``slop`` words off their distance in the item.
+
+    A posting meets those of its own and the next bin of ``slop`` places, so a pair is found however many
+    postings stand between, and a document's postings are never compared all with all.
+    """
+    rows = aligned(index, slots).distinct().withColumn("bin", F.expr(f"cast(floor(begin / {int(slop)}) as int)"))
+    first = rows.select("_k1", "_k2", "item_no", "begin", "q", F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    then = rows.select("_k1", "_k2", "item_no", "bin", F.col("begin").alias("then"), F.col("q").alias("other"))
+    pairs = first.join(then, ["_k1", "_k2", "item_no", "bin"]).withColumn("apart", F.col("then") - F.col("begin"))
+    return pairs.where(f"other <> q and apart between 1 and {int(slop)}").select("_k1", "_k2", "item_no", "begin", "apart")
 
 
 def phrase_index(keyed: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -136,7 +142,8 @@ def phrase_index(keyed: DataFrame, benchmark: DataFrame, window: int, text_col:
 def find_near(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item_id, n_near): proximity matches of items in documents, pairs of an item's terms 1 to ``slop`` words off their distance.
 
-    Documents with equal ids and texts count once.
+    The terms are the two rarest of each of the item's windows. Documents with equal ids and texts count
+    once; null and empty texts, and empty tables, have no matches.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     items, slots, index = phrase_index(keyed, benchmark, window, "text", item_col)
@@ -145,13 +152,14 @@ def find_near(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int
     return near.join(items, "item_no").join(ids, ["_k1", "_k2"]).select(F.col("doc_id").alias(id_col), "item_id", "n_near")
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` with a struct column ``_found``: n_words, n_hit, items (distinct item ids as text).
+def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` with a struct column ``_found``: n_words, n_hit, items (distinct item ids as text), n_near (proximity matches of all items).
 
     A document word is hit if it lies in an occurrence of ``window`` consecutive words of an item; an
-    item of fewer words is one window. Null and empty texts have no words, items without words no
-    windows; a null item id counts as the empty one. Equal rows have equal results; other columns
-    stay as they are, whatever their names.
+    item of fewer words is one window. A proximity match is one of :func:`proximity_matches`. Null and
+    empty texts have no words, items without words no windows; a null item id counts as the empty one,
+    and equal items count once. Equal rows have equal results; other columns stay as they are, whatever
+    their names; an empty table stays empty, and an empty benchmark hits nothing.
     """
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
@@ -159,7 +167,11 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
     keyed = plain.select("*", *row_key(own_id, text))
     items, slots, index = phrase_index(keyed, benchmark, window, text, item_col)
     starts = aligned(index, slots).groupBy("_k1", "_k2", "item_no", "begin").agg(F.count_distinct("q").alias("n"))
-    listed = starts.join(items, "item_no").where("n >= least(2, span)").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("item_id", "begin", "span", "words")).alias("_candidates"))
+    begins = starts.groupBy("_k1", "_k2", "item_no").agg(F.collect_list(F.struct("begin", "n")).alias("begins"))  # an item's words stand once by document
+    listed = begins.join(items, "item_no").select("_k1", "_k2", "item_id", "span", "words", F.transform(F.filter("begins", lambda x: x["n"] >= F.least(F.lit(2), F.col("span"))), lambda x: x["begin"]).alias("begins"))
+    listed = listed.where("size(begins) > 0").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "span", "words", "begins")).alias("_candidates"))
+    near = proximity_matches(index, slots, slop).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_near"))
+    listed = listed.join(near, ["_k1", "_k2"], "full")
 
     def compare(batches):
         for batch in batches:
@@ -167,35 +179,38 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
             for body, candidates in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words, hit, items = plain_words(body), set(), set()
                 for c in candidates or ():
-                    begin, span, theirs = c["begin"], c["span"], [w.encode() for w in c["words"]]
-                    run = 0
-                    for x, w in enumerate(theirs):
-                        at = begin + x
-                        run = run + 1 if 0 <= at < len(words) and words[at] == w else 0
-                        if run >= span:
-                            hit.update(range(at - span + 1, at + 1))
-                            items.add(c["item_id"])
+                    span, theirs = c["span"], [w.encode() for w in c["words"]]
+                    for begin in c["begins"]:
+                        run = 0
+                        for x, w in enumerate(theirs):
+                            at = begin + x
+                            run = run + 1 if 0 <= at < len(words) and words[at] == w else 0
+                            if run >= span:
+                                hit.update(range(at - span + 1, at + 1))
+                                items.add(c["item_id"])
                 for x, v in zip(out, (len(words), len(hit), sorted(items)), strict=True):
                     x.append(v)
-            found = pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string()))], ["n_words", "n_hit", "items"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], found], [*batch.schema.names[2:], "_found"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()))
+            found = pa.StructArray.from_arrays([*map(pa.array, out, kinds), batch.column(2).fill_null(0)], ["n_words", "n_hit", "items", "n_near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], found], [*batch.schema.names[3:], "_found"])
 
-    joined = keyed.join(listed, ["_k1", "_k2"], "left").select(F.col(text).alias("_text"), "_candidates", *plain.columns)
+    joined = keyed.join(listed, ["_k1", "_k2"], "left").select(F.col(text).alias("_text"), "_candidates", "_near", *plain.columns)
     kinds = ", ".join(f"_c{i} {t.dataType.simpleString()}" for i, t in enumerate(docs.schema))
-    return joined.mapInArrow(compare, f"{kinds}, _found struct<n_words: bigint, n_hit: bigint, items: array<string>>").toDF(*names, "_found")
+    return joined.mapInArrow(compare, f"{kinds}, _found struct<n_words: bigint, n_hit: bigint, items: array<string>, n_near: bigint>").toDF(*names, "_found")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a word inside an occurrence of a benchmark window."""
+    """The rows of ``docs`` without a word inside an occurrence of a benchmark window; null texts and repeated rows stay."""
     return find_phrases(docs, benchmark).where("_found.n_hit = 0").drop("_found")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Exact phrase matches of the benchmark in all documents, and how many proximity matches stand in each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id", "_found.n_words", "_found.n_hit", F.size("_found.items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "_found.items").cast("binary"), 256).alias("items_sha256"), (F.col("_found.n_hit") > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", "_found.items").cast("binary"), 256).alias("items_sha256"), (F.col("_found.n_hit") > 0).alias("contaminated"), "_found.n_near",
     )
 
 
@@ -211,8 +226,22 @@ doc_at as (select id, n, w, unnest(range(1, len(w) - n + 2)) as i from w, spans
 hits as materialized (
     select d.id, d.i, d.n, item_id from (select id, i, n, array_to_string(w[i : i + n - 1], ' ') as t from doc_at) d join windows on d.n = windows.n and d.t = windows.t),
 words as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from hits) group by id),
+item as (select distinct id as item_id, w, least(10, len(w)) as n from w where kind = 'b' and len(w) > 0),
+item_words as (select item_id, w, n, unnest(w) as term, unnest(range(len(w))) as q from item),
+doc_words as materialized (select id, unnest(w) as term, unnest(range(len(w))) as p from w where kind = 'd'),
+counts as (select term, count(*) as c from doc_words where term in (select term from item_words) group by 1),
+ranks as (select item_id, w, n, q, term, coalesce(c, 0) as c from item_words left join counts using (term)),
+starts as (select item_id, w, n, unnest(range(len(w) - n + 1)) as j from item),
+slots as (
+    select distinct item_id, w, q, term from (
+        select s.item_id, s.w, s.j, q, term, row_number() over (partition by s.item_id, s.w, s.j order by c, q) as r
+        from starts s join ranks k on s.item_id is not distinct from k.item_id and s.w = k.w and q between j and j + s.n - 1) where r <= 2),
+aligned as materialized (select id, item_id, slots.w, q, p - q as b from doc_words join slots using (term)),
+near as (
+    select x.id, count(*) as n_near from aligned x join aligned y
+    on x.id = y.id and x.item_id is not distinct from y.item_id and x.w = y.w and x.q <> y.q and y.b - x.b between 1 and 3 group by 1),
 items as (select id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct id, item_id::varchar as item_id from hits) group by id)
 select w.id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from w left join words on w.id = words.id left join items on w.id = items.id where kind = 'd'
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from w left join words on w.id = words.id left join items on w.id = items.id left join near on w.id = near.id where kind = 'd'
 """
