@@ -151,8 +151,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, in_bucket: int = 48, id_col
 
 #: Members up to which all pairs of a prefix key are compared without a look at what is linked already.
 IN_BUCKET = 48
-#: One of so many texts tells which shingles are frequent, and the most of them that all tasks hold.
-SAMPLED, FREQUENT = 8, 1 << 17
+#: One of so many texts tells which shingles are frequent, and the most of them that all tasks hold (4 MB).
+SAMPLED, FREQUENT = 12, 1 << 19
+#: Ratio of the sizes of sets that are told apart in large buckets.
+SIZE_STEP = 1.004
+#: Keys of a node in large buckets by which a pair is taken once.
+FIRST_KEYS = 32
 #: Most rows of a table of hash buckets that is broadcast to keep rows out of a shuffle.
 BUCKETS = 1 << 20
 
@@ -166,6 +170,11 @@ def _shingles(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((h(b" ".join(words[i : i + width]), 42) for i in range(n)), "<u8", n)
 
 
+def _mixed(text: bytes, width: int) -> np.ndarray:
+    """The set of a text's shingles as sorted hashes."""
+    return np.unique(_shingles(text, width) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
@@ -194,7 +203,7 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray)
         for batch in batches:
             sizes, keys = [], []
             for text in as_bytes(batch.column(2)):
-                h = np.unique(_shingles(text, width) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                h = _mixed(text, width)
                 late = _among(h, last)
                 n = len(h)
                 sizes.append(n)
@@ -206,10 +215,27 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray)
     return found.groupBy(F.col("_k2").alias("node")).agg(F.min("_k1").alias("_k1"), F.min("n").alias("n"), F.min("keys").alias("keys"))
 
 
-def _frequent(nodes: DataFrame) -> np.ndarray:
-    """Sorted keys of many ``nodes``, at most FREQUENT, told from a sample; any choice gives the same links, at another cost."""
-    sampled = nodes.where(F.pmod("node", F.lit(SAMPLED)) == 0).select(F.explode("keys").alias("key"))
-    counts = stash(sampled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IN_BUCKET // SAMPLED), "frequent")
+def _frequent(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingle hashes of many distinct texts, at most FREQUENT, told from a sample; any choice gives the same links, at another cost."""
+    sampled = texts.where(F.pmod("_k2", F.lit(SAMPLED)) == 0).dropDuplicates(["_k2"]).select("text")
+
+    def count(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                held.append(_mixed(text, width))
+                if sum(map(len, held)) > 1 << 20:
+                    yield part(held)
+        yield part(held)
+
+    def part(held):
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], ["key", "n"])
+
+    bounded_batches(texts.sparkSession)
+    counts = sampled.mapInArrow(count, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = stash(counts.where(F.col("n") > IN_BUCKET // SAMPLED), "frequent")
     step = F.floor(16 * F.log2("n")).cast("int")
     least, room = None, FREQUENT
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
@@ -219,37 +245,48 @@ def _frequent(nodes: DataFrame) -> np.ndarray:
         least = r.step
     if least is None:
         return np.zeros(0, np.int64)
-    return np.sort(np.array([r.key for r in counts.where(step >= least).select("key").collect()], np.int64))
+    return np.sort(counts.where(step >= least).select("key").toArrow().column(0).to_numpy())
 
 
 def prefix_nodes(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
     """The distinct texts of ``keyed`` as of :func:`_prefixes`, with frequent shingles last."""
-    first = stash(_prefixes(keyed, width, similarity, np.zeros(0, np.int64)), "prefixes")
-    last = _frequent(first)
-    if not len(last):
-        return first
-    shared = keyed.sparkSession.sparkContext.broadcast(last)
+    return stash(_prefixes(keyed, width, similarity, _frequent(keyed, width)), "prefixes")
 
-    def touch(batches):
-        for batch in batches:
-            hit = [bool(_among(k.values.to_numpy(), shared.value).any()) for k in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "hit"])
 
-    marked = stash(first.select("node", "_k1", "n", "keys").mapInArrow(touch, "node long, _k1 long, n int, keys array<long>, hit boolean"), "marked")
-    again = stash(marked.where("hit").select("_k1", F.col("node").alias("_k2")), "again")
-    texts = _in_buckets(keyed, again).join(again, ["_k1", "_k2"], "left_semi")
-    return stash(marked.where("not hit").drop("hit").unionByName(_prefixes(texts, width, similarity, last)), "prefixes")
+def prefix_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, n, p, pos, key, members): the keys that several nodes have, with the number of these; p is the length of a node's keys, pos a key's place."""
+    listed = nodes.select("node", "n", F.size("keys").alias("p"), F.posexplode("keys").alias("pos", "key"))
+    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return split_join(listed, counts, ["key"])
 
 
-def _size_fits(a: Column, b: Column, similarity: float) -> Column:
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
+def _reach(n: Column, other: Column, similarity: float) -> Column:
+    """Among how many first keys of a set of ``n`` the first key is that it shares with a set of ``other`` of that similarity."""
+    return n - F.ceil(F.lit(similarity / (1 + similarity)) * (n + other) - 1e-6) + 1
 
 
-def prefix_buckets(nodes: DataFrame) -> DataFrame:
-    """(node, n, p, key, members): the keys that several nodes have, with the number of these; p is the length of a node's keys."""
-    listed = nodes.select("node", "n", F.size("keys").alias("p"), F.explode("keys").alias("key"))
-    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return split_join(listed, counts, ["key"])
+def _places_fit(x: Column, y: Column, similarity: float) -> Column:
+    """Whether a key shared by structs (n, pos, ...) can be the first that they share."""
+    return (x["pos"] < _reach(x["n"], y["n"], similarity)) & (y["pos"] < _reach(y["n"], x["n"], similarity))
+
+
+def in_reach(large: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``large`` whose key can be the first that the node shares with one of a size that the bucket has.
+
+    Of each bucket the sizes are told by their logarithms in steps of SIZE_STEP, three thousand numbers at most.
+    A near copy with many shingles of its own has these first, so it leaves the buckets of its group's
+    shingles where it can't be alike to texts of the group's lengths.
+    """
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(SIZE_STEP)).cast("int")
+    sizes = large.groupBy("key").agg(F.collect_set(step).alias("sizes"))
+    least = lambda c: F.pow(F.lit(SIZE_STEP), c.cast("double"))
+    n = F.col("n")
+    fits = lambda c: (least(c) * similarity <= n + 1e-3) & (least(c + 1) >= similarity * n - 1e-3) & (F.col("pos") < _reach(n, F.greatest(least(c) - 1e-3, similarity * n - 1e-3), similarity))
+    return split_join(large, sizes, ["key"]).where((n == 0) | F.exists("sizes", fits)).drop("sizes")
+
+
+def _size_fits(a: Column, b: Column, similarity: float) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
 
 
 def _enough(both: DataFrame, common: Column, similarity: float) -> DataFrame:
@@ -281,10 +318,14 @@ def small_pairs(found: DataFrame, in_bucket: int, similarity: float) -> DataFram
 
 
 def hub_pairs(large: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the members of ``large`` buckets with four of them: least, greatest, one by chance, and that of most large keys."""
+    """Pairs (a, b) of the members of ``large`` buckets with four of them: least, greatest, one by chance, and that of the fewest keys of its own.
+
+    In a group of near copies of one text, which are less like each other than like it, the last is that text.
+    """
     mask = F.xxhash64("key")
     me = F.struct("node", "n", "p")
-    hubs = large.groupBy("key").agg(F.min(me).alias("least"), F.max(me).alias("most"), F.min_by(me, F.col("node").bitwiseXOR(mask)).alias("chance"), F.max_by(me, F.struct("large", "node")).alias("centre"))
+    own = F.struct(F.col("p") - F.col("large"), -F.col("n"), "node")
+    hubs = large.groupBy("key").agg(F.min(me).alias("least"), F.max(me).alias("most"), F.min_by(me, F.col("node").bitwiseXOR(mask)).alias("chance"), F.min_by(me, own).alias("centre"))
     met = split_join(large, hubs.select("key", F.array_distinct(F.array("least", "most", "chance", "centre")).alias("hubs")), ["key"])
     met = met.select(me.alias("x"), F.explode("hubs").alias("y")).where("x.node <> y.node").where(_size_fits(F.col("x.n"), F.col("y.n"), similarity))
     return met.select(*_ordered(F.col("x"), F.col("y"))).select("a", "b").distinct()
@@ -293,19 +334,26 @@ def hub_pairs(large: DataFrame, similarity: float) -> DataFrame:
 def other_pairs(large: DataFrame, roots: DataFrame, small: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of ``large`` buckets that may be alike and that ``roots`` (node, root) do not join.
 
-    In each bucket, all members outside its greatest component meet all members of another component;
-    those inside one need no pair. ``small`` has the keys in common beside, so these counts are whole.
+    In each bucket, all members outside its greatest component meet all members of another component at
+    whose keys' places they can be alike; those inside one need no pair. ``small`` has the pairs' other
+    common keys, and ``large`` how many keys of large buckets a node has.
     """
+    firsts = F.array_sort(F.collect_list(F.struct("pos", "key")))
+    firsts = large.groupBy("node").agg(F.slice(F.transform(firsts, lambda x: x["key"]), 1, FIRST_KEYS).alias("firsts"))
     held = stash(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "held")
     parts = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    held = stash(split_join(held, main.select("key", F.col("main.root").alias("main")), ["key"]), "open")
-    me = F.struct("node", "n", "p", "root", "main")
+    held = split_join(held, main.select("key", F.col("main.root").alias("main")), ["key"])
+    held = stash(split_join(held, firsts, ["node"]), "open")
+    me = F.struct("node", "n", "p", "pos", "large", "root", "main", "firsts")
+    x, y = F.col("x"), F.col("y")
     met = split_join(held.select("key", me.alias("x")), held.where("root <> main").select("key", me.alias("y")), ["key"])
-    met = met.where("x.root <> y.root and (x.root = x.main or x.node < y.node)").where(_size_fits(F.col("x.n"), F.col("y.n"), similarity))
-    common = met.select(*_ordered(F.col("x"), F.col("y"))).groupBy(*_BOTH).agg(F.count(F.lit(1)).alias("common"))
+    met = met.where("x.root <> y.root and (x.root = x.main or x.node < y.node)").where(_size_fits(x["n"], y["n"], similarity) & _places_fit(x, y, similarity))
+    shared = F.array_intersect(x["firsts"], y["firsts"])  # in the order of keys; a pair is taken where it meets first
+    met = met.where((F.size(shared) == 0) | (F.get(shared, F.lit(0)) == F.col("key")))
+    pairs = met.select(*_ordered(x, y), F.least(x["large"], y["large"]).alias("more")).distinct()
     beside = small.select("a", "b", F.col("common").alias("beside"))
-    return _enough(common.join(beside, ["a", "b"], "left"), F.col("common") + F.coalesce("beside", F.lit(0)), similarity)
+    return _enough(pairs.join(beside, ["a", "b"], "left"), F.col("more") + F.coalesce("beside", F.lit(0)), similarity)
 
 
 def _in_buckets(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -352,15 +400,15 @@ def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8, in_
 
     ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. No pair is missed:
     two such texts share a prefix key (see :func:`_prefixes`). Keys of up to ``in_bucket`` members give
-    all their pairs. The members of others meet four of them first; then all that are not yet joined
-    meet each other. Every link is verified.
+    all their pairs. Of others, members leave that can't be alike to any of the sizes there; the rest meet
+    four of them first, then all that are not yet joined meet each other. Every link is verified.
     """
     keyed = keyed.select("_k1", "_k2", "text")
     nodes = prefix_nodes(keyed, width, similarity)
     found = stash(prefix_buckets(nodes), "buckets")
     large = found.where(F.col("members") > in_bucket)
     per_node = large.groupBy("node").agg(F.count(F.lit(1)).alias("large"))
-    large = stash(large.join(per_node, "node"), "large")
+    large = stash(in_reach(large.join(per_node, "node"), similarity), "large")
     small = stash(small_pairs(found, in_bucket, similarity), "small")
     held = lambda c: per_node.select(F.col("node").alias(c), F.col("large").alias(f"l{c}"))
     near = small.join(held("a"), "a", "left").join(held("b"), "b", "left")
