@@ -319,3 +319,90 @@ def test_late_rows_are_dropped(spark, tmp_path):
         counted = live.tumbling(live.on_channel(live.messages(spark, f"file://{source}"), "X"), "ts", "1 hour", "10 minutes", ["symbol"], [F.count(F.lit(1)).alias("n")])
         live.each_batch(counted, lambda batch, _: closed.extend((r.window_start.hour, r.n) for r in batch.collect()), f"file://{tmp_path}/state")
     assert sorted(closed) == [(0, 1), (1, 1), (3, 1)]
+
+
+# what the registered queries name too, on small tables with NULLs, ties and empty input
+
+
+def test_records_and_pages(spark):
+    df = spark.createDataFrame([(1, "a", 3.0), (2, None, 1.0), (3, "c", 1.0)], "id int, s string, v double")
+    assert relational.key_first(df, "v").columns == ["v", "id", "s"]
+    assert relational.renamed(df, {"s": "name", "id": "key"}).collect()[1].asDict() == {"name": None, "key": 2}
+    assert df.limit(0).transform(lambda d: relational.renamed(d, {"s": "name"})).columns == ["name"]
+    first = relational.page_after(df, ["v", "id"], None, 2).collect()
+    assert [r.id for r in first] == [2, 3] and [r.id for r in relational.page_after(df, ["v", "id"], (1.0, 3), 2).collect()] == [1]
+    assert relational.page_after(df, ["v", "id"], (3.0, 1), 2).count() == 0
+
+
+def test_active_and_now(spark):
+    df = spark.createDataFrame([(1, None), (2, datetime(2024, 1, 1))], "id int, DelistDate timestamp")
+    assert rows(df.where(P.active()), "id") == [(1,)] and df.limit(0).where(P.active()).count() == 0
+    now = spark.range(1).select(S.now_to_second().alias("now")).first().now
+    assert now.microsecond == 0 and abs((datetime.now() - now).total_seconds()) < 86400 * 2
+
+
+def test_points_from_maps(spark):
+    listed = [("m", {"user": "u"}, {"v": 1.5}, datetime(2024, 1, 1)), ("m", {}, {"w": 2.0}, None), ("m", None, None, None)]
+    points = spark.createDataFrame(listed, "measurement string, tags map<string, string>, fields map<string, double>, time timestamp")
+    assert rows(timeseries.from_maps(points, ["user"], ["v"]), "user", "v") == sorted([("u", 1.5), (None, None), (None, None)], key=repr)
+    assert timeseries.from_maps(points.limit(0), ["user"], ["v"]).columns == ["measurement", "user", "time", "v"]
+
+
+def test_price_faults(spark):
+    price = lambda i, h, lo, o, c: (i, h, lo, o, c)
+    df = spark.createDataFrame([price(1, 5, 1, 2, 3), price(2, 1, 5, 2, 3), price(3, 5, 1, 9, 3), price(4, 5, 1, 2, None)], "id int, highest_price int, lowest_price int, open_price int, close_price int")
+    assert {r.test: r.n for r in constraints.report(df, constraints.price_faults()).collect()} == {"high below low": 1, "close outside": 1, "open outside": 2}
+    assert rows(constraints.any_violation(df, constraints.price_faults()), "id") == [(2,), (3,)]
+    assert {r.n for r in constraints.report(df.limit(0), constraints.price_faults()).collect()} == {0}
+
+
+def test_sinks_of_messages(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda s, p: json.dumps({"channel": "X", "symbol": s, "ts": "2024-01-01T00:00:01Z", "price": p, "volume": 1})
+    (source / "a.json").write_text("\n".join([line("a", 1.0), line("a", 1.0), line("b", 2.0), "{"]))
+    stream = lambda: live.messages(spark, f"file://{source}")
+    assert sorted((r.symbol or "", r._batch) for r in live.drain(stream().select("symbol")).collect()) == [("", 0), ("a", 0), ("a", 0), ("b", 0)]
+    out, state = f"file://{tmp_path}/out", f"file://{tmp_path}/state"
+    for again in range(2):
+        points = live.on_channel(stream(), "X").select(F.lit("tick").alias("measurement"), "symbol", F.col("ts").alias("time"), "price")
+        live.into_points(points, out, ["measurement", "symbol", "time"], f"{state}{again}")
+    assert rows(spark.read.parquet(out), "symbol", "price") == [("a", 1.0), ("b", 2.0)]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-5, 5))), max_size=40))
+def test_medians_of_small_series(spark, listed):
+    import statistics
+
+    df = spark.createDataFrame(listed, "k string, v int")
+    got = {r.k: r.m for r in timeseries.median(df, ["k"], "v", "m").collect()}
+    known = {k: [v for x, v in listed if x == k and v is not None] for k, _ in listed}
+    assert got == {k: statistics.median(v) if v else None for k, v in known.items()}
+
+
+def test_median_of_a_large_series(spark):
+    df = spark.range(100_001).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 100_003).cast("double").alias("v"))
+    assert timeseries.median(df, ["k"], "v").first().median == df.select(F.median("v")).first()[0]
+    assert timeseries.median(df, [], "v").first().median == timeseries.median(df, ["k"], "v").first().median
+
+
+def test_identity_of_keys_with_one_prefix_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(changes, "PER_RANGE", 50)
+    df = spark.range(1000).select(F.format_string("Supplier#%09d", F.col("id") * 7919 % 1000).alias("name"), "id")
+    numbered = changes.with_identity(df, "key", ["name"], 0)
+    assert [r.key for r in numbered.orderBy("name").collect()] == list(range(1, 1001))
+    assert changes.with_identity(df.limit(0), "key", ["name"], 5).count() == 0
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidewater import scratch
+
+    session = lambda master, shared: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: shared), sparkContext=SimpleNamespace(master=master, applicationId=master))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.scratch_dir(session(master, None))
+        assert scratch.scratch_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert scratch.scratch_dir(session("local[4]", None)).startswith("file://")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import stash
 
-#: How many ranges number the new rows; each is a task of its own.
-RANGES = 64
+#: Rows that one range numbers, about.
+PER_RANGE = 500_000
 
 
 def update(df: DataFrame, values: dict[str, Column], condition: Column | None = None) -> DataFrame:
@@ -37,29 +37,20 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _prefix(df: DataFrame, column: str) -> Column:
-    """A number that never falls as the column rises: the value itself, or a text's first bytes."""
-    if df.schema[column].dataType.typeName() == "string":
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(column).cast("double")
-
-
 def with_identity(df: DataFrame, key: str, order: list[str], start: Column | int) -> DataFrame:
-    """``key`` = start + 1, start + 2 ... in the order of columns of which the first is a number or text.
+    """``key`` = start + 1, start + 2 ... in the order of some columns.
 
-    The rows are numbered in ranges of the first column by the counts of the ranges before, so that
-    no task holds them all.
+    The rows are dealt into ranges of all these columns, as many as their number asks for, and written
+    with their range. Each range is numbered by itself, after the counts of the ranges before. Only rows
+    that are equal in all columns of the order can't be dealt out.
     """
-    at = _prefix(df, order[0])
-    bounds = df.agg(F.percentile_approx(at, [i / RANGES for i in range(1, RANGES)]).alias("_bounds"))
-    held = df.withColumn("_at", at).crossJoin(F.broadcast(bounds))
-    held = held.withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_at"))), F.lit(-1))).drop("_bounds", "_at")
+    ranges = max(1, -(-df.count() // PER_RANGE))
+    held = stash(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "identity")
     counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     start = start if isinstance(start, Column) else F.lit(start)
-    return held.withColumn("_number", number).join(F.broadcast(before), "_range").withColumn(key, start + F.col("_before") + F.col("_number")).drop("_range", "_before", "_number")
+    return held.withColumn("_number", number).join(before, "_range").withColumn(key, start + F.col("_before") + F.col("_number")).drop("_range", "_before", "_number")
 
 
 def source(column: str) -> Column:

@@ -74,6 +74,17 @@ def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> Da
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[str], last: tuple | None, size: int) -> DataFrame:
+    """The next ``size`` rows in a total order after the one with the values ``last``; the first page with None.
+
+    Rows up to there are filtered out, not sorted and skipped, so a deep page costs no more than the first.
+    Columns of the order must not be NULL.
+    """
+    if last is not None:
+        df = df.where(F.struct(*order) > F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, last, strict=True))))
+    return df.orderBy(*order).limit(size)
+
+
 def page_count(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.ceil(F.count(F.lit(1)) / size).cast("long").alias("n_pages"))
 

@@ -5,6 +5,8 @@ A series is named by columns; inside it rows are ordered by time, then by tie-br
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ def _at(order: list[str]) -> Column:
 #: One value a series or window: name to (value column, order) -> Column.
 AGGREGATES = {
     "mean": lambda v, o: F.avg(v),
-    "median": lambda v, o: F.median(v),
     "max": lambda v, o: F.max(v),
     "min": lambda v, o: F.min(v),
     "sum": lambda v, o: F.sum(v),
@@ -35,16 +36,51 @@ AGGREGATES = {
 
 def aggregate(points: DataFrame, series: list[str], value: str, function: str, order: list[str] = (), alias: str | None = None) -> DataFrame:
     """One row a series. first and last need an order; NULL values count in none."""
+    if function == "median":
+        return median(points, series, value, alias or function)
     if function not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {function}")
     known = points.where(F.col(value).isNotNull()) if function in ("first", "last") else points
     return known.groupBy(*series).agg(AGGREGATES[function](value, list(order)).alias(alias or function))
 
 
+#: Shares of a series' values between which the median lies, and the accuracy with which Spark tells them.
+BRACKET, ACCURACY = (0.499, 0.501), 10_000
+
+
+def median(points: DataFrame, series: list[str], value: str, alias: str = "median") -> DataFrame:
+    """The exact median of each series, without a series' values in any task's memory.
+
+    Approximate shares around the half bracket it; what lies below is counted, and only the distinct values
+    inside the bracket, a few thousandths of a large series, are ranked. A series of NULLs has a NULL.
+    """
+    keys = [f"_s{i}" for i in range(len(series))]
+    rows = points.select(*(F.col(c).alias(k) for c, k in zip(series, keys, strict=True)), F.col(value).cast("double").alias("_v"))
+    held = rows.groupBy(*keys).agg(F.percentile_approx("_v", list(BRACKET), ACCURACY).alias("_b"), F.count("_v").alias("_of"))
+    side = held.select(*(F.col(k).alias(f"{k}h") for k in keys), "_b", "_of")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys), F.lit(True))
+    joined = rows.where("_v is not null").join(side, same).where(F.col("_v") <= F.col("_b")[1])
+    place = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))  # NULL: below the bracket
+    counted = joined.groupBy(*keys, place.alias("_v"), "_of").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))
+    middle = [F.expr("(_of + 1) div 2"), F.expr("_of div 2 + 1")]
+    at = [F.min(F.when(F.col("_upto") >= m, F.col("_v"))) for m in middle]
+    found = counted.withColumn("_upto", upto).groupBy(*keys).agg(((at[0] + at[1]) / 2).alias(alias))
+    other = found.select(*(F.col(k).alias(f"{k}h") for k in keys), alias)
+    return held.join(other, same, "left").select(*(F.col(k).alias(c) for c, k in zip(series, keys, strict=True)), alias)
+
+
 def windowed(points: DataFrame, series: list[str], time: str, value: str, functions: list[str], interval: str, offset: str | None = None, order: list[str] = ()) -> DataFrame:
     """One row for each series and tumbling window, with the window's start and a column a function."""
     w = F.window(time, interval, interval, offset) if offset else F.window(time, interval)
-    return points.groupBy(*series, w.alias("_w")).agg(*(AGGREGATES[f](value, list(order) or [time]).alias(f) for f in functions)).select(*series, F.col("_w.start").alias("window_start"), *functions)
+    plain = [f for f in functions if f != "median"]
+    out = points.groupBy(*series, w.alias("_w")).agg(F.count(F.lit(1)).alias("_n"), *(AGGREGATES[f](value, list(order) or [time]).alias(f) for f in plain)).select(*series, F.col("_w.start").alias("window_start"), *plain)
+    if len(plain) < len(functions):
+        keys = [*series, "window_start"]
+        found = median(points.withColumn("window_start", w["start"]), keys, value).toDF(*(f"_k{i}" for i in range(len(keys))), "median")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)))
+        out = out.join(found, same, "left")
+    return out.select(*series, "window_start", *functions)
 
 
 def _series(series: list[str], order: list[str]):

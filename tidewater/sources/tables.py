@@ -30,10 +30,10 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def create_database(spark: SparkSession, name: str) -> bool:
-    """Whether it was made; a database that is there stays as it is."""
+def create_database(spark: SparkSession, name: str, path: str | None = None) -> bool:
+    """Whether it was made, at ``path`` or in the warehouse; a database that is there stays as it is."""
     made = not database_exists(spark, name)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`" + (f" LOCATION '{path}'" if path else ""))
     return made
 
 

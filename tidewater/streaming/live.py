@@ -12,9 +12,10 @@ from ..scratch import fresh_path
 from ..sources import schemas
 
 
-def messages(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of JSON lines; a line that doesn't parse is kept in ``_corrupt_record``."""
-    return spark.readStream.schema(schemas.MESSAGE).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+def messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of JSON lines, oldest files first; a line that doesn't parse is kept in ``_corrupt_record``."""
+    reader = spark.readStream.schema(schemas.MESSAGE).option("columnNameOfCorruptRecord", "_corrupt_record")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -67,11 +68,10 @@ def into_points(df: DataFrame, path: str, keys: list[str], checkpoint: str) -> N
     each_batch(df, work, checkpoint)
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for the data that is there now, read back from a table in the shared scratch folder.
+def drain(df: DataFrame) -> DataFrame:
+    """What a stream gives, in append mode, for the data that is there now, with the number of its micro-batch in ``_batch``.
 
-    Update mode keeps the last state of each window by ``window_start`` and the group columns given in
-    the stream's key.
+    It is read back from a table in the shared scratch folder.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "stream")
@@ -79,5 +79,5 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     def work(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/b={number}")
 
-    each_batch(df, work, fresh_path(spark, "stream-state"), mode)
+    each_batch(df, work, fresh_path(spark, "stream-state"))
     return spark.read.parquet(path).drop("b")
