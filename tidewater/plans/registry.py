@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import bars, changes, constraints, market, relational, timeseries
+from ..scratch import fresh_path
 from ..sources import feeds, schemas, tables
 from ..streaming import incremental, live
 
@@ -84,12 +86,16 @@ for _name, _table, _column, _operator, _value, _sql in [
     query(f"select * from {_table} where {_sql}", _name)(lambda t, n=_table, c=_column, o=_operator, v=_value: P.where_all(getattr(t, n), P.predicate(c, o, v)))
 
 
+#: Every customer of the tables has orders and the other way round, so keys moved by this make rows without a match on both sides; no row is left out.
+_MOVED = 40
+
+
 def _customers_with_orders(t):
-    some = t.orders.where("o_custkey % 5 <> 0").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return relational.join(t.customer.select("c_custkey"), some, "left", "c_custkey", "o_custkey")
+    some = t.orders.groupBy((F.col("o_custkey") + _MOVED).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return relational.join(t.customer.select("c_custkey"), some, "left", "c_custkey", "key")
 
 
-_LEFT = "customer left join (select o_custkey, count(*)::bigint as n from orders where o_custkey % 5 <> 0 group by 1) on c_custkey = o_custkey"
+_LEFT = f"customer left join (select o_custkey + {_MOVED} as key, count(*)::bigint as n from orders group by 1) on c_custkey = key"
 
 
 @query(f"select c_custkey from {_LEFT} where n is null")
@@ -123,9 +129,9 @@ def filter_all(t):
     return P.compare_all(t.part, "p_retailprice", ">=", t.part.where("p_size = 3"), "p_retailprice")
 
 
-@query("select * from customer where c_custkey not in (select o_custkey from orders where o_custkey % 3 = 0)")
+@query("select * from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 450000)")
 def filter_not_in_table(t):
-    return P.not_in_table(t.customer, "c_custkey", t.orders.where("o_custkey % 3 = 0"), "o_custkey")
+    return P.not_in_table(t.customer, "c_custkey", t.orders.where("o_totalprice > 450000"), "o_custkey")
 
 
 @query("select * from events where event_type = 'click' and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12 06:00:00'")
@@ -147,10 +153,8 @@ def range_days(t):
 
 for _kind in ("inner", "left", "right", "full"):
     query(
-        f"""select c_custkey, c_name, o_orderkey, o_totalprice from (select * from customer where c_custkey % 3 <> 0) {_kind} join
-        (select * from orders where o_custkey % 5 <> 0) on c_custkey = o_custkey""",
-        f"join_{_kind}",
-    )(lambda t, k=_kind: relational.join(t.customer.where("c_custkey % 3 <> 0"), t.orders.where("o_custkey % 5 <> 0"), k, "c_custkey", "o_custkey").select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))
+        f"select c_custkey, c_name, o_orderkey, o_totalprice from customer {_kind} join (select *, o_custkey + {_MOVED} as key from orders) on c_custkey = key", f"join_{_kind}"
+    )(lambda t, k=_kind: relational.join(t.customer, t.orders.withColumn("key", F.col("o_custkey") + _MOVED), k, "c_custkey", "key").select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))
 
 
 @query("select s_suppkey, r_regionkey from supplier cross join region")
@@ -191,11 +195,11 @@ def market_lookup(t):
 
 
 @query(
-    """(select distinct o_custkey as value, 'actual' as side from orders where o_custkey % 7 <> 0 and o_custkey not in (select c_custkey from customer where c_custkey % 5 <> 0)) union all
-    (select c_custkey, 'expected' from customer where c_custkey % 5 <> 0 and c_custkey not in (select o_custkey from orders where o_custkey % 7 <> 0))"""
+    f"""(select distinct o_custkey + {_MOVED} as value, 'actual' as side from orders where o_custkey + {_MOVED} not in (select c_custkey from customer)) union all
+    (select c_custkey, 'expected' from customer where c_custkey not in (select o_custkey + {_MOVED} from orders))"""
 )
 def set_equality(t):
-    return relational.set_difference(t.orders.where("o_custkey % 7 <> 0"), "o_custkey", t.customer.where("c_custkey % 5 <> 0"), "c_custkey")
+    return relational.set_difference(t.orders.withColumn("key", F.col("o_custkey") + _MOVED), "key", t.customer, "c_custkey")
 
 
 @query(
@@ -227,12 +231,11 @@ def delete_where(t):
 
 
 def _sides(t):
-    target = t.supplier.where("s_suppkey % 3 <> 0").select("s_suppkey", "s_name", "s_acctbal")
-    return target, t.supplier.where("s_suppkey % 5 <> 0").select("s_suppkey", F.upper("s_name").alias("name"), (F.col("s_acctbal") + 1).alias("balance"))
+    target = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
+    return target, t.supplier.select((F.col("s_suppkey") + 3).alias("s_suppkey"), F.upper("s_name").alias("name"), (F.col("s_acctbal") + 1).alias("balance"))
 
 
-_MERGED = """(select * from supplier where s_suppkey % 3 <> 0) t full join
-    (select s_suppkey, upper(s_name) as name, s_acctbal + 1 as balance from supplier where s_suppkey % 5 <> 0) s on t.s_suppkey = s.s_suppkey"""
+_MERGED = "supplier t full join (select s_suppkey + 3 as s_suppkey, upper(s_name) as name, s_acctbal + 1 as balance from supplier) s on t.s_suppkey = s.s_suppkey"
 
 
 def _copy():
@@ -272,9 +275,9 @@ def insert_with_identity(t):
 # Constraints
 
 
-@query("select l_orderkey, l_linenumber from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_custkey % 5 <> 0)")
+@query(f"select l_orderkey, l_linenumber from lineitem where not exists (select 1 from orders where o_orderkey + {_MOVED} = l_orderkey)")
 def orphans(t):
-    return constraints.orphans(t.lineitem, "l_orderkey", t.orders.where("o_custkey % 5 <> 0"), "o_orderkey").select("l_orderkey", "l_linenumber")
+    return constraints.orphans(t.lineitem, "l_orderkey", t.orders.withColumn("key", F.col("o_orderkey") + _MOVED), "key").select("l_orderkey", "l_linenumber")
 
 
 @query("select l_orderkey, l_linenumber, count(*)::bigint as n from lineitem group by all having count(*) > 1")
@@ -291,26 +294,40 @@ def constraint_violations(t):
     return constraints.split_valid(part, ["brand"], {"p_type": 12})[1].select("p_partkey", F.concat_ws(",", "violations").alias("faults"))
 
 
+_PRICES = "(select *, (l_extendedprice * (1 - l_discount))::bigint as low, case when l_linestatus = 'O' and l_tax > 0.07 then 0 else l_extendedprice::bigint end as high from lineitem)"
+
+
 @query(
-    """select 'no discount' as test, count(*)::bigint as n from lineitem where l_discount = 0 union all
-    select 'price per unit below 900', count(*) from lineitem where l_extendedprice / l_quantity < 900"""
+    f"""select 'null brand' as test, count(*)::bigint as n from part where nullif(p_brand, 'Brand#13') is null union all select 'high below low', count(*) from {_PRICES} where high < low
+    union all select 'bad day', count(*) from lineitem where l_linenumber = 7 union all select 'bad number', count(*) from lineitem where l_quantity = 13
+    union all select 'duplicate key', count(*) from (select l_orderkey, l_linenumber from lineitem group by all having count(*) > 1)
+    union all select 'no order', count(*) from lineitem where l_orderkey not in (select o_orderkey + {_MOVED} from orders)"""
 )
 def quality_report(t):
-    return constraints.report(t.lineitem, {"no discount": F.col("l_discount") == 0, "price per unit below 900": F.col("l_extendedprice") / F.col("l_quantity") < 900})
+    day = F.when(F.col("l_linenumber") == 7, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(S.day_text(F.col("l_shipdate")))
+    number = F.when(F.col("l_quantity") == 13, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    high = F.when((F.col("l_linestatus") == "O") & (F.col("l_tax") > 0.07), 0).otherwise(F.round("l_extendedprice").cast("long"))
+    low = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long")
+    prices = t.lineitem.withColumns({"day": day, "number": number, "highest_price": high, "lowest_price": low, "open_price": low, "close_price": low})
+    tests = {"high below low": constraints.price_faults()["high below low"], "bad day": S.day_of(F.col("day")).isNull(), "bad number": S.decimal_number(F.col("number")).isNull()}
+    counted = lambda df, name: df.agg(F.lit(name).alias("test"), F.count(F.lit(1)).alias("n"))
+    missing = t.orders.withColumn("key", F.col("o_orderkey") + _MOVED)
+    return relational.append([
+        constraints.report(t.part, {"null brand": F.nullif("p_brand", F.lit("Brand#13")).isNull()}), constraints.report(prices, tests),
+        counted(constraints.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"]), "duplicate key"), counted(constraints.orphans(t.lineitem, "l_orderkey", missing, "key"), "no order"),
+    ])
 
 
 # Points and aggregates
 
 
 @query(
-    """select event_id, user_id, value from (select event_id, user_id, value, 0 as new from events union all
-    select event_id, user_id, value + 1, 1 from events where event_id % 3 = 0 union all select event_id + 1000000000, user_id, value, 1 from events where event_id % 7 = 0)
+    """select event_id, user_id, value from (select event_id, user_id, value, 0 as new from events union all select event_id * 2, user_id, value + 1, 1 from events)
     qualify row_number() over (partition by event_id order by new desc) = 1"""
 )
 def points_upsert(t):
     old = t.events.select("event_id", "user_id", "value")
-    new = old.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1).unionByName(old.where("event_id % 7 = 0").withColumn("event_id", F.col("event_id") + 1000000000))
-    return timeseries.upserted(old, new, ["event_id"])
+    return timeseries.upserted(old, old.select((F.col("event_id") * 2).alias("event_id"), "user_id", (F.col("value") + 1).alias("value")), ["event_id"])
 
 
 @query("unpivot (select l_orderkey, l_linenumber, l_partkey, l_quantity::double as l_quantity, l_tax::double as l_tax from lineitem) on l_quantity, l_tax into name field value value")
@@ -547,3 +564,338 @@ def stream_ohlc(t):
 def stream_dedup(t):
     events = live.parquet_stream(t.spark, f"{t.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return live.drain(live.distinct_within(events, "ts", ["event_type", "user_id"], "60 days").select("event_type", "user_id")).drop("_batch")
+
+
+# Feeds landed as files of JSON pages, from the page to points and tables
+
+
+def _landed(t, items: DataFrame, feed: str, page) -> DataFrame:
+    """Items of a feed written as JSON pages of what shares a page number, one more page without items, and read back as a feed."""
+    path = fresh_path(t.spark, f"feed-{feed}")
+    full = items.groupBy(page.alias("_page")).agg(F.collect_list(F.struct(*items.columns)).alias("data")).select("data")
+    empty = full.limit(1).select(F.array().cast(full.schema["data"].dataType).alias("data"))
+    pages = full.unionByName(empty).select(F.lit("ok").alias("message"), F.lit(200).alias("status"), F.size("data").cast("long").alias("totalRecord"), "data")
+    pages.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return feeds.items(feeds.read_pages(t.spark, path, feed), feed)
+
+
+def _prices(t) -> DataFrame:
+    """Items of daily prices from line items: one day in another format for the seventh line of an order."""
+    text = lambda c: F.col(c).cast("string")
+    day = F.when(F.col("l_linenumber") == 7, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(S.day_text(F.col("l_shipdate")))
+    return t.lineitem.select(
+        F.concat_ws(":", "l_partkey", "l_orderkey", "l_linenumber").alias("Symbol"), day.alias("TradingDate"), text("l_extendedprice").alias("ClosePrice"), text("l_discount").alias("PerPriceChange"),
+        F.col("l_quantity").cast("int").cast("string").alias("TotalMatchVol"),
+    )
+
+
+_SYMBOL = "concat_ws(':', l_partkey, l_orderkey, l_linenumber)"
+
+
+@query(
+    f"""select 'daily_prices' as measurement, {_SYMBOL} as symbol, l_shipdate::date::timestamp as time, trunc(l_extendedprice)::bigint as close_price, l_discount as per_price_change,
+    l_quantity::bigint as total_match_vol from lineitem where l_linenumber <> 7"""
+)
+def feed_prices_to_points(t):
+    good, _ = feeds.typed(_landed(t, _prices(t), "daily_prices", F.xxhash64("Symbol") % 4096), "daily_prices")
+    return feeds.price_points(good).select("measurement", "symbol", F.col("time").cast("timestamp_ntz").alias("time"), "close_price", "per_price_change", "total_match_vol")
+
+
+@query(f"select {_SYMBOL} as symbol, strftime(l_shipdate, '%Y-%m-%d') as day, 'TradingDate' as fault from lineitem where l_linenumber = 7")
+def feed_rejects(t):
+    _, bad = feeds.typed(_landed(t, _prices(t), "daily_prices", F.xxhash64("Symbol") % 4096), "daily_prices")
+    return bad.select(F.col("Symbol").alias("symbol"), F.col("TradingDate").alias("day"), F.concat_ws(",", "faults").alias("fault"))
+
+
+@query("select p_partkey::varchar as Symbol, p_name as SymbolName, p_type as SecType, (p_size * 1000)::varchar as ListedShare, p_brand as RType from part")
+def feed_details(t):
+    inner = F.struct(F.col("p_partkey").cast("string").alias("Symbol"), F.col("p_name").alias("SymbolName"), F.col("p_type").alias("SecType"), (F.col("p_size") * 1000).cast("string").alias("ListedShare"))
+    items = t.part.groupBy("p_brand", F.expr("p_partkey div 100").alias("at")).agg(F.collect_list(inner).alias("RepeatedinfoList"))
+    read = _landed(t, items.select(F.col("p_brand").alias("RType"), "RepeatedinfoList"), "details", F.xxhash64("RType") % 16)
+    return feeds.typed(read, "details")[0].select("Symbol", "SymbolName", "SecType", "ListedShare", "RType")
+
+
+@query("select c_custkey::varchar as IndexCode, c_name as IndexName, c_mktsegment as Exchange from customer")
+def feed_index_list(t):
+    items = t.customer.select(F.col("c_custkey").cast("string").alias("IndexCode"), F.col("c_name").alias("IndexName"), F.col("c_mktsegment").alias("Exchange"))
+    return feeds.required(_landed(t, items, "index_list", F.xxhash64("IndexCode") % 64), "index_list")
+
+
+_BARS = "arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(value)::bigint as n"
+_BAR_TEXT = "trunc(open)::bigint as Open, trunc(high)::bigint as High, trunc(low)::bigint as Low, trunc(close)::bigint as Close, n as Volume"
+
+
+def _bar_items(bars_of: DataFrame, day, time) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    return bars_of.select(
+        F.col("event_type").alias("Symbol"), F.lit("HOSE").alias("Market"), S.day_text(day).alias("TradingDate"), time.alias("Time"), text("open").alias("Open"), text("high").alias("High"), text("low").alias("Low"),
+        text("close").alias("Close"), text("n").alias("Volume"),
+    )
+
+
+def _bars_read(t, items: DataFrame, feed: str) -> DataFrame:
+    good, _ = feeds.typed(_landed(t, items, feed, F.xxhash64("Symbol", "TradingDate") % 64), feed)
+    return good.select("Symbol", F.col("TradingDate").cast("timestamp_ntz").alias("TradingDate"), "Time", "Open", "High", "Low", "Close", "Volume")
+
+
+@query(f"select event_type as Symbol, day as TradingDate, null::varchar as Time, {_BAR_TEXT} from (select event_type, date_trunc('day', ts)::timestamp as day, {_BARS} from events group by 1, 2)")
+def feed_daily_ohlc(t):
+    return _bars_read(t, _bar_items(bars.daily_bars(t.events, ["event_type"], "ts", "value", tie="event_id"), F.col("day"), F.lit(None).cast("string")), "daily_ohlc")
+
+
+@query(
+    f"""select event_type as Symbol, date_trunc('day', bar)::timestamp as TradingDate, strftime(bar, '%H:%M:%S') as Time, {_BAR_TEXT}
+    from (select event_type, time_bucket(interval 60 minutes, ts) as bar, {_BARS} from events group by 1, 2)"""
+)
+def feed_intraday_ohlc(t):
+    made = market.intraday_bars(t.events, ["event_type"], "ts", "value", 60, "event_id")
+    return _bars_read(t, _bar_items(made, F.col("bar_start"), F.date_format("bar_start", "HH:mm:ss")), "intraday_ohlc")
+
+
+@query(
+    """select l_returnflag as IndexCode, date_trunc('day', l_shipdate)::timestamp as TradingDate, count(*)::bigint as TotalTrade, sum(l_quantity)::bigint as TotalMatchVol, max(l_tax) as IndexValue
+    from lineitem group by 1, 2"""
+)
+def feed_daily_index(t):
+    days = t.lineitem.groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("trades"), F.sum("l_quantity").cast("bigint").alias("volume"), F.max("l_tax").alias("value"))
+    text = lambda c: F.col(c).cast("string")
+    items = days.select(F.col("l_returnflag").alias("IndexCode"), S.day_text(F.col("day")).alias("TradingDate"), text("trades").alias("TotalTrade"), text("volume").alias("TotalMatchVol"), text("value").alias("IndexValue"))
+    good, _ = feeds.typed(_landed(t, items, "daily_index", F.xxhash64("TradingDate") % 256), "daily_index")
+    return good.select("IndexCode", F.col("TradingDate").cast("timestamp_ntz").alias("TradingDate"), "TotalTrade", "TotalMatchVol", "IndexValue")
+
+
+@query("select c_custkey::varchar as page, count(o_orderkey)::bigint as n from customer left join orders on c_custkey = o_custkey and o_totalprice > 450000 group by 1 having count(o_orderkey) > 0")
+def feed_empty_pages(t):
+    """Pages of customers' large orders as JSON, most of them empty: these give no rows and no error."""
+    large = t.orders.where("o_totalprice > 450000").select("o_custkey", F.struct(F.col("o_custkey").cast("string").alias("Symbol")).alias("item"))
+    pages = relational.join(t.customer, large, "left", "c_custkey", "o_custkey").groupBy("c_custkey").agg(F.collect_list("item").alias("data"))
+    read = feeds.items(feeds.parse_pages(pages.select(F.to_json(F.struct("data")).alias("page")), "page", "securities"), "securities")
+    return read.groupBy(F.col("Symbol").alias("page")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Points written, written again and read back
+
+
+@query("select event_type as measurement, event_id as id, ts as time, value + 1 as value from events where value > 1")
+def points_written_and_read(t):
+    path = fresh_path(t.spark, "points")
+    points = t.events.select(F.col("event_type").alias("measurement"), F.col("event_id").alias("id"), F.col("ts").alias("time"), "value")
+    keys = ["measurement", "id", "time"]
+    if timeseries.points_exist(t.spark, path):
+        raise ValueError("a fresh path is taken")
+    for again in (points, points.withColumn("value", F.col("value") + 1), points.withColumn("value", F.col("value") + 1)):
+        timeseries.upsert_points(again, path, keys)
+    kinds = ("click", "view", "purchase", "error", "signup")
+    read = [timeseries.read_points(t.spark, path, m, ["measurement", "id", "time", "value"], F.col("value") > 2) for m in kinds if timeseries.points_exist(t.spark, f"{path}/measurement={m}")]
+    return relational.append(read)
+
+
+@query("select event_id, event_type as measurement, user_id::varchar as user, value from events")
+def points_from_maps(t):
+    points = t.events.select("event_id", F.col("event_type").alias("measurement"), F.col("ts").alias("time"), F.col("user_id").alias("user"), "value")
+    maps = points.select("measurement", S.string_map(["user", "event_id"]).alias("tags"), S.number_map(["value"]).alias("fields"), "time")
+    return timeseries.from_maps(maps, ["event_id", "user"], ["value"]).select(F.col("event_id").cast("long").alias("event_id"), "measurement", "user", "value")
+
+
+@query(
+    """select time, count(event_id)::bigint as n from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 6 hours)) as time)
+    left join events on time_bucket(interval 6 hours, ts) = time group by 1"""
+)
+def regular_grid(t):
+    grid = timeseries.regular_times(t.spark, "2024-01-01 00:00:00", "2024-01-31 00:00:00", "6 hours")
+    counts = timeseries.windowed(t.events, [], "ts", "event_id", ["count"], "6 hours")
+    return relational.join(grid, counts, "left", "time", "window_start").select("time", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+
+
+# Tables of the catalog
+
+
+_MARKET_ROWS = ", ".join(f"({i + 1}, '{m[0]}', '{m[2]}')" for i, m in enumerate(schemas.MARKETS))
+_TYPE_ROWS = ", ".join(f"({i + 1}, '{m[0]}', '{m[2]}')" for i, m in enumerate(schemas.SECURITY_TYPES))
+
+
+@query(
+    f"""select s_suppkey, m.symbol as market, m.en as market_name, y.symbol as type, y.en as type_name from supplier
+    join (values {_MARKET_ROWS}) m(id, symbol, en) on s_nationkey % 5 + 1 = m.id join (values {_TYPE_ROWS}) y(id, symbol, en) on s_suppkey % 7 + 1 = y.id"""
+)
+def seeded_dimensions(t):
+    now = F.lit("2024-01-01").cast("timestamp")
+    markets = tables.seed_markets(t.spark, now).select(F.col("ID").alias("m"), F.col("Symbol").alias("market"), F.col("EnName").alias("market_name"))
+    types = tables.seed_security_types(t.spark, now).select(F.col("ID").alias("y"), F.col("Symbol").alias("type"), F.col("EnName").alias("type_name"))
+    rows = t.supplier.withColumns({"market_key": F.col("s_nationkey") % 5 + 1, "type_key": F.col("s_suppkey") % 7 + 1})
+    chain = relational.join_chain(rows, [relational.Step("inner", markets, "market_key", "m"), relational.Step("inner", types, "type_key", "y")])
+    return chain.select("s_suppkey", "market", "market_name", "type", "type_name")
+
+
+@query(
+    """select step, n::bigint as n from (select 'database made' as step, 1 as n union all select 'table there before', 0 union all select 'written', (select count(*) from customer)
+    union all select 'written again', (select count(*) from customer) union all select 'rows', 2 * (select count(*) from customer) union all select 'after truncate', 0
+    union all select 'after purge', 0 union all select 'table there at the end', 0 union all select 'database was current', 1)"""
+)
+def table_lifecycle(t):
+    """A database and two tables from their making to their end; each step's number is kept."""
+    spark, steps = t.spark, {}
+    name = f"tide_{uuid.uuid4().hex}"
+    steps["database made"] = int(tables.create_database(spark, name, fresh_path(spark, "database")) and tables.database_exists(spark, name))
+    before = tables.use_database(spark, name)
+    try:
+        steps["database was current"] = int(spark.catalog.currentDatabase() == name)
+        steps["table there before"] = int(tables.table_exists(spark, "buyers"))
+        tables.create_table(spark, "segments", "segment string", "segment")
+        tables.create_table(spark, "buyers", "c_name string, c_custkey bigint, segment string", "c_custkey", {"segment": ("segments", "segment")})
+        buyers = t.customer.select("c_name", "c_custkey", F.col("c_mktsegment").alias("segment"))
+        steps["written"], steps["written again"] = (tables.append_counted(buyers, "buyers") for _ in range(2))
+        steps["rows"] = tables.scan(spark, "buyers").count()
+        tables.truncate(spark, "buyers")
+        steps["after truncate"] = tables.scan(spark, "buyers").count()
+        tables.append(buyers, "buyers")
+        if tables.purge(spark, ["segments", "buyers"], {"buyers": ["segments"]}) != ["buyers", "segments"]:
+            raise ValueError("purged in another order")
+        steps["after purge"] = tables.scan(spark, "buyers").count()
+        for table in ("buyers", "segments"):
+            tables.drop(spark, table)
+        steps["table there at the end"] = int(tables.table_exists(spark, "buyers"))
+    finally:
+        tables.use_database(spark, before)
+        spark.sql(f"drop database {name} cascade")
+    return spark.sql("select stack({}, {}) as (step, n)".format(len(steps), ", ".join(f"'{k}', bigint({v})" for k, v in steps.items())))
+
+
+def _securities(t, once: bool) -> DataFrame:
+    """The suppliers as securities, some delisted, refreshed from a feed that lacks some of them and brings others."""
+    day = lambda text: F.lit(text).cast("timestamp")
+    none = lambda kind: F.lit(None).cast(kind)
+    table = t.supplier.select(
+        (F.col("s_suppkey") + 1).cast("int").alias("ID"), F.col("s_suppkey").cast("string").alias("Symbol"), F.col("s_name").alias("Name"), F.col("s_name").alias("EnName"), none("bigint").alias("ListedShare"),
+        none("bigint").alias("MarketCapitalization"), F.lit(1).alias("Market_ID"), none("int").alias("SecurityType_ID"), day("2024-01-01").alias("CreateDate"), none("timestamp").alias("UpdateDate"),
+        F.when(F.col("s_acctbal") < 2000, day("2024-02-02")).alias("DelistDate"),
+    )
+    market = F.element_at(F.array(F.lit("hose"), F.lit("HNX"), F.lit("DERIVATIVES"), F.lit("nowhere")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    items = t.supplier.select(market.alias("Market"), (F.col("s_suppkey") + 3).cast("string").alias("Symbol"), F.upper("s_name").alias("StockName"), F.lower("s_name").alias("StockEnName"))
+    listed = feeds.required(_landed(t, items, "securities", F.xxhash64("Symbol") % 8), "securities")
+    staged, _ = feeds.staged_securities(listed, tables.seed_markets(t.spark, day("2024-01-01")), day("2024-05-01"))
+    after = changes.refresh_securities(table, staged, day("2024-05-01"), once)
+    return after.select("Symbol", "Name", "Market_ID", F.date_format("DelistDate", "yyyy-MM-dd").alias("delisted"), F.date_format("UpdateDate", "yyyy-MM-dd").alias("updated"), F.col("CreateDate").isNotNull().alias("made"))
+
+
+_REFRESHED = """select coalesce(t.s_suppkey, s.key)::varchar as Symbol, coalesce(upper(s.s_name), t.s_name) as Name, case when s.key is null then 1 else market end as Market_ID,
+    {} as delisted, case when s.key is not null and t.s_suppkey is not null then '2024-05-01' end as updated, true as made
+    from supplier t full join (select s_suppkey + 3 as key, s_name, [2, 1, 4][(s_suppkey % 4 + 1)] as market from supplier where s_suppkey % 4 <> 3) s on t.s_suppkey = s.key"""
+_WAS = "case when t.s_acctbal < 2000 then '2024-02-02' end"
+
+
+@query(_REFRESHED.format(f"case when s.key is null then '2024-05-01' else {_WAS} end"))
+def refresh_securities(t):
+    return _securities(t, False)
+
+
+@query(_REFRESHED.format(f"case when s.key is null then coalesce({_WAS}, '2024-05-01') end"))
+def refresh_securities_once(t):
+    return _securities(t, True)
+
+
+@query("select s_suppkey, s_name from supplier where s_acctbal >= 2000")
+def active_securities(t):
+    return t.supplier.withColumn("DelistDate", F.when(F.col("s_acctbal") < 2000, F.current_date())).where(P.active()).select("s_suppkey", "s_name")
+
+
+@query("select 0::bigint as n, count(*)::bigint as n_before from supplier")
+def delete_all(t):
+    left = changes.delete(t.supplier).agg(F.count(F.lit(1)).alias("n"))
+    return left.crossJoin(t.supplier.agg(F.count(F.lit(1)).alias("n_before")))
+
+
+@query("select s_suppkey, true as refused from supplier")
+def merge_without_actions(t):
+    """The target as it was, as a merge without actions is refused."""
+    try:
+        changes.merge(*_sides(t), "s_suppkey")
+    except ValueError:
+        return t.supplier.select("s_suppkey", F.lit(True).alias("refused"))
+    return t.supplier.select("s_suppkey", F.lit(False).alias("refused"))
+
+
+@query("select o_custkey, count(*)::bigint as n from orders group by 1 having count(*) > 1")
+def repeated_source_keys(t):
+    return changes.repeated_keys(t.orders, "o_custkey")
+
+
+@query("select p_size as size, p_partkey as part, p_name as name from part")
+def record_by_position(t):
+    return relational.renamed(relational.key_first(t.part, "p_size"), {"p_size": "size", "p_partkey": "part", "p_name": "name"})
+
+
+@query("select event_id, date_trunc('second', ts) as second, strftime(ts, '%d/%m/%Y') as day, ts < now()::timestamp as past from events")
+def time_texts(t):
+    past = F.col("ts") < S.now_to_second().cast("timestamp_ntz")
+    return t.events.select("event_id", S.to_second(F.col("ts")).cast("timestamp_ntz").alias("second"), S.iso_to_day_text(F.date_format("ts", "yyyy-MM-dd")).alias("day"), past.alias("past"))
+
+
+@query("select o_orderkey, o_orderdate from orders where (o_orderdate, o_orderkey) > (timestamp '1997-01-01', 0) order by o_orderdate, o_orderkey limit 250")
+def page_after_key(t):
+    return relational.page_after(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], ("1997-01-01 00:00:00", 0), 250)
+
+
+@query(f"select window_start, window_start + interval 30 days as window_end, s_name as symbol from {_WORK} where (window_start, s_name) >= (timestamp '2020-05-01', 'Supplier#000000002')")
+def crawl_checkpoint(t):
+    """The work left after a checkpoint that was saved twice."""
+    none = t.spark.sql("select * from values (1, timestamp'2020-01-01', '') as c(ID, CurrentStartInterval, CurrentSymbol) where ID > 1")
+    first = incremental.save_checkpoint(none, "2020-02-01 00:00:00", "Supplier#000000001")
+    last = incremental.save_checkpoint(first, "2020-05-01 00:00:00", "Supplier#000000002")
+    return incremental.resume(incremental.work_list(t.supplier, "s_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00"), last)
+
+
+# Streams of JSON messages made of the events; every fiftieth line is broken
+
+
+def _message_files(t, times: int = 1) -> str:
+    """A folder with the events as JSON lines, written so many times, one file each time."""
+    path = fresh_path(t.spark, "messages")
+    good = F.to_json(F.struct(F.col("event_type").alias("channel"), F.col("event_id").cast("string").alias("symbol"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume")))
+    broken = F.concat(F.lit("{broken "), F.col("event_id").cast("string"))
+    for _ in range(times):
+        t.events.select(F.when(F.col("event_id") % 50 == 0, broken).otherwise(good).alias("value")).coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@query("select event_type as measurement, event_id::varchar as symbol, ts as time, value as price from events where event_id % 50 <> 0 and event_type in ('click', 'view')")
+def stream_messages(t):
+    """Messages of two channels into points, through one switch of the channels; every message comes twice."""
+    out = fresh_path(t.spark, "ticks")
+    state, switched = fresh_path(t.spark, "stream-state"), []
+
+    def work(batch: DataFrame, number: int) -> None:
+        good, _ = live.split_corrupt(batch)
+        channels = t.spark.sql("select * from values ('view'), ('nothing') as c(channel)" if switched else "select * from values ('click') as c(channel)")
+        wanted = live.subscribed(good, channels)
+        timeseries.upsert_points(wanted.select(F.col("channel").alias("measurement"), "symbol", F.col("ts").alias("time"), "price"), out, ["measurement", "symbol", "time"])
+        switched.append(number)
+
+    live.each_batch(live.messages(t.spark, _message_files(t, 2), 1), work, state)
+    read = t.spark.read.parquet(out)
+    return read.select("measurement", "symbol", F.col("time").cast("timestamp_ntz").alias("time"), "price")
+
+
+@query("select '{broken ' || event_id as line from events where event_id % 50 = 0")
+def stream_rejects(t):
+    _, bad = live.split_corrupt(live.drain(live.messages(t.spark, _message_files(t))))
+    return bad.select(F.col("_corrupt_record").alias("line"))
+
+
+@query("select event_type as measurement, event_id::varchar as symbol, ts as time, value as price from events where event_id % 50 <> 0 and event_type = 'click'")
+def stream_into_points(t):
+    """One channel into points, by a sink that writes a message again that comes again."""
+    out = fresh_path(t.spark, "ticks")
+    ticks = live.on_channel(live.messages(t.spark, _message_files(t, 2), 1), "click")
+    live.into_points(ticks.select(F.col("channel").alias("measurement"), "symbol", F.col("ts").alias("time"), "price"), out, ["measurement", "symbol", "time"], fresh_path(t.spark, "stream-state"))
+    return timeseries.read_points(t.spark, out, "click", ["measurement", "symbol", "time", "price"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query(
+    """select event_type as channel, time_bucket(interval 1 day, ts) as window_start, 2 * count(*)::bigint as n from events
+    where event_id % 50 <> 0 and ts < (select time_bucket(interval 1 day, max(ts) - interval 1 hour) from events where event_id % 50 <> 0) group by 1, 2"""
+)
+def stream_late_rows(t):
+    """Daily counts of messages that come three times: the second time days are open until that batch ends, the third time they are closed."""
+    counted = live.tumbling(live.messages(t.spark, _message_files(t, 3), 1).where("channel is not null"), "ts", "1 day", "1 hour", ["channel"], [F.count(F.lit(1)).alias("n")])
+    return live.drain(counted).select("channel", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
