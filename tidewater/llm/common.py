@@ -16,6 +16,12 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(id_col)).alias("_k1"), F.xxhash64(F.col(text_col)).alias("_k2")]
 
 
+def plainly(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns renamed by place, and the new names of some of them, so that no name clashes with an operator's own."""
+    names = docs.columns
+    return docs.toDF(*(f"_c{i}" for i in range(len(names)))), [f"_c{names.index(c)}" for c in named]
+
+
 def buckets_for(rows: int, per_bucket: int) -> int:
     """How many hash buckets hold about ``per_bucket`` rows each; grows with the input."""
     return max(1, -(-rows // per_bucket))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, flat_lists, plain_words, row_key, stash
+from .common import as_bytes, bounded_batches, flat_lists, plain_words, plainly, row_key, stash
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms that go to the tasks at once; more are taken in as many blocks as it needs.
@@ -201,7 +201,8 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a word inside an occurrence of a benchmark window; null texts and repeated rows stay."""
-    return find_phrases(docs, benchmark).where("_found.n_hit = 0").drop("_found")
+    plain, (own_id, text) = plainly(docs, "doc_id", "text")
+    return find_phrases(plain, benchmark, id_col=own_id, text_col=text).where("_found.n_hit = 0").drop("_found").toDF(*docs.columns)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import as_bytes, bounded_batches, plainly
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -109,7 +109,9 @@ def measure(docs: DataFrame, min_repeat: int = 10, text_col: str = "text") -> Da
 
     n_covered: words inside maximal repeated substrings of ``min_repeat`` words or more;
     longest_repeat: words of the longest repeated substring, overlapping ones included. A null or
-    empty text has zeros. All other columns stay as they are, whatever their names.
+    empty text has zeros. Rows stand for themselves, repeated ones and null ids too; all other columns
+    stay as they are, whatever their names; an empty table stays empty. The time for a text is its length
+    times the logarithm of its longest repeat.
     """
     names = docs.columns
 
@@ -148,12 +150,34 @@ def verdict(quality, min_words: int = 50, max_repeat_words: float = 0.5, max_cov
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    q = F.col("_quality")
-    return measure(docs, text_col=text_col).where(verdict(q)[1]).drop("_quality")
+    """The rows of ``docs`` that the rules keep, with their columns; null and empty texts go, repeated rows go or stay together."""
+    plain, (text,) = plainly(docs, text_col)
+    return measure(plain, text_col=text).where(verdict(F.col("_quality"))[1]).drop("_quality").toDF(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; nulls and empty texts have zeros and fail, repeated rows have a row each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     failed, kept = verdict(F.col("_quality"))
-    return measure(docs).select("doc_id", *(f"_quality.{m}" for m in MEASURES), failed.alias("base_failed"), kept.alias("kept"))
+    return measure(docs).select("doc_id", *(f"_quality.{m}" for m in MEASURES if m != "longest_repeat"), failed.alias("base_failed"), kept.alias("kept"))
+
+
+#: A repeat is longer than a share of the text if some run of one word more than the share allows stands twice.
+ORACLE = r"""
+with d as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+b as materialized (
+    select doc_id, w, len(w) as n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l, floor(0.2::double * len(w))::bigint + 1 as long from d),
+kinds as (select doc_id, n, w, long, unnest(['r', 'c', 'l']) as k, unnest([3, 10, long]) as s from b),
+places as (select doc_id, k, s, w, unnest(range(1, n - s + 2)) as i from kinds where n >= s),
+named as (select doc_id, k, s, i, md5(array_to_string(w[i : i + s - 1], ' ')) as h from places),
+twice as materialized (select doc_id, k, s, i from named qualify count(*) over (partition by doc_id, k, h) > 1),
+marks as (select distinct doc_id, k, unnest(range(i, i + s)) as p from twice where k <> 'l'),
+counts as (select doc_id, count(*) filter (k = 'r') as r, count(*) filter (k = 'c') as c from marks group by doc_id),
+longer as (select distinct doc_id, true as yes from twice where k = 'l')
+select doc_id, n::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r, 0)::bigint as n_repeat_words,
+    coalesce(c, 0)::bigint as n_covered, n < 50 or 100 * coalesce(r, 0) > 50 * n as base_failed,
+    not (n < 50 or 100 * coalesce(r, 0) > 50 * n) and coalesce(c, 0) <= 0.3::double * n and not coalesce(yes, false) as kept
+from b left join counts using (doc_id) left join longer using (doc_id)
+"""

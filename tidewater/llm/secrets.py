@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import plainly, stash
 
 #: The patterns, their kinds in order, and what a match must have.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,10 +39,12 @@ ENCODINGS = (
 )
 #: Sums of squares and cubes of symbol shares in ordinary text, for words and for plain numbers.
 WORD_SHARES, NUMBER_SHARES = (0.0655, 0.0054), (0.1, 0.01)
+#: The polynomial of the normal tail, Abramowitz and Stegun 26.2.17.
+TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 #: Lower ends of the length bands.
 BANDS = (20, 28, 40, 64, 128)
 #: Bins of the logarithm of a p-value for each doubling.
-BINS = 64
+BINS = 512
 
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
 _FOUND = "array<struct<start: bigint, kind: int, end: bigint, found: string>>"
@@ -97,9 +99,14 @@ def _outside(base: Column, tokens: Column) -> Column:
 
 
 def _log_tail(z: Column) -> Column:
-    """log P(normal > z), by Boyd's approximation of the tail's ratio to the density."""
+    """log P(normal > z), from the tail's ratio to the density: a polynomial near the middle, Boyd's approximation beyond."""
     a = F.abs(z)
-    upper = -a * a / 2 - 0.5 * math.log(2 / math.pi) - F.log((math.pi - 1) * a + F.sqrt(a * a + 2 * math.pi))
+    t = 1 / (1 + 0.2316419 * F.least(a, F.lit(4.0)))
+    poly = F.lit(0.0)
+    for c in reversed(TAIL):
+        poly = (poly + c) * t
+    ratio = F.when(a < 4, poly).otherwise(math.pi / ((math.pi - 1) * a + F.sqrt(a * a + 2 * math.pi)))
+    upper = -a * a / 2 - 0.5 * math.log(2 * math.pi) + F.log(ratio)
     return F.when(z >= 0, upper).otherwise(F.log1p(-F.exp(upper)))
 
 
@@ -192,7 +199,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", leng
     Spans that overlap have one mark. ``length_col``: a column of ``docs`` that holds the text's
     characters and is to follow it. Null texts stay null, repeated rows are treated alike, and an empty table stays empty.
     """
-    text, zero = F.col(text_col), F.lit(0).cast("long")
+    plain, (own_text, *own_length) = plainly(docs, text_col, *([length_col] if length_col else []))
+    text, zero = F.col(own_text), F.lit(0).cast("long")
 
     def put(chars):
         ends = _running(F.transform("_spans", lambda s: s["end"]), F.greatest, zero)
@@ -200,11 +208,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", leng
         pieces = F.zip_with("_spans", F.concat(F.array(zero), ends), lambda s, before: F.when(s["start"].isNull(), cut(before, F.size(chars))).when(s["start"] >= before, F.concat(cut(before, s["start"]), F.lit(mark))).otherwise(""))
         return F.array_join(pieces, "")
 
-    found = find_secrets(docs, text_col=text_col)
-    found = found.withColumn(text_col, F.when(F.size("_spans") > 0, _let(F.split(text, ""), put)).otherwise(text))
-    if length_col:
-        found = found.withColumn(length_col, F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return found.drop("_spans")
+    found = find_secrets(plain, text_col=own_text)
+    found = found.withColumn(own_text, F.when(F.size("_spans") > 0, _let(F.split(text, ""), put)).otherwise(text))
+    for c in own_length:
+        found = found.withColumn(c, F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(c)).cast(plain.schema[c].dataType))
+    return found.drop("_spans").toDF(*docs.columns)
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
