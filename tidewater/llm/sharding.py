@@ -53,6 +53,7 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "do
 
 
 def op4_interleaved_shards(spark, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards; nulls and repeated rows are rows like others."""
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -122,9 +122,9 @@ def near_links(prints: DataFrame, bits: int = 2, in_bucket: int = 48) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), flat_lists(rows, pa.int64())], ["fp", "keys"])
 
     listed = prints.mapInArrow(keys, "fp long, keys array<long>").select("fp", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    found = listed.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
-    before = F.collect_list("fp").over(bucket.orderBy("fp").rowsBetween(-in_bucket, -1))
+    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = split_join(listed, counts, ["key"])
+    before = F.collect_list("fp").over(Window.partitionBy("key").orderBy("fp").rowsBetween(-in_bucket, -1))
     near = F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= bits)
     small = found.where(F.col("n") <= in_bucket).withColumn("before", before).select(F.col("fp").alias("a"), F.explode(near).alias("b"))
     large = found.where(F.col("n") > in_bucket).select("fp").distinct()
@@ -424,7 +424,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
     """One row of ``docs`` of each group of near duplicates, with its columns: that of the smallest id, then of the smallest text hash.
 
     Equal texts and verified links make the groups. A null id is larger than any other. Of several
-    equal rows one stays.
+    equal rows one stays. All texts without words, nulls too, are one group; an empty table stays empty.
     """
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
@@ -446,4 +446,5 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
 
 
 def op7_golay_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; nulls and wordless texts have fingerprint 0 and are linked like others."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -214,6 +214,7 @@ def _without(docs: DataFrame, k: int, id_type: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeats of 35 words; nulls and short texts stay as they are."""
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
