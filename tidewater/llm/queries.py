@@ -23,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_interleaved_shards": sharding.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op7_golay_simhash": simhash.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -448,3 +448,57 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: s
 def op7_golay_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents; nulls and wordless texts have fingerprint 0 and are linked like others."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The five primes of XXH64.
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+def _oracle(seed: int = 42, bits: int = 2) -> str:
+    """The query in SQL: XXH64 as published, in 128-bit numbers modulo 2^64, over the bytes of every distinct shingle."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in PRIMES)
+    whole = f"{1 << 64}::uhugeint"
+    cut = lambda x: f"(({x}) % {whole})"
+    turn = lambda x, r: f"({cut(f'({x}) * {1 << r}::uhugeint')} + ({x}) // {1 << (64 - r)}::uhugeint)"
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at} + {i}) + 1, 2)" for i in reversed(range(n))) + ")::ubigint::uhugeint"
+    lane = lambda v, at: cut(turn(cut(f"{v} + {number(f'p + {at}', 8)} * {p2}"), 31) + f" * {p1}")
+    merge = lambda h, v: cut(f"{cut(f'xor({h}, ' + cut(turn(cut(f'{v} * {p2}'), 31) + f' * {p1}') + ')')} * {p1} + {p4}")
+    shift = lambda h, r, p: cut(f"xor({h}, {h} // {1 << r}::uhugeint) * {p}")
+    start = [(seed + PRIMES[0] + PRIMES[1]) % (1 << 64), (seed + PRIMES[1]) % (1 << 64), seed, (seed - PRIMES[0]) % (1 << 64)]
+    ones = ", ".join(f"2 * sum(h // {1 << i}::uhugeint % 2::uhugeint) > count(h) as b{i}" for i in range(64))
+    print_ = " + ".join(f"case when b{i} then {1 << i}::uhugeint else 0::uhugeint end" for i in range(64))
+    return rf"""
+with recursive d as materialized (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0),
+shingles as materialized (select doc_id, array_to_string(w[i : i + 2], ' ') as s from places),
+texts as materialized (select s, hex(encode(s)) as x, octet_length(encode(s)) as n from (select distinct s from shingles)),
+striped(s, x, n, p, v1, v2, v3, v4) as (
+    select s, x, n, 0, {", ".join(f"{v}::uhugeint" for v in start)} from texts where n >= 32
+    union all select s, x, n, p + 32, {lane("v1", 0)}, {lane("v2", 8)}, {lane("v3", 16)}, {lane("v4", 24)} from striped where p + 32 <= n),
+joined as (select s, x, n, p, v1, v2, v3, v4, {cut(" + ".join(turn(v, r) for v, r in (("v1", 1), ("v2", 7), ("v3", 12), ("v4", 18))))} as h from striped where p + 32 > n),
+first as (select s, x, n, p, v2, v3, v4, {merge("h", "v1")} as h from joined),
+second as (select s, x, n, p, v3, v4, {merge("h", "v2")} as h from first),
+third as (select s, x, n, p, v4, {merge("h", "v3")} as h from second),
+fourth as (select s, x, n, p, {merge("h", "v4")} as h from third),
+opened as (select s, x, n, p, {cut("h + n::uhugeint")} as h from fourth union all select s, x, n, 0, {cut(f"{seed}::uhugeint + {p5} + n::uhugeint")} from texts where n < 32),
+walked(s, x, n, p, h) as (
+    select s, x, n, p, h from opened
+    union all select s, x, n, case when p + 8 <= n then p + 8 when p + 4 <= n then p + 4 else p + 1 end,
+        case when p + 8 <= n then {cut(turn("xor(h, " + cut(turn(cut(number("p", 8) + f" * {p2}"), 31) + f" * {p1}") + ")", 27) + f" * {p1} + {p4}")}
+        when p + 4 <= n then {cut(turn("xor(h, " + cut(number("p", 4) + f" * {p1}") + ")", 23) + f" * {p2} + {p3}")}
+        else {cut(turn("xor(h, " + cut(number("p", 1) + f" * {p5}") + ")", 11) + f" * {p1}")} end from walked where p < n),
+mixed as (select s, {shift("h", 33, p2)} as h from walked where p = n),
+again as (select s, {shift("h", 29, p3)} as h from mixed),
+hashed as materialized (select s, xor(h, h // {1 << 32}::uhugeint) as h from again),
+counted as (select doc_id, {ones} from shingles join hashed using (s) group by 1),
+prints as materialized (select d.doc_id, coalesce({print_}, 0::uhugeint) as f from d left join counted using (doc_id)),
+nodes as materialized (select distinct f::hugeint as f from prints),
+links as materialized (select a.f as a, b.f as b from nodes a join nodes b on bit_count(xor(a.f, b.f)) <= {bits}),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+least as (select a, min(doc_id) as component_id from reached join prints on reached.b = prints.f::hugeint group by 1)
+select doc_id, lpad(lower(to_hex(f::ubigint)), 16, '0') as fingerprint, component_id from prints join least on prints.f::hugeint = least.a
+"""
+
+
+ORACLE = _oracle()
