@@ -851,7 +851,7 @@ def crawl_checkpoint(t):
 def _message_files(t, times: int = 1) -> str:
     """A folder with the events as JSON lines, written so many times, one file each time."""
     path = fresh_path(t.spark, "messages")
-    good = F.to_json(F.struct(F.col("event_type").alias("channel"), F.col("event_id").cast("string").alias("symbol"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume")))
+    good = F.to_json(F.struct(F.col("event_type").alias("channel"), F.col("event_id").cast("string").alias("symbol"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume")))
     broken = F.concat(F.lit("{broken "), F.col("event_id").cast("string"))
     for _ in range(times):
         t.events.select(F.when(F.col("event_id") % 50 == 0, broken).otherwise(good).alias("value")).coalesce(1).write.mode("append").text(path)
