@@ -117,17 +117,46 @@ def aligned(index: DataFrame, slots: DataFrame) -> DataFrame:
     return index.join(slots, "term").select("_k1", "_k2", "item_no", "q", F.explode("positions").alias("p")).select("_k1", "_k2", "item_no", "q", (F.col("p") - F.col("q")).alias("begin"))
 
 
-def proximity_matches(index: DataFrame, slots: DataFrame, slop: int) -> DataFrame:
-    """(_k1, _k2, item_no, begin, apart): all pairs of postings of two of an item's terms that are 1 to ``slop`` words off their distance in the item.
+def postings_by_item(index: DataFrame, slots: DataFrame) -> DataFrame:
+    """(_k1, _k2, item_no, begin, q): of each document and item the item's postings as two arrays, dealt out once; an array is bounded by the document."""
+    posts = aligned(index, slots).groupBy("_k1", "_k2", "item_no").agg(F.collect_set(F.struct("begin", "q")).alias("posts"))
+    return posts.select("_k1", "_k2", "item_no", F.col("posts.begin").alias("begin"), F.col("posts.q").alias("q"))
+
 
-    A posting meets those of its own and the next bin of ``slop`` places, so a pair is found however many
-    postings stand between, and a document's postings are never compared all with all.
+def intersected(posts: DataFrame, slop: int) -> DataFrame:
+    """(_k1, _k2, item_no, begins, near) from rows of :func:`postings_by_item` with a column ``need``.
+
+    begins: where ``need`` terms of the item stand in place; near: (begin, apart) of all pairs of postings of
+    two of its terms that are 1 to ``slop`` words off their distance in the item.
     """
-    rows = aligned(index, slots).distinct().withColumn("bin", F.expr(f"cast(floor(begin / {int(slop)}) as int)"))
-    first = rows.select("_k1", "_k2", "item_no", "begin", "q", F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
-    then = rows.select("_k1", "_k2", "item_no", "bin", F.col("begin").alias("then"), F.col("q").alias("other"))
-    pairs = first.join(then, ["_k1", "_k2", "item_no", "bin"]).withColumn("apart", F.col("then") - F.col("begin"))
-    return pairs.where(f"other <> q and apart between 1 and {int(slop)}").select("_k1", "_k2", "item_no", "begin", "apart")
+
+    def meet(batches):
+        for batch in batches:
+            need, begin = batch.column(3).to_numpy(), batch.column(4)
+            row = np.repeat(np.arange(len(need)), np.diff(begin.offsets.to_numpy()))
+            key = (row << 33) + begin.flatten().to_numpy() + (1 << 31)  # by row, then by begin
+            order = np.argsort(key, kind="stable")
+            key, q, row = key[order], batch.column(5).flatten().to_numpy()[order], row[order]
+            at, n = np.unique(key, return_counts=True)  # a term has one place in the item, so postings at a begin are of different ones
+            at = at[n >= need[at >> 33]]
+            low, high = np.searchsorted(key, key + 1), np.searchsorted(key, key + slop, "right")
+            i = np.repeat(np.arange(len(key)), high - low)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - high, high - low)
+            i, j = (x[q[i] != q[j]] for x in (i, j))
+            place = lambda k: pa.array(((k & ((1 << 33) - 1)) - (1 << 31)).astype(np.int32))
+            ends = lambda rows: pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(need)))]), pa.int32())
+            pairs = pa.StructArray.from_arrays([place(key[i]), pa.array((key[j] - key[i]).astype(np.int32))], ["begin", "apart"])
+            lists = [pa.ListArray.from_arrays(ends(at >> 33), place(at)), pa.ListArray.from_arrays(ends(row[i]), pairs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["_k1", "_k2", "item_no", "begins", "near"])
+
+    rows = posts.select("_k1", "_k2", "item_no", "need", "begin", "q")
+    return rows.mapInArrow(meet, "_k1 long, _k2 long, item_no long, begins array<int>, near array<struct<begin: int, apart: int>>")
+
+
+def proximity_matches(index: DataFrame, slots: DataFrame, slop: int) -> DataFrame:
+    """(_k1, _k2, item_no, begin, apart): the pairs of :func:`intersected`."""
+    posts = postings_by_item(index, slots).where("size(begin) > 1").withColumn("need", F.lit(2))
+    return intersected(posts, slop).select("_k1", "_k2", "item_no", F.inline("near"))
 
 
 def phrase_index(keyed: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,12 +195,10 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     own_id, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     keyed = plain.select("*", *row_key(own_id, text))
     items, slots, index = phrase_index(keyed, benchmark, window, text, item_col)
-    starts = aligned(index, slots).groupBy("_k1", "_k2", "item_no", "begin").agg(F.count_distinct("q").alias("n"))
-    begins = starts.groupBy("_k1", "_k2", "item_no").agg(F.collect_list(F.struct("begin", "n")).alias("begins"))  # an item's words stand once by document
-    listed = begins.join(items, "item_no").select("_k1", "_k2", "item_id", "span", "words", F.transform(F.filter("begins", lambda x: x["n"] >= F.least(F.lit(2), F.col("span"))), lambda x: x["begin"]).alias("begins"))
-    listed = listed.where("size(begins) > 0").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "span", "words", "begins")).alias("_candidates"))
-    near = proximity_matches(index, slots, slop).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_near"))
-    listed = listed.join(near, ["_k1", "_k2"], "full")
+    posts = postings_by_item(index, slots).join(items.select("item_no", F.least(F.lit(2), "span").alias("need")), "item_no").where("size(begin) >= need")
+    met = intersected(posts, slop).where("size(begins) > 0 or size(near) > 0").join(items, "item_no")
+    one = F.struct("item_id", "span", "words", "begins")  # an item's words stand once by document
+    listed = met.groupBy("_k1", "_k2").agg(F.collect_list(F.when(F.size("begins") > 0, one)).alias("_candidates"), F.sum(F.size("near")).cast("long").alias("_near"))
 
     def compare(batches):
         for batch in batches:
