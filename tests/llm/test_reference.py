@@ -254,3 +254,28 @@ def test_filters_of_odd_tables(spark, keep):
     kept = keep(table)
     assert kept.columns == table.columns and 1 in {r.doc_id for r in kept.collect()}
     assert keep(table.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_table(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(4000)}" for _ in range(250_000)]
+    texts = [" ".join(words), " ".join(words[:200_000]) + " end", "x" * 1_500_000, "short text here"]
+    return spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, n_chars bigint")
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        license_scan.scan_licenses, lambda d: packing.pack(d, packing.public_tokenizers.path("byte_bpe_50k.json")), secrets.redact, sharding.shard, simhash.near_duplicates, quality.measure,
+        substring_dedup.remove_repeats, lambda d: lm_score.score(d, lm_score.train(d.select("text"))), lambda d: html_text.extract(d, ("doc_id", "source"), "text"), simhash.keep_one,
+        lambda d: decontaminate.find_phrases(d, d.select(d.doc_id.alias("item_id"), "text").where("doc_id = 3")),
+    ],
+    ids=["licenses", "packing", "redact", "shards", "simhash", "quality", "substrings", "model", "pages", "near", "phrases"],
+)
+def test_very_long_texts(long_table, run):
+    rows = run(long_table)
+    ids = [r[0] for r in rows.select("doc_id").collect()]
+    assert set(ids) <= {0, 1, 2, 3} and {0, 2, 3} <= set(ids)
+    if "kept" in rows.columns:
+        assert {r.doc_id: r.n_removed for r in rows.collect()} == {0: 200_000, 1: 200_000, 2: 0, 3: 0}
