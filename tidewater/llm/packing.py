@@ -12,6 +12,7 @@ an interval of ranks to sequences and an offset.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -52,14 +53,18 @@ class _Encoder:
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
         self.kept: dict[str, bytes] = {}
 
+    def encode(self, text: str) -> list[int]:
+        """Ids without the offsets that a plain encoding works out beside them."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        return np.array(self.encode(text), "<u4").tobytes() if text else b""
 
     def learn(self, words: list[str]) -> None:
         if len(self.kept) > CACHE_WORDS:  # what was met first is what is met often
             self.kept = dict(islice(self.kept.items(), CACHE_WORDS // 2))
         plain = [w for w in words if " " not in w]
-        ids = np.array(self.tokenizer.encode("".join(" " + w for w in plain), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.encode("".join(" " + w for w in plain)), "<u4")
         at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
         if len(at) != len(plain) + 1:
             raise ValueError("the tokenizer doesn't cut before spaces")
@@ -89,7 +94,8 @@ class _Encoder:
 
 @cache
 def _encoder(path: str) -> _Encoder:
-    """One for each worker, so that the next task finds the words of the last."""
+    """One for each worker, so that the next task finds the words of the last. Spark has the cores, so the library takes no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return _Encoder(path)
 
 
