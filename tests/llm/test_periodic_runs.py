@@ -61,4 +61,4 @@ def test_long_repetitive_texts_take_little_time(words):
 
 def test_the_strongest_run_is_told_exactly():
     big = 10**9
-    assert periodic_runs.strongest(np.array([[0, 4 * big + 1, big], [1, 4 * big + 5, big + 1], [9, 4 * big + 1, big]])).tolist() == [1, 4 * big + 5, big + 1]
+    assert periodic_runs.strongest(np.array([[0, 4 * big + 1, big], [1, 4 * big + 6, big + 1], [9, 4 * big + 1, big]])).tolist() == [1, 4 * big + 6, big + 1]
