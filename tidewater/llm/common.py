@@ -83,20 +83,22 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_WORD_TABLE).split()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list of longs: (node, root), root the smallest node reached.
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, hot: bool = False) -> DataFrame:
+    """Connected components of an edge list of longs or strings: (node, root), root the smallest node reached.
 
     Alternating large-star and small-star steps, each a groupBy and a join, until the edges stop
     changing; every round is written to the scratch folder. Only two numbers a round reach the driver.
+    With ``hot``, joins are dealt so that Spark can split the edges of one node that has very many.
     """
+    meet = split_join if hot else lambda left, right, keys: left.join(right, keys)
     e = stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = meet(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        kept = e.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        kept = meet(e, low, ["u"]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         e = stash(kept.where("u <> v").distinct(), "cc")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:

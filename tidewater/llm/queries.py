@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, license_scan, lm_score, packing, periodic_runs, quality, secrets, sharding, simhash, substring_dedup
+from . import decontaminate, html_text, license_scan, lm_score, packing, periodic_runs, quality, secrets, sharding, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_class_lm": lm_score.op10_class_lm,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_url_filter": url_filter.op12_url_filter,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op8_quality_rules": quality.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op11_periodic_runs": periodic_runs.ORACLE,
+    "op12_url_filter": url_filter.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
