@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html_text, license_scan, lm_score, packing, periodic_runs, quality, secrets, sharding, simhash, substring_dedup, url_filter
+from . import decontaminate, html_text, license_scan, lm_score, packing, periodic_runs, quality, secrets, sharding, simhash, substring_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_class_lm": lm_score.op10_class_lm,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_url_filter": url_filter.op12_url_filter,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
