@@ -175,7 +175,7 @@ def test_license_scan_of_long_and_odd_rows(spark):
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "pages"):
         connection.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return connection
 
