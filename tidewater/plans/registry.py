@@ -12,7 +12,7 @@ from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import bars, changes, constraints, market, relational, timeseries
 from ..scratch import fresh_path
-from ..sources import feeds, schemas, tables
+from ..sources import external, feeds, schemas, tables
 from ..streaming import incremental, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,6 +761,54 @@ def table_lifecycle(t):
     return spark.sql("select stack({}, {}) as (step, n)".format(len(steps), ", ".join(f"'{k}', bigint({v})" for k, v in steps.items())))
 
 
+# Tables of another SQL server; Spark brings one that runs inside a local master's JVM
+
+
+def _orders_elsewhere(t) -> external.Server:
+    """A new server with the orders; every 97th order has a NULL number there."""
+    server = external.embedded(t.spark)
+    orders = t.orders.withColumn("number", F.when(F.col("o_orderkey") % 97 > 0, F.col("o_orderkey") * F.col("o_orderkey")))
+    external.write_table(orders.drop("o_orderdate"), server, "orders", lengths={"o_orderstatus": 1, "o_orderpriority": 20}, connections=4)
+    return server
+
+
+@query("select o_orderkey, o_totalprice, case when o_orderkey % 97 > 0 then o_orderkey * o_orderkey end as number from orders where o_totalprice > 300000")
+def external_read_parts(t):
+    """Orders of another server in eight parts of like counts; the key's values lie ever farther apart."""
+    return external.read_table(t.spark, _orders_elsewhere(t), "orders", "number").where("o_totalprice > 300000").select("o_orderkey", "o_totalprice", "number")
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderstatus = 'F'")
+def external_read_ranges(t):
+    """The same by Spark's own equal ranges between the bounds that the server tells."""
+    server = _orders_elsewhere(t)
+    bounds = external.key_bounds(t.spark, server, "orders", "o_orderkey")
+    read = tables.external(t.spark, server.url, external.quoted("orders"), server.user, server.password, server.driver, "o_orderkey", bounds, 4)
+    return read.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+
+
+@query("select o_orderpriority, o_orderstatus, count(*)::bigint as n, max(o_totalprice) as most, min(o_custkey) as first from orders where o_totalprice > 1000 group by 1, 2")
+def external_aggregates(t):
+    """Groups that the other server makes; only their rows travel."""
+    name = external.connect(t.spark, f"elsewhere_{uuid.uuid4().hex}", _orders_elsewhere(t))
+    rows = t.spark.table(f"{name}.APP.orders").where("o_totalprice > 1000")
+    return rows.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"), F.min("o_custkey").alias("first"))
+
+
+@query(
+    """select coalesce(n.key, o.o_orderkey) as o_orderkey, coalesce(n.price, o.o_totalprice) as o_totalprice from orders o
+    full join (select 2 * o_orderkey as key, o_totalprice + 1 as price from orders) n on o.o_orderkey = n.key"""
+)
+def external_upsert(t):
+    """Orders written to another server, then again under doubled keys: those that are there are replaced, the others inserted; done twice, it changes nothing more."""
+    server = external.embedded(t.spark)
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    external.write_table(rows, server, "prices")
+    for _ in range(2):
+        external.upsert_table(rows.select((2 * F.col("o_orderkey")).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice")), server, "prices", ["o_orderkey"])
+    return external.read_table(t.spark, server, "prices", "o_orderkey", 4)
+
+
 def _securities(t, once: bool) -> DataFrame:
     """The suppliers as securities, some delisted, refreshed from a feed that lacks some of them and brings others."""
     day = lambda text: F.lit(text).cast("timestamp")
