@@ -53,6 +53,12 @@ def join(left: DataFrame, right: DataFrame, kind: str, on_left: str | None = Non
     return left.join(right, left[on_left] == right[on_right], JOINS[kind])
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join that Spark deals anew on both sides, so that it can split a hot key's partition of the left one."""
+    again = F.pmod(F.hash(*keys), F.lit(1024)).alias("_again")
+    return left.select("*", again).join(right.select("*", again), [*keys, "_again"], how).drop("_again")
+
+
 def join_chain(first: DataFrame, steps: list[Step]) -> DataFrame:
     """Joins from left to right; Spark orders and plans them."""
     for s in steps:

@@ -12,7 +12,7 @@ from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import bars, changes, constraints, market, relational, timeseries
 from ..scratch import fresh_path
-from ..sources import external, feeds, schemas, tables
+from ..sources import external, feeds, schemas, snapshots, tables
 from ..streaming import incremental, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,6 +690,60 @@ def points_written_and_read(t):
     return relational.append(read)
 
 
+# Tables of whole versions: changes rewrite the files with their keys and commit by one pointer
+
+
+@query(
+    """select event_type as measurement, coalesce(n.id, e.event_id) as id, e.ts as time, coalesce(n.value, e.value) as value from events e
+    left join (select event_id as id, value + 1 as value from events where value > 50) n on n.id = e.event_id
+    union all select event_type, -event_id, ts, value from events where value > 99"""
+)
+def points_upsert_buckets(t):
+    """Points in groups of measurement and month and in buckets of the key; the large ones are written again with other values, and some new ones, twice."""
+    path, keys = fresh_path(t.spark, "point-table"), ("measurement", "id", "time")
+    points = t.events.select(F.col("event_type").alias("measurement"), F.col("event_id").alias("id"), F.col("ts").alias("time"), "value")
+    snapshots.replace(points, path, snapshots.Layout(keys, ("measurement",), "time", 2_000))
+    changed = points.where("value > 50").withColumn("value", F.col("value") + 1).unionByName(points.where("value > 99").withColumn("id", -F.col("id")))
+    for _ in range(2):
+        snapshots.upsert(changed, path)
+    return snapshots.snapshot(t.spark, path).read()
+
+
+@query(
+    """select coalesce(o.o_orderkey, n.key) as o_orderkey, case when o.o_orderstatus = 'F' and n.key is null then 0 else coalesce(n.price, o.o_totalprice) end as o_totalprice,
+    coalesce(o.o_orderstatus, 'N') as o_orderstatus from orders o full join (select o_orderkey + 1000000 * (o_orderkey % 2) as key, o_totalprice + 1 as price from orders where o_totalprice > 400000) n on o.o_orderkey = n.key
+    where coalesce(o.o_orderstatus, 'N') <> 'P' or n.key is not null"""
+)
+def merge_committed(t):
+    """Orders in buckets of their key: updated, deleted and merged into by condition and key, each change one version."""
+    path = fresh_path(t.spark, "order-table")
+    orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    source = t.orders.where("o_totalprice > 400000").select((F.col("o_orderkey") + 1000000 * (F.col("o_orderkey") % 2)).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("price"))
+    kept = source.select(F.col("o_orderkey").alias("key"))
+    unmatched = orders.join(kept, orders.o_orderkey == kept.key, "left_anti").select("o_orderkey", F.lit(True).alias("alone"))
+    # what is to be zeroed or deleted is marked first, as a condition sees one row
+    marked = orders.join(unmatched, "o_orderkey", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    snapshots.replace(marked, path, snapshots.Layout(("o_orderkey",), rows=4_000))
+    snapshots.update_where(t.spark, path, {"o_totalprice": F.lit(0.0)}, F.col("alone") & (F.col("o_orderstatus") == "F"))
+    snapshots.delete_where(t.spark, path, F.col("alone") & (F.col("o_orderstatus") == "P"))
+    price = changes.source("price")
+    snapshots.merge_into(source, path, "o_orderkey", matched={"o_totalprice": price}, insert={"o_orderkey": changes.source("o_orderkey"), "o_totalprice": price, "o_orderstatus": F.lit("N"), "alone": F.lit(False)})
+    return snapshots.snapshot(t.spark, path).read().drop("alone")
+
+
+@query("select s_suppkey, s_acctbal as before, case when s_acctbal < 0 then null else s_acctbal + 1 end as after from supplier")
+def version_before_a_change(t):
+    """A version that was read before two changes and is read after them, beside the last one."""
+    path = fresh_path(t.spark, "supplier-table")
+    snapshots.replace(t.supplier.select("s_suppkey", "s_acctbal"), path, snapshots.Layout(("s_suppkey",), rows=100))
+    first = snapshots.snapshot(t.spark, path)
+    snapshots.delete_where(t.spark, path, F.col("s_acctbal") < 0)
+    snapshots.update_where(t.spark, path, {"s_acctbal": F.col("s_acctbal") + 1}, F.lit(True))
+    last = snapshots.snapshot(t.spark, path).read().select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("after"))
+    before = first.read().withColumnRenamed("s_acctbal", "before")
+    return relational.join(before, last, "left", "s_suppkey", "key").drop("key")
+
+
 @query("select event_id, event_type as measurement, user_id::varchar as user, value from events")
 def points_from_maps(t):
     points = t.events.select("event_id", F.col("event_type").alias("measurement"), F.col("ts").alias("time"), F.col("user_id").alias("user"), "value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.timeseries import upsert_points
 from ..scratch import fresh_path
-from ..sources import schemas
+from ..sources import schemas, snapshots
 
 
 def messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -68,6 +68,19 @@ def into_points(df: DataFrame, path: str, keys: list[str], checkpoint: str) -> N
     each_batch(df, work, checkpoint)
 
 
+def into_table(df: DataFrame, path: str, layout: snapshots.Layout, checkpoint: str, version: str | None = None) -> None:
+    """Upsert each micro-batch into a table of whole versions, which is made if it isn't there; only the files of the batch's keys are rewritten, and readers see whole batches."""
+
+    def work(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        if not snapshots.versions(spark, path):
+            snapshots.replace(batch.limit(0), path, layout)
+        if batch.take(1):
+            snapshots.upsert(batch, path, version)
+
+    each_batch(df, work, checkpoint)
+
+
 def drain(df: DataFrame) -> DataFrame:
     """What a stream gives, in append mode, for the data that is there now, with the number of its micro-batch in ``_batch``.
 
