@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, k: int = 35, m: int = 8, id_col: str = "doc_
     marks = split_join(edges, repeated, ["edge", "edge_check"], "left_semi").groupBy(*path).agg(F.bit_or(bit).alias("mask"))
     full = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("one.windows")) - 1
     marked = distinct.join(marks, path, "left").select(*path, F.when(F.col("places") > 1, full).otherwise(F.col("mask")).alias("mask")).where("mask is not null")
-    found = split_join(paths.select("_k1", "_k2", "start", *path), marked, path).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    found = split_join(paths.select("_k1", "_k2", "start", *path), marked, path).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))  # a set: equal rows bring equal marks
     return _without(keyed.join(found, ["_k1", "_k2"], "left"), k, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("doc_id", id_col)
 
 
