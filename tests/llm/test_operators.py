@@ -376,6 +376,43 @@ def test_near_matches_of_items(spark):
     assert [tuple(r) for r in decontaminate.find_near(moved, wide).collect()] == [(1, "7", 1)]
 
 
+def test_repetitive_texts_and_items(spark):
+    """A long text of one word has more pairs of postings than can be held; their number is told without them."""
+    docs = spark.createDataFrame([(1, "a " * 300_000), (2, "b a " * 20), (3, "a " * 39 + "b"), (4, None)], "doc_id int, text string")
+    items = spark.createDataFrame([("x", "a " * 40)], "item_id string, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r._found for r in decontaminate.find_phrases(docs, items).collect()}
+    assert time.perf_counter() - began < 60
+    assert [(got[i].n_words, got[i].n_hit, got[i]["items"]) for i in (1, 2, 3, 4)] == [(300_000, 300_000, ["x"]), (40, 0, []), (40, 39, ["x"]), (0, 0, [])]
+    terms = 32  # of each window of x, the first two of its equal words
+    begins = Counter(p - q for p in range(300_000) for q in range(terms))
+    met = sum(n * begins[b + d] for b, n in begins.items() for d in (1, 2, 3)) - terms * sum(300_000 - d for d in (1, 2, 3))
+    assert got[1].n_near == met
+
+
+def test_many_begins_are_compared_like_few(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices("ab", weights=(5, 1), k=n))
+    docs = spark.createDataFrame([(i, text(rng.randrange(0, 400))) for i in range(30)], "doc_id int, text string").coalesce(1)
+    items = spark.createDataFrame([(f"i{i}", text(rng.randrange(1, 30))) for i in range(6)], "item_id string, text string")
+    words = [plain.split() for _, plain in docs.collect()]
+    got = {r.doc_id: r._found for r in decontaminate.find_phrases(docs, items).collect()}
+    listed = [(r.item_id, r.text.split()) for r in items.collect()]
+    for i, w in enumerate(words):
+        hit, found = set(), set()
+        for name, t in listed:
+            n = min(10, len(t))
+            windows = {tuple(t[j : j + n]) for j in range(len(t) - n + 1)}
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    found.add(name)
+            begins = np.arange(-len(t), len(w) + 1)
+            covered = decontaminate._covered([x.encode() for x in w], [x.encode() for x in t], begins, n)
+            assert set(np.flatnonzero(covered)) == {p for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in windows for p in range(j, j + n)}
+        assert got[i].n_hit == len(hit) and got[i]["items"] == sorted(found)
+
+
 @pytest.mark.parametrize("seed,slop", [(1, 3), (2, 1), (3, 5)])
 def test_all_proximity_matches_are_found(spark, seed, slop):
     rng = random.Random(seed)
@@ -459,6 +496,14 @@ def test_tree_knows_its_table():
 # substring dedup
 
 
+def test_equal_rows_take_linear_time(spark):
+    text = " ".join(str(i * i) for i in range(300))
+    rows = spark.range(4000).selectExpr("1 as doc_id", f"'{text}' as text").repartition(4)
+    began = time.perf_counter()
+    got = substring_dedup.remove_repeats(rows).selectExpr("sum(n_removed) as gone", "count(*) as n").first()
+    assert tuple(got) == (300 * 4000, 4000) and time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("k,m", [(35, 8), (6, 2), (3, 3), (80, 8), (110, 4)])
 def test_repeats_against_all_windows(docs, rows, nothing, k, m):
     got = substring_dedup.remove_repeats(docs, k, m).collect()

@@ -112,51 +112,90 @@ def positional_index(docs: DataFrame, slots: DataFrame, text_col: str) -> DataFr
     return out
 
 
-def aligned(index: DataFrame, slots: DataFrame) -> DataFrame:
-    """(_k1, _k2, item_no, begin, q): each posting as the place where its item would begin."""
-    return index.join(slots, "term").select("_k1", "_k2", "item_no", "q", F.explode("positions").alias("p")).select("_k1", "_k2", "item_no", "q", (F.col("p") - F.col("q")).alias("begin"))
-
-
 def postings_by_item(index: DataFrame, slots: DataFrame) -> DataFrame:
-    """(_k1, _k2, item_no, begin, q): of each document and item the item's postings as two arrays, dealt out once; an array is bounded by the document."""
-    posts = aligned(index, slots).groupBy("_k1", "_k2", "item_no").agg(F.collect_set(F.struct("begin", "q")).alias("posts"))
-    return posts.select("_k1", "_k2", "item_no", F.col("posts.begin").alias("begin"), F.col("posts.q").alias("q"))
+    """(_k1, _k2, item_no, posts): of each document and item the positions of the item's terms, and the terms' offsets in the item.
+
+    A position stands once, however many offsets its term has, so what a row holds is bounded by the words of the
+    document; equal rows bring equal posts, which count once.
+    """
+    offsets = slots.groupBy("term", "item_no").agg(F.array_sort(F.collect_list("q")).alias("offsets"))
+    return index.join(offsets, "term").groupBy("_k1", "_k2", "item_no").agg(F.collect_set(F.struct("positions", "offsets")).alias("posts"))
+
+
+def _begins_of(posts: list[tuple[np.ndarray, np.ndarray]], slop: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(begin, terms in place there), rising, and the number of pairs of different terms whose begins are 1 to ``slop`` apart."""
+    total = sum(len(p) * len(q) for p, q in posts)
+    shift = max(int(q[-1]) for _, q in posts)
+    span = max(int(p[-1]) for p, _ in posts) + shift + 1
+    if total > span // 4:  # many postings: one counter a place
+        counts = np.zeros(span + slop, np.int64)
+        for p, offsets in posts:
+            for q in offsets:
+                counts[p - int(q) + shift] += 1
+        met = sum(int(counts[:-d] @ counts[d:]) for d in range(1, slop + 1))
+        at = np.flatnonzero(counts)
+        begin, n = at - shift, counts[at]
+    else:
+        begin, n = np.unique(np.concatenate([(p[:, None] - q).ravel() for p, q in posts]), return_counts=True)
+        met = 0
+        for d in range(1, slop + 1):
+            other = np.minimum(np.searchsorted(begin, begin + d), len(begin) - 1)
+            met += int((n * n[other])[begin[other] == begin + d].sum())
+    own = sum(len(q) * len(np.intersect1d(p, p + d, assume_unique=True)) for p, q in posts for d in range(1, slop + 1))  # of a term with itself
+    return begin, n, met - own
 
 
 def intersected(posts: DataFrame, slop: int) -> DataFrame:
     """(_k1, _k2, item_no, begins, near) from rows of :func:`postings_by_item` with a column ``need``.
 
-    begins: where ``need`` terms of the item stand in place; near: (begin, apart) of all pairs of postings of
-    two of its terms that are 1 to ``slop`` words off their distance in the item.
+    begins: where ``need`` terms of the item stand in place; near: the number of pairs of postings of two of
+    its terms that are 1 to ``slop`` words off their distance in the item, as of :func:`proximity_matches`.
     """
 
     def meet(batches):
         for batch in batches:
-            need, begin = batch.column(3).to_numpy(), batch.column(4)
-            row = np.repeat(np.arange(len(need)), np.diff(begin.offsets.to_numpy()))
-            key = (row << 33) + begin.flatten().to_numpy() + (1 << 31)  # by row, then by begin
-            order = np.argsort(key, kind="stable")
-            key, q, row = key[order], batch.column(5).flatten().to_numpy()[order], row[order]
-            at, n = np.unique(key, return_counts=True)  # a term has one place in the item, so postings at a begin are of different ones
-            at = at[n >= need[at >> 33]]
-            low, high = np.searchsorted(key, key + 1), np.searchsorted(key, key + slop, "right")
-            i = np.repeat(np.arange(len(key)), high - low)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - high, high - low)
-            i, j = (x[q[i] != q[j]] for x in (i, j))
-            place = lambda k: pa.array(((k & ((1 << 33) - 1)) - (1 << 31)).astype(np.int32))
-            ends = lambda rows: pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(need)))]), pa.int32())
-            pairs = pa.StructArray.from_arrays([place(key[i]), pa.array((key[j] - key[i]).astype(np.int32))], ["begin", "apart"])
-            lists = [pa.ListArray.from_arrays(ends(at >> 33), place(at)), pa.ListArray.from_arrays(ends(row[i]), pairs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["_k1", "_k2", "item_no", "begins", "near"])
-
-    rows = posts.select("_k1", "_k2", "item_no", "need", "begin", "q")
-    return rows.mapInArrow(meet, "_k1 long, _k2 long, item_no long, begins array<int>, near array<struct<begin: int, apart: int>>")
+            begins, near = [], []
+            for need, row in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                begin, n, pairs = _begins_of(_posts(row.values), slop)
+                begins.append(begin[n >= need])
+                near.append(pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat_lists(begins, pa.int32()), pa.array(near, pa.int64())], ["_k1", "_k2", "item_no", "begins", "near"])
+
+    rows = posts.select("_k1", "_k2", "item_no", "need", "posts")
+    return rows.mapInArrow(meet, "_k1 long, _k2 long, item_no long, begins array<int>, near long")
+
+
+def _posts(row: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions and offsets of each term, from a list of structs."""
+    columns = [row.field(i) for i in (0, 1)]
+    return [tuple(c[i].values.to_numpy().astype(np.int64) for c in columns) for i in range(len(row))]
 
 
 def proximity_matches(index: DataFrame, slots: DataFrame, slop: int) -> DataFrame:
-    """(_k1, _k2, item_no, begin, apart): the pairs of :func:`intersected`."""
-    posts = postings_by_item(index, slots).where("size(begin) > 1").withColumn("need", F.lit(2))
-    return intersected(posts, slop).select("_k1", "_k2", "item_no", F.inline("near"))
+    """(_k1, _k2, item_no, begin, apart): all pairs of postings of two terms of an item that are 1 to ``slop`` words off their distance there.
+
+    One row a pair: a text that repeats a few words has very many. Their number alone is in :func:`intersected`.
+    """
+
+    def pairs(batches):
+        for batch in batches:
+            for key, row in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), batch.column(3), strict=True):
+                held = [(p - int(q), int(q)) for p, offsets in _posts(row.values) for q in offsets]
+                begin = np.concatenate([b for b, _ in held])
+                offset = np.repeat([q for _, q in held], [len(b) for b, _ in held])
+                order = np.argsort(begin, kind="stable")
+                begin, offset = begin[order], offset[order]
+                for at in range(0, len(begin), 1 << 12):
+                    mine = begin[at : at + (1 << 12)]
+                    low, high = np.searchsorted(begin, mine + 1), np.searchsorted(begin, mine + slop, "right")
+                    i = np.repeat(np.arange(len(mine)), high - low) + at
+                    j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - high, high - low)
+                    i, j = (x[offset[i] != offset[j]] for x in (i, j))
+                    columns = [*(pa.array([k] * len(i), pa.int64()) for k in key), pa.array(begin[i], pa.int32()), pa.array(begin[j] - begin[i], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["_k1", "_k2", "item_no", "begin", "apart"])
+
+    posts = postings_by_item(index, slots).select("_k1", "_k2", "item_no", "posts")
+    return posts.mapInArrow(pairs, "_k1 long, _k2 long, item_no long, begin int, apart int")
 
 
 def phrase_index(keyed: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -168,6 +207,25 @@ def phrase_index(keyed: DataFrame, benchmark: DataFrame, window: int, text_col:
     return items, slots, stash(positional_index(keyed, slots, text_col), "index")
 
 
+#: Places of an item in a document above which they are compared all at once, word by word of the item.
+MANY_BEGINS = 64
+
+
+def _covered(words: list[bytes], theirs: list[bytes], begins: np.ndarray, span: int) -> np.ndarray:
+    """Which words lie in ``span`` or more consecutive words of the item that stand in place for one of its begins."""
+    known = {w: i for i, w in enumerate(dict.fromkeys(theirs))}
+    own = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+    run, change = np.zeros(len(begins), np.int32), np.zeros(len(words) + 1, np.int64)
+    for x, w in enumerate(theirs):
+        at = begins.astype(np.int64) + x
+        inside = (at >= 0) & (at < len(words))
+        run = np.where(inside & (own[np.where(inside, at, 0)] == known[w]), run + 1, 0)
+        ends = at[run >= span]
+        np.add.at(change, ends - span + 1, 1)
+        np.add.at(change, ends + 1, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def find_near(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item_id, n_near): proximity matches of items in documents, pairs of an item's terms 1 to ``slop`` words off their distance.
 
@@ -176,7 +234,7 @@ def find_near(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     items, slots, index = phrase_index(keyed, benchmark, window, "text", item_col)
-    near = proximity_matches(index, slots, slop).groupBy("_k1", "_k2", "item_no").agg(F.count(F.lit(1)).alias("n_near"))
+    near = intersected(postings_by_item(index, slots).withColumn("need", F.lit(2)), slop).where("near > 0").select("_k1", "_k2", "item_no", F.col("near").alias("n_near"))
     ids = keyed.select("_k1", "_k2", "doc_id").distinct()
     return near.join(items, "item_no").join(ids, ["_k1", "_k2"]).select(F.col("doc_id").alias(id_col), "item_id", "n_near")
 
@@ -195,26 +253,36 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     own_id, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     keyed = plain.select("*", *row_key(own_id, text))
     items, slots, index = phrase_index(keyed, benchmark, window, text, item_col)
-    posts = postings_by_item(index, slots).join(items.select("item_no", F.least(F.lit(2), "span").alias("need")), "item_no").where("size(begin) >= need")
-    met = intersected(posts, slop).where("size(begins) > 0 or size(near) > 0").join(items, "item_no")
+    enough = F.aggregate("posts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["positions"]).cast("long") * F.size(p["offsets"])) >= F.col("need")
+    posts = postings_by_item(index, slots).join(items.select("item_no", F.least(F.lit(2), "span").alias("need")), "item_no").where(enough)
+    met = intersected(posts, slop).where("size(begins) > 0 or near > 0").join(items, "item_no")
     one = F.struct("item_id", "span", "words", "begins")  # an item's words stand once by document
-    listed = met.groupBy("_k1", "_k2").agg(F.collect_list(F.when(F.size("begins") > 0, one)).alias("_candidates"), F.sum(F.size("near")).cast("long").alias("_near"))
+    listed = met.groupBy("_k1", "_k2").agg(F.collect_list(F.when(F.size("begins") > 0, one)).alias("_candidates"), F.sum("near").alias("_near"))
 
     def compare(batches):
         for batch in batches:
             out: list[list] = [[], [], []]
-            for body, candidates in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words, hit, items = plain_words(body), set(), set()
-                for c in candidates or ():
-                    span, theirs = c["span"], [w.encode() for w in c["words"]]
-                    for begin in c["begins"]:
+            for body, candidates in zip(as_bytes(batch.column(0)), batch.column(1), strict=True):
+                words, hit, items, many = plain_words(body), set(), set(), None
+                for c in candidates.values or ():
+                    span, theirs, begins = c["span"].as_py(), [w.encode() for w in c["words"].as_py()], c["begins"].values
+                    if len(begins) > MANY_BEGINS:
+                        many = np.zeros(len(words), bool) if many is None else many
+                        covered = _covered(words, theirs, begins.to_numpy(), span)
+                        many |= covered
+                        if covered.any():
+                            items.add(c["item_id"].as_py())
+                        continue
+                    for begin in begins.to_pylist():
                         run = 0
                         for x, w in enumerate(theirs):
                             at = begin + x
                             run = run + 1 if 0 <= at < len(words) and words[at] == w else 0
                             if run >= span:
                                 hit.update(range(at - span + 1, at + 1))
-                                items.add(c["item_id"])
+                                items.add(c["item_id"].as_py())
+                if many is not None:
+                    hit.update(np.flatnonzero(many).tolist())
                 for x, v in zip(out, (len(words), len(hit), sorted(items)), strict=True):
                     x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()))
