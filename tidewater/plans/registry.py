@@ -13,7 +13,7 @@ from ..functions import scalars as S
 from ..operators import bars, changes, constraints, market, relational, timeseries
 from ..scratch import fresh_path
 from ..sources import external, feeds, schemas, snapshots, tables
-from ..streaming import incremental, live
+from ..streaming import feed_log, incremental, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -569,10 +569,14 @@ def stream_dedup(t):
 # Feeds landed as files of JSON pages, from the page to points and tables
 
 
-def _landed(t, items: DataFrame, feed: str, page) -> DataFrame:
-    """Items of a feed written as JSON pages of what shares a page number, one more page without items, and read back as a feed."""
+#: Items of a page, as the feeds have them.
+_PER_PAGE = 100
+
+
+def _landed(t, items: DataFrame, feed: str) -> DataFrame:
+    """Items of a feed written as JSON pages of a hundred by their rank in their partition, one more page without items, and read back as a feed."""
     path = fresh_path(t.spark, f"feed-{feed}")
-    full = items.groupBy(page.alias("_page")).agg(F.collect_list(F.struct(*items.columns)).alias("data")).select("data")
+    full = items.withColumn("_page", F.expr(f"monotonically_increasing_id() div {_PER_PAGE}")).groupBy("_page").agg(F.collect_list(F.struct(*items.columns)).alias("data")).select("data")
     empty = full.limit(1).select(F.array().cast(full.schema["data"].dataType).alias("data"))
     pages = full.unionByName(empty).select(F.lit("ok").alias("message"), F.lit(200).alias("status"), F.size("data").cast("long").alias("totalRecord"), "data")
     pages.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
@@ -597,13 +601,13 @@ _SYMBOL = "concat_ws(':', l_partkey, l_orderkey, l_linenumber)"
     l_quantity::bigint as total_match_vol from lineitem where l_linenumber <> 7"""
 )
 def feed_prices_to_points(t):
-    good, _ = feeds.typed(_landed(t, _prices(t), "daily_prices", F.xxhash64("Symbol") % 4096), "daily_prices")
+    good, _ = feeds.typed(_landed(t, _prices(t), "daily_prices"), "daily_prices")
     return feeds.price_points(good).select("measurement", "symbol", F.col("time").cast("timestamp_ntz").alias("time"), "close_price", "per_price_change", "total_match_vol")
 
 
 @query(f"select {_SYMBOL} as symbol, strftime(l_shipdate, '%Y-%m-%d') as day, 'TradingDate' as fault from lineitem where l_linenumber = 7")
 def feed_rejects(t):
-    _, bad = feeds.typed(_landed(t, _prices(t), "daily_prices", F.xxhash64("Symbol") % 4096), "daily_prices")
+    _, bad = feeds.typed(_landed(t, _prices(t), "daily_prices"), "daily_prices")
     return bad.select(F.col("Symbol").alias("symbol"), F.col("TradingDate").alias("day"), F.concat_ws(",", "faults").alias("fault"))
 
 
@@ -611,14 +615,14 @@ def feed_rejects(t):
 def feed_details(t):
     inner = F.struct(F.col("p_partkey").cast("string").alias("Symbol"), F.col("p_name").alias("SymbolName"), F.col("p_type").alias("SecType"), (F.col("p_size") * 1000).cast("string").alias("ListedShare"))
     items = t.part.groupBy("p_brand", F.expr("p_partkey div 100").alias("at")).agg(F.collect_list(inner).alias("RepeatedinfoList"))
-    read = _landed(t, items.select(F.col("p_brand").alias("RType"), "RepeatedinfoList"), "details", F.xxhash64("RType") % 16)
+    read = _landed(t, items.select(F.col("p_brand").alias("RType"), "RepeatedinfoList"), "details")
     return feeds.typed(read, "details")[0].select("Symbol", "SymbolName", "SecType", "ListedShare", "RType")
 
 
 @query("select c_custkey::varchar as IndexCode, c_name as IndexName, c_mktsegment as Exchange from customer")
 def feed_index_list(t):
     items = t.customer.select(F.col("c_custkey").cast("string").alias("IndexCode"), F.col("c_name").alias("IndexName"), F.col("c_mktsegment").alias("Exchange"))
-    return feeds.required(_landed(t, items, "index_list", F.xxhash64("IndexCode") % 64), "index_list")
+    return feeds.required(_landed(t, items, "index_list"), "index_list")
 
 
 _BARS = "arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(value)::bigint as n"
@@ -634,7 +638,7 @@ def _bar_items(bars_of: DataFrame, day, time) -> DataFrame:
 
 
 def _bars_read(t, items: DataFrame, feed: str) -> DataFrame:
-    good, _ = feeds.typed(_landed(t, items, feed, F.xxhash64("Symbol", "TradingDate") % 64), feed)
+    good, _ = feeds.typed(_landed(t, items, feed), feed)
     return good.select("Symbol", F.col("TradingDate").cast("timestamp_ntz").alias("TradingDate"), "Time", "Open", "High", "Low", "Close", "Volume")
 
 
@@ -660,7 +664,7 @@ def feed_daily_index(t):
     days = t.lineitem.groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("trades"), F.sum("l_quantity").cast("bigint").alias("volume"), F.max("l_tax").alias("value"))
     text = lambda c: F.col(c).cast("string")
     items = days.select(F.col("l_returnflag").alias("IndexCode"), S.day_text(F.col("day")).alias("TradingDate"), text("trades").alias("TotalTrade"), text("volume").alias("TotalMatchVol"), text("value").alias("IndexValue"))
-    good, _ = feeds.typed(_landed(t, items, "daily_index", F.xxhash64("TradingDate") % 256), "daily_index")
+    good, _ = feeds.typed(_landed(t, items, "daily_index"), "daily_index")
     return good.select("IndexCode", F.col("TradingDate").cast("timestamp_ntz").alias("TradingDate"), "TotalTrade", "TotalMatchVol", "IndexValue")
 
 
@@ -874,7 +878,7 @@ def _securities(t, once: bool) -> DataFrame:
     )
     market = F.element_at(F.array(F.lit("hose"), F.lit("HNX"), F.lit("DERIVATIVES"), F.lit("nowhere")), (F.col("s_suppkey") % 4 + 1).cast("int"))
     items = t.supplier.select(market.alias("Market"), (F.col("s_suppkey") + 3).cast("string").alias("Symbol"), F.upper("s_name").alias("StockName"), F.lower("s_name").alias("StockEnName"))
-    listed = feeds.required(_landed(t, items, "securities", F.xxhash64("Symbol") % 8), "securities")
+    listed = feeds.required(_landed(t, items, "securities"), "securities")
     staged, _ = feeds.staged_securities(listed, tables.seed_markets(t.spark, day("2024-01-01")), day("2024-05-01"))
     after = changes.refresh_securities(table, staged, day("2024-05-01"), once)
     return after.select("Symbol", "Name", "Market_ID", F.date_format("DelistDate", "yyyy-MM-dd").alias("delisted"), F.date_format("UpdateDate", "yyyy-MM-dd").alias("updated"), F.col("CreateDate").isNotNull().alias("made"))
@@ -950,13 +954,17 @@ def crawl_checkpoint(t):
 # Streams of JSON messages made of the events; every fiftieth line is broken
 
 
+#: Files of one pass over the messages, which make one micro-batch.
+_FILES = 4
+
+
 def _message_files(t, times: int = 1) -> str:
-    """A folder with the events as JSON lines, written so many times, one file each time."""
+    """A folder with the events as JSON lines, written so many times, _FILES files each time."""
     path = fresh_path(t.spark, "messages")
     good = F.to_json(F.struct(F.col("event_type").alias("channel"), F.col("event_id").cast("string").alias("symbol"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume")))
     broken = F.concat(F.lit("{broken "), F.col("event_id").cast("string"))
     for _ in range(times):
-        t.events.select(F.when(F.col("event_id") % 50 == 0, broken).otherwise(good).alias("value")).coalesce(1).write.mode("append").text(path)
+        t.events.select(F.when(F.col("event_id") % 50 == 0, broken).otherwise(good).alias("value")).repartition(_FILES).write.mode("append").text(path)
     return path
 
 
@@ -973,7 +981,7 @@ def stream_messages(t):
         timeseries.upsert_points(wanted.select(F.col("channel").alias("measurement"), "symbol", F.col("ts").alias("time"), "price"), out, ["measurement", "symbol", "time"])
         switched.append(number)
 
-    live.each_batch(live.messages(t.spark, _message_files(t, 2), 1), work, state)
+    live.each_batch(live.messages(t.spark, _message_files(t, 2), _FILES), work, state)
     read = t.spark.read.parquet(out)
     return read.select("measurement", "symbol", F.col("time").cast("timestamp_ntz").alias("time"), "price")
 
@@ -988,7 +996,7 @@ def stream_rejects(t):
 def stream_into_points(t):
     """One channel into points, by a sink that writes a message again that comes again."""
     out = fresh_path(t.spark, "ticks")
-    ticks = live.on_channel(live.messages(t.spark, _message_files(t, 2), 1), "click")
+    ticks = live.on_channel(live.messages(t.spark, _message_files(t, 2), _FILES), "click")
     live.into_points(ticks.select(F.col("channel").alias("measurement"), "symbol", F.col("ts").alias("time"), "price"), out, ["measurement", "symbol", "time"], fresh_path(t.spark, "stream-state"))
     return timeseries.read_points(t.spark, out, "click", ["measurement", "symbol", "time", "price"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
@@ -999,5 +1007,56 @@ def stream_into_points(t):
 )
 def stream_late_rows(t):
     """Daily counts of messages that come three times: the second time days are open until that batch ends, the third time they are closed."""
-    counted = live.tumbling(live.messages(t.spark, _message_files(t, 3), 1).where("channel is not null"), "ts", "1 day", "1 hour", ["channel"], [F.count(F.lit(1)).alias("n")])
+    counted = live.tumbling(live.messages(t.spark, _message_files(t, 3), _FILES).where("channel is not null"), "ts", "1 day", "1 hour", ["channel"], [F.count(F.lit(1)).alias("n")])
     return live.drain(counted).select("channel", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+def _logs(t, path: str, part: int) -> None:
+    """Half of the events' messages as further log files of a folder, several at once."""
+    good = F.to_json(F.struct(F.col("event_type").alias("channel"), F.col("event_id").cast("string").alias("symbol"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("volume")))
+    line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(good)
+    t.events.where(F.col("event_id") % 2 == part).select(line.alias("value")).repartition(4).write.mode("append").text(path)
+
+
+@query("select event_type as channel, event_id::varchar as symbol, ts, value as price, event_id % 50 = 0 as rejected from events where event_id % 50 > 0 union all select null, '{broken ' || event_id, null, null, true from events where event_id % 50 = 0")
+def stream_feed_log(t):
+    """Growing logs into a table of whole versions: two installments, an error in the second one's batch after its rows were written, and a start from the checkpoint."""
+    logs, out, rejects, state = (fresh_path(t.spark, n) for n in ("logs", "ticks", "rejects", "stream-state"))
+    layout, broken = snapshots.Layout(("channel", "symbol"), ("channel",), rows=100_000), []
+
+    def fails(batch: DataFrame, _: int) -> None:
+        if not broken and batch.take(1):
+            snapshots.upsert(live.split_corrupt(batch)[0], out, "at")
+            broken.append(True)
+            raise OSError("the feed broke off")
+
+    for part in range(2):
+        _logs(t, logs, part)
+        messages = feed_log.feed_log(t.spark, logs, 1 << 16)
+        if part == 1:
+            try:
+                feed_log.caught_up(messages, fails, state, attempts=1)
+            except Exception as error:
+                if "the feed broke off" not in str(error):
+                    raise
+        feed_log.into_table(messages, out, layout, rejects, state)
+    if not broken:
+        raise ValueError("the batch was to break off")
+    ticks = snapshots.snapshot(t.spark, out).read().select("channel", "symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "price", F.lit(False).alias("rejected"))
+    none = lambda kind: F.lit(None).cast(kind)
+    lines = t.spark.read.parquet(rejects).select(none("string").alias("channel"), F.col("_corrupt_record").alias("symbol"), none("timestamp_ntz").alias("ts"), none("double").alias("price"), F.lit(True).alias("rejected"))
+    return ticks.unionByName(lines)
+
+
+@query(f"select event_type, date_trunc('day', ts)::timestamp as window_start, {_BARS} from events group by 1, 2")
+def stream_live_bars(t):
+    """Daily bars that are there before their day is closed: each micro-batch's states replace the earlier ones; every batch has rows of all days, so most come late."""
+    source, out = fresh_path(t.spark, "trades"), fresh_path(t.spark, "bars")
+    trades = t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    for part in range(2):
+        trades.where(F.col("event_id") % 2 == part).repartition(_FILES).write.mode("append").parquet(source)
+    at = F.struct("ts", "event_id")
+    bar = [F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("value").alias("n")]
+    rows = t.spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", _FILES).parquet(source)
+    live.tumbling_into(rows, "ts", "1 day", "60 days", ["event_type"], bar, out, fresh_path(t.spark, "stream-state"))
+    return snapshots.snapshot(t.spark, out).read().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -75,12 +75,37 @@ def into_table(df: DataFrame, path: str, layout: snapshots.Layout, checkpoint: s
         spark = batch.sparkSession
         if not snapshots.versions(spark, path):
             snapshots.replace(batch.limit(0), path, layout)
-        if batch.take(1):
-            snapshots.upsert(batch, path, version)
+        batch.persist()
+        try:
+            if batch.take(1):
+                snapshots.upsert(batch, path, version)
+        finally:
+            batch.unpersist()
 
     each_batch(df, work, checkpoint)
 
 
+def tumbling_into(df: DataFrame, time: str, interval: str, late: str, group: list[str], aggregates: list[Column], path: str, checkpoint: str, rows: int = 1_000_000) -> None:
+    """Keep a table of whole versions at the windows' states so far: open windows are there from their first row on.
+
+    Each micro-batch gives the windows that it changed, which replace their earlier states by group and window; a batch
+    that is done again gives the same states. A row later than ``late`` changes its window no more.
+    """
+    layout = snapshots.Layout((*group, "window_start"), rows=rows)
+
+    def work(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        if not snapshots.versions(spark, path):
+            snapshots.replace(batch.limit(0), path, layout)
+        batch.persist()  # else each reading would go through the state again
+        try:
+            snapshots.upsert(batch, path)
+        finally:
+            batch.unpersist()
+
+    each_batch(tumbling(df, time, interval, late, group, aggregates), work, checkpoint, "update")
+
+
 def drain(df: DataFrame) -> DataFrame:
     """What a stream gives, in append mode, for the data that is there now, with the number of its micro-batch in ``_batch``.
 
