@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import scalars as S
-from ..operators import bars, changes, constraints, market, relational, timeseries
+from ..operators import bars, changes, constraints, market, paging, relational, timeseries
 from ..scratch import fresh_path
 from ..sources import external, feeds, schemas, snapshots, tables
 from ..streaming import feed_log, incremental, live
@@ -951,6 +951,23 @@ def crawl_checkpoint(t):
     return incremental.resume(incremental.work_list(t.supplier, "s_name", "2020-02-01 00:00:00", "2020-06-10 00:00:00"), last)
 
 
+def _paged(t) -> str:
+    path = fresh_path(t.spark, "paged")
+    paging.write_sorted(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice"), path, ["o_orderdate", "o_orderkey"], 4_000)
+    return path
+
+
+@query("select o_orderkey, o_orderdate, o_totalprice from orders order by o_orderdate, o_orderkey limit 250 offset 1250")
+def page_by_zones(t):
+    """The sixth page of a sorted table, from the files that its zone map says hold it."""
+    return paging.page(t.spark, _paged(t), 6, 250)
+
+
+@query("select o_orderkey, o_orderdate, o_totalprice from orders where (o_orderdate, o_orderkey) > (timestamp '1998-01-01', 0) order by o_orderdate, o_orderkey limit 250")
+def page_after_by_zones(t):
+    return paging.page_after(t.spark, _paged(t), ("1998-01-01 00:00:00", 0), 250)
+
+
 # Streams of JSON messages made of the events; every fiftieth line is broken
 
 
