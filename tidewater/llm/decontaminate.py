@@ -122,27 +122,29 @@ def postings_by_item(index: DataFrame, slots: DataFrame) -> DataFrame:
     return index.join(offsets, "term").groupBy("_k1", "_k2", "item_no").agg(F.collect_set(F.struct("positions", "offsets")).alias("posts"))
 
 
-def _begins_of(posts: list[tuple[np.ndarray, np.ndarray]], slop: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(begin, terms in place there), rising, and the number of pairs of different terms whose begins are 1 to ``slop`` apart."""
-    total = sum(len(p) * len(q) for p, q in posts)
-    shift = max(int(q[-1]) for _, q in posts)
-    span = max(int(p[-1]) for p, _ in posts) + shift + 1
-    if total > span // 4:  # many postings: one counter a place
-        counts = np.zeros(span + slop, np.int64)
-        for p, offsets in posts:
-            for q in offsets:
-                counts[p - int(q) + shift] += 1
-        met = sum(int(counts[:-d] @ counts[d:]) for d in range(1, slop + 1))
-        at = np.flatnonzero(counts)
-        begin, n = at - shift, counts[at]
-    else:
-        begin, n = np.unique(np.concatenate([(p[:, None] - q).ravel() for p, q in posts]), return_counts=True)
-        met = 0
-        for d in range(1, slop + 1):
-            other = np.minimum(np.searchsorted(begin, begin + d), len(begin) - 1)
-            met += int((n * n[other])[begin[other] == begin + d].sum())
-    own = sum(len(q) * len(np.intersect1d(p, p + d, assume_unique=True)) for p, q in posts for d in range(1, slop + 1))  # of a term with itself
-    return begin, n, met - own
+#: Postings of one document and item from which they are counted by place, and postings that are met at once.
+MANY_POSTINGS, TOGETHER = 1 << 16, 1 << 20
+
+
+def _counted(positions: list[np.ndarray], offsets: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(begin, terms in place there), rising, and the number of pairs whose begins are 1 to ``slop`` apart: one counter a place."""
+    shift = max(int(q[-1]) for q in offsets)
+    counts = np.zeros(max(int(p[-1]) for p in positions) + shift + 1 + slop, np.int64)
+    for p, of in zip(positions, offsets, strict=True):
+        for q in of:
+            counts[p - int(q) + shift] += 1
+    at = np.flatnonzero(counts)
+    return at - shift, counts[at], sum(int(counts[:-d] @ counts[d:]) for d in range(1, slop + 1))
+
+
+def _sorted(row: np.ndarray, begin: np.ndarray, rows: int, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of many rows at once, by sorting: (row, begin, terms in place) and the pairs of each row."""
+    key, n = np.unique((row << 33) + begin + (1 << 31), return_counts=True)
+    pairs = np.zeros(rows, np.int64)
+    for d in range(1, slop + 1):
+        other = np.minimum(np.searchsorted(key, key + d), len(key) - 1)
+        pairs += np.bincount(key >> 33, (n * n[other]) * (key[other] == key + d), rows).astype(np.int64)
+    return key >> 33, (key & ((1 << 33) - 1)) - (1 << 31), n, pairs
 
 
 def intersected(posts: DataFrame, slop: int) -> DataFrame:
@@ -150,16 +152,53 @@ def intersected(posts: DataFrame, slop: int) -> DataFrame:
 
     begins: where ``need`` terms of the item stand in place; near: the number of pairs of postings of two of
     its terms that are 1 to ``slop`` words off their distance in the item, as of :func:`proximity_matches`.
+    No pair is made: at a begin stand as many terms as have a posting there, and the products of these numbers, less
+    the pairs of a term with itself, are the number of pairs.
     """
 
     def meet(batches):
         for batch in batches:
-            begins, near = [], []
-            for need, row in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
-                begin, n, pairs = _begins_of(_posts(row.values), slop)
-                begins.append(begin[n >= need])
-                near.append(pairs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], flat_lists(begins, pa.int32()), pa.array(near, pa.int64())], ["_k1", "_k2", "item_no", "begins", "near"])
+            need, rows = batch.column(3).to_numpy(), batch.num_rows
+            row_of = np.repeat(np.arange(rows), np.diff(batch.column(4).offsets.to_numpy()))
+            positions, offsets = batch.column(4).flatten().flatten()
+            p, q = (c.flatten().to_numpy().astype(np.int64) for c in (positions, offsets))
+            np_, nq = (np.diff(c.offsets.to_numpy()).astype(np.int64) for c in (positions, offsets))
+            p_at, q_at = np.cumsum(np_) - np_, np.cumsum(nq) - nq
+            key = (np.repeat(np.arange(len(np_)), np_) << 33) + p  # positions of a term rise
+            near = np.zeros(rows, np.int64)
+            for d in range(1, slop + 1):  # a term with itself
+                same = key[np.minimum(np.searchsorted(key, key + d), len(key) - 1)] == key + d
+                own = np.bincount(key >> 33, same, len(np_)).astype(np.int64) * nq
+                near -= np.bincount(row_of, own, rows).astype(np.int64)
+            total = np.bincount(row_of, np_ * nq, rows).astype(np.int64)
+            found_row, found_begin = [], []
+            for r in np.flatnonzero(total > MANY_POSTINGS):
+                of = np.flatnonzero(row_of == r)
+                begin, n, pairs = _counted([p[p_at[i] : p_at[i] + np_[i]] for i in of], [q[q_at[i] : q_at[i] + nq[i]] for i in of], slop)
+                near[r] += pairs
+                found_begin.append(begin[n >= need[r]])
+                found_row.append(np.full(len(found_begin[-1]), r))
+            few = np.flatnonzero(total[row_of] <= MANY_POSTINGS)
+            part = (np.cumsum(np_[few] * nq[few]) - 1) // TOGETHER
+            ends = np.flatnonzero(np.diff(part)) + 1 if len(few) else []
+            bounds = [0, *np.unique(np.searchsorted(row_of[few], row_of[few][ends])), len(few)] if len(few) else [0]  # a row stays whole
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                of = few[a:b]
+                size = np_[of] * nq[of]
+                if not size.sum():
+                    continue
+                each = np.repeat(of, size)
+                within = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+                begin = p[p_at[each] + within // nq[each]] - q[q_at[each] + within % nq[each]]
+                row, begin, n, pairs = _sorted(row_of[each], begin, rows, slop)
+                near += pairs
+                held = n >= need[row]
+                found_row.append(row[held])
+                found_begin.append(begin[held])
+            row, begin = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found_row, found_begin))
+            order = np.argsort(row, kind="stable")
+            begins = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]), pa.int32()), pa.array(begin[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], begins, pa.array(near)], ["_k1", "_k2", "item_no", "begins", "near"])
 
     rows = posts.select("_k1", "_k2", "item_no", "need", "posts")
     return rows.mapInArrow(meet, "_k1 long, _k2 long, item_no long, begins array<int>, near long")
@@ -167,7 +206,7 @@ def intersected(posts: DataFrame, slop: int) -> DataFrame:
 
 def _posts(row: pa.StructArray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Positions and offsets of each term, from a list of structs."""
-    columns = [row.field(i) for i in (0, 1)]
+    columns = row.flatten()
     return [tuple(c[i].values.to_numpy().astype(np.int64) for c in columns) for i in range(len(row))]
 
 
