@@ -700,14 +700,14 @@ def points_written_and_read(t):
 @query(
     """select event_type as measurement, coalesce(n.id, e.event_id) as id, e.ts as time, coalesce(n.value, e.value) as value from events e
     left join (select event_id as id, value + 1 as value from events where value > 50) n on n.id = e.event_id
-    union all select event_type, -event_id, ts, value from events where value > 99"""
+    union all select event_type, -1 - event_id, ts, value from events where value > 99"""
 )
 def points_upsert_buckets(t):
     """Points in groups of measurement and month and in buckets of the key; the large ones are written again with other values, and some new ones, twice."""
     path, keys = fresh_path(t.spark, "point-table"), ("measurement", "id", "time")
     points = t.events.select(F.col("event_type").alias("measurement"), F.col("event_id").alias("id"), F.col("ts").alias("time"), "value")
     snapshots.replace(points, path, snapshots.Layout(keys, ("measurement",), "time", 2_000))
-    changed = points.where("value > 50").withColumn("value", F.col("value") + 1).unionByName(points.where("value > 99").withColumn("id", -F.col("id")))
+    changed = points.where("value > 50").withColumn("value", F.col("value") + 1).unionByName(points.where("value > 99").withColumn("id", -1 - F.col("id")))
     for _ in range(2):
         snapshots.upsert(changed, path)
     return snapshots.snapshot(t.spark, path).read()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timeseries import upsert_points
-from ..scratch import fresh_path
+from ..scratch import fresh_path, stash
 from ..sources import schemas, snapshots
 
 
@@ -75,12 +75,9 @@ def into_table(df: DataFrame, path: str, layout: snapshots.Layout, checkpoint: s
         spark = batch.sparkSession
         if not snapshots.versions(spark, path):
             snapshots.replace(batch.limit(0), path, layout)
-        batch.persist()
-        try:
-            if batch.take(1):
-                snapshots.upsert(batch, path, version)
-        finally:
-            batch.unpersist()
+        held = stash(batch, "batch")
+        if held.take(1):
+            snapshots.upsert(held, path, version)
 
     each_batch(df, work, checkpoint)
 
@@ -97,11 +94,7 @@ def tumbling_into(df: DataFrame, time: str, interval: str, late: str, group: lis
         spark = batch.sparkSession
         if not snapshots.versions(spark, path):
             snapshots.replace(batch.limit(0), path, layout)
-        batch.persist()  # else each reading would go through the state again
-        try:
-            snapshots.upsert(batch, path)
-        finally:
-            batch.unpersist()
+        snapshots.upsert(stash(batch, "bars"), path)  # else each reading would go through the state again
 
     each_batch(tumbling(df, time, interval, late, group, aggregates), work, checkpoint, "update")
 
