@@ -370,18 +370,22 @@ def test_sinks_of_messages(spark, tmp_path):
     assert rows(spark.read.parquet(out), "symbol", "price") == [("a", 1.0), ("b", 2.0)]
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@pytest.mark.parametrize("small", [0, 1 << 17], ids=["bracketed", "grouped"])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-5, 5))), max_size=40))
-def test_medians_of_small_series(spark, listed):
+def test_medians_of_small_series(spark, monkeypatch, small, listed):
     import statistics
 
+    monkeypatch.setattr(timeseries, "SMALL_SERIES", small)
+
     df = spark.createDataFrame(listed, "k string, v int")
     got = {r.k: r.m for r in timeseries.median(df, ["k"], "v", "m").collect()}
     known = {k: [v for x, v in listed if x == k and v is not None] for k, _ in listed}
     assert got == {k: statistics.median(v) if v else None for k, v in known.items()}
 
 
-def test_median_of_a_large_series(spark):
+def test_median_of_a_large_series(spark, monkeypatch):
+    monkeypatch.setattr(timeseries, "SMALL_SERIES", 1000)
     df = spark.range(100_001).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 100_003).cast("double").alias("v"))
     assert timeseries.median(df, ["k"], "v").first().median == df.select(F.median("v")).first()[0]
     assert timeseries.median(df, [], "v").first().median == timeseries.median(df, ["k"], "v").first().median

@@ -44,16 +44,22 @@ def aggregate(points: DataFrame, series: list[str], value: str, function: str, o
     return known.groupBy(*series).agg(AGGREGATES[function](value, list(order)).alias(alias or function))
 
 
+#: Values of a series up to which one task holds them for its median.
+SMALL_SERIES = 1 << 17
 #: Shares of a series' values between which the median lies, and the accuracy with which Spark tells them.
 BRACKET, ACCURACY = (0.499, 0.501), 10_000
 
 
 def median(points: DataFrame, series: list[str], value: str, alias: str = "median") -> DataFrame:
-    """The exact median of each series, without a series' values in any task's memory.
+    """The exact median of each series, with no more than SMALL_SERIES of its values in a task's memory.
 
-    Approximate shares around the half bracket it; what lies below is counted, and only the distinct values
-    inside the bracket, a few thousandths of a large series, are ranked. A series of NULLs has a NULL.
+    Series are counted first. If none is larger, each is a group of its own. Otherwise, approximate shares around
+    the half bracket it; what lies below is counted, and only the distinct values inside the bracket, a few
+    thousandths of a large series, are ranked. A series of NULLs has a NULL.
     """
+    most = points.groupBy(*series).agg(F.count(value).alias("_n")).agg(F.max("_n").alias("most")).first()["most"]
+    if (most or 0) <= SMALL_SERIES:
+        return points.groupBy(*series).agg(F.median(F.col(value).cast("double")).alias(alias))
     keys = [f"_s{i}" for i in range(len(series))]
     rows = points.select(*(F.col(c).alias(k) for c, k in zip(series, keys, strict=True)), F.col(value).cast("double").alias("_v"))
     held = rows.groupBy(*keys).agg(F.percentile_approx("_v", list(BRACKET), ACCURACY).alias("_b"), F.count("_v").alias("_of"))
