@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import scalars as S
-from ..operators import bars, changes, constraints, market, paging, relational, timeseries
+from ..operators import bars, changes, constraints, market, paging, relational, rollups, segments, timeseries
 from ..scratch import fresh_path
-from ..sources import external, feeds, schemas, snapshots, tables
+from ..sources import external, feeds, keyed, schemas, snapshots, tables
 from ..streaming import feed_log, incremental, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -968,6 +968,78 @@ def page_after_by_zones(t):
     return paging.page_after(t.spark, _paged(t), ("1998-01-01 00:00:00", 0), 250)
 
 
+# Long series in pieces; kept rollups; appends that keep keys
+
+
+def _pieces(t, series: list[str]):
+    return segments.cut(t.events, series, ["ts", "event_id"], 12)
+
+
+@query(f"select event_id, round({_RATE}, 6) as derivative from events window w as (partition by event_type order by ts, event_id)")
+def pieces_derivative(t):
+    """Series of one event type each, over several tasks."""
+    return segments.derivative(_pieces(t, ["event_type"]), "ts", "value", tie=["event_id"]).select("event_id", F.round("derivative", 6).alias("derivative"))
+
+
+@query(
+    """select event_id, round(coalesce(sum(rise) over (order by ts, event_id rows unbounded preceding), 0), 4) as increase
+    from (select *, greatest(value - lag(value) over w, 0) * case when lag(value) over w is null then 0 else 1 end as rise from events window w as (order by ts, event_id))"""
+)
+def pieces_increase(t):
+    """All events as one series, over several tasks."""
+    return segments.increase(_pieces(t, []), ["ts", "event_id"], "value").select("event_id", F.round("increase", 4).alias("increase"))
+
+
+@query("select event_id, row_number() over (partition by event_type order by ts, event_id) as place from events")
+def pieces_places(t):
+    return segments.places(_pieces(t, ["event_type"]), ["ts", "event_id"]).select("event_id", "place")
+
+
+_ROLLED = ["count", "sum", "mean", "stddev", "min", "max", "spread", "first", "last", "distinct_approx"]
+_ROLLED_SQL = """select event_type, {} as window_start, count(value) as count, round(sum(value), 4) as sum, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as stddev, min(value) as min, max(value) as max,
+    max(value) - min(value) as spread, first(value order by ts, event_id) as first, last(value order by ts, event_id) as last, count(distinct user_id) as distinct_approx from events group by all"""
+
+
+def _rolled(t, every: str, offset: str | None = None):
+    """Hourly states that two batches of points are added to, the second one twice; windows of them."""
+    of = lambda rows: rollups.states(rows, ["event_type"], "ts", "value", ["event_id"], "user_id")
+    path, parts = fresh_path(t.spark, "rollup"), [t.events.where(F.col("event_id") % 3 == i) for i in range(3)]
+    rollups.create(of(parts[0]), path, ["event_type"])
+    for batch in (1, 2, 2):
+        rollups.add(of(parts[batch]), path, "events", batch)
+    done = rollups.finished(rollups.read(t.spark, path), ["event_type"], every, _ROLLED, offset)
+    return done.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "sum": F.round("sum", 4), "mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+
+
+@query(_ROLLED_SQL.format("date_trunc('day', ts)::timestamp"))
+def rollup_days(t):
+    return _rolled(t, "1 day")
+
+
+@query(_ROLLED_SQL.format("date_trunc('week', ts)::timestamp"))
+def rollup_weeks(t):
+    return _rolled(t, "7 days", "4 days")
+
+
+@query(
+    """select o_orderkey, null::bigint as o_custkey, null as reason from orders where false union all
+    select o_orderkey, o_custkey, null from orders where o_orderkey % 2 = 0 union all
+    select o_orderkey, o_custkey, case when o_orderkey % 2 = 0 then 'key present' when o_custkey % 5 = 0 then 'no row for o_custkey' end from orders union all
+    select o_orderkey, o_custkey, 'repeated key' from orders where o_orderkey % 7 = 0 union all select null, o_custkey, 'null key' from orders where o_orderkey % 11 = 0"""
+)
+def keyed_append(t):
+    """Half of the orders, then all of them and some twice or without a key, beside customers of which a fifth is missing: the table's rows and the refused ones."""
+    orders, customers = fresh_path(t.spark, "orders"), fresh_path(t.spark, "customers")
+    rows = t.orders.select("o_orderkey", "o_custkey")
+    snapshots.replace(t.customer.where("c_custkey % 5 <> 0").select("c_custkey", "c_name"), customers, snapshots.Layout(("c_custkey",), rows=20_000))
+    snapshots.replace(rows.where("o_orderkey % 2 = 0"), orders, snapshots.Layout(("o_orderkey",), rows=50_000))
+    for path in (customers, orders):
+        keyed.index(t.spark, path)
+    more = rows.unionByName(rows.where("o_orderkey % 7 = 0")).unionByName(rows.where("o_orderkey % 11 = 0").withColumn("o_orderkey", F.lit(None).cast("long")))
+    done = keyed.append(more, orders, {"o_custkey": customers})
+    return snapshots.snapshot(t.spark, orders).read().withColumn("reason", F.lit(None).cast("string")).unionByName(done.rejected)
+
+
 # Streams of JSON messages made of the events; every fiftieth line is broken
 
 

@@ -17,7 +17,7 @@ import os
 import uuid
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 from urllib.parse import unquote, urlparse
 
@@ -61,7 +61,7 @@ class Layout:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """One version of a table: number, manifest, layout and schema. Its files never change."""
+    """One version of a table: number, manifest, layout, schema and the last batch of each source. Its files never change."""
 
     spark: SparkSession
     path: str
@@ -69,6 +69,7 @@ class Snapshot:
     manifest_path: str
     layout: Layout
     schema: StructType
+    applied: dict[str, int] = field(default_factory=dict)
 
     def manifest(self) -> DataFrame:
         """file, place of its rows, rows, low and high (of the keys), and the version that it came with."""
@@ -145,7 +146,7 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
     said = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     stream.close()
     layout = Layout(**{k: tuple(v) if isinstance(v, list) else v for k, v in said["layout"].items()})
-    return Snapshot(spark, path, said["version"], said["manifest"], layout, StructType.fromJson(said["schema"]))
+    return Snapshot(spark, path, said["version"], said["manifest"], layout, StructType.fromJson(said["schema"]), said.get("applied", {}))
 
 
 def _grouped(rows: DataFrame, layout: Layout) -> DataFrame:
@@ -183,15 +184,18 @@ def _written(placed: DataFrame, path: str, layout: Layout) -> DataFrame:
     return counted.select(F.regexp_extract("_file", FILE, 1).alias("file"), *PLACE, "rows", "low", "high")
 
 
-def _commit(spark: SparkSession, path: str, layout: Layout, schema: StructType, base: Snapshot | None, added: DataFrame, gone: DataFrame | None) -> int:
+def _commit(spark: SparkSession, path: str, layout: Layout, schema: StructType, base: Snapshot | None, added: DataFrame, gone: DataFrame | None, applied: tuple[str, int] | None = None) -> int:
     """Put the next version: the newest manifest without the files of ``gone`` (all, if None) and with those of ``added``.
 
     If there are versions since ``base``, it goes on top of them, unless one took a file that this change has read or
-    wrote into a bucket that it writes to. A change of everything goes on top of none.
+    wrote into a bucket that it writes to. A change of everything goes on top of none. ``applied``: the
+    source and number of the batch that this is, which is left out if the newest version has it.
     """
     seen = base.version if base else 0
     while True:
         last = snapshot(spark, path) if versions(spark, path) else None
+        if last and applied and last.applied.get(applied[0], -1) >= applied[1]:
+            return last.version
         if last and last.version > seen and (gone is None or last.layout != layout or last.schema != schema or _overlap(last, seen, added, gone)):
             raise Conflict(f"version {last.version} of {path} changed the same buckets")
         number = (last.version if last else 0) + 1
@@ -199,7 +203,7 @@ def _commit(spark: SparkSession, path: str, layout: Layout, schema: StructType,
         whole = new if gone is None or last is None else last.manifest().join(gone.select("file"), "file", "left_anti").unionByName(new)
         name = f"manifest/{uuid.uuid4().hex}"
         whole.write.parquet(f"{path}/{name}")
-        said = {"version": number, "manifest": name, "layout": asdict(layout), "schema": schema.jsonValue()}
+        said = {"version": number, "manifest": name, "layout": asdict(layout), "schema": schema.jsonValue(), "applied": (last.applied if last else {}) | dict([applied] if applied else [])}
         if put_if_absent(spark, f"{path}/log/{number:020d}.json", json.dumps(said)):
             return number
 
@@ -229,8 +233,11 @@ def _filled(rows: DataFrame, path: str, layout: Layout) -> DataFrame:
     return _written(_placed(grouped, layout, _sizes(grouped, layout, None)), path, layout)
 
 
-def _touched(base: Snapshot, placed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Names and places of the files that hold a key of ``placed``, that belong to groups made anew, or that are many in a bucket which gets rows."""
+def _touched(base: Snapshot, placed: DataFrame, sizes: DataFrame, fresh: bool) -> DataFrame:
+    """Names and places of the files that hold a key of ``placed``, that belong to groups made anew, or that are many in a bucket which gets rows.
+
+    ``fresh``: no file holds one of the keys, so none is looked into.
+    """
     keys = list(base.layout.keys)
     manifest = base.manifest().select("file", *PLACE)
     anew = manifest.join(sizes.where("_anew").select("_group"), "_group", "left_semi")
@@ -241,7 +248,7 @@ def _touched(base: Snapshot, placed: DataFrame, sizes: DataFrame) -> DataFrame:
     files_of = Counter((r._group, r._bucket) for r in near)
     sure = [r for r in near if r._group in whole or files_of[r._group, r._bucket] >= MANY_FILES]
     found = [f"{base.path}/{r.file}" for r in set(near) - set(sure)]
-    if not found:
+    if not found or fresh:
         return base.spark.createDataFrame(sure, manifest.schema)
     held = _read(base.spark, found, base.schema).select(*keys, F.regexp_extract("_metadata.file_path", FILE, 1).alias("file"))
     wanted = placed.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
@@ -250,18 +257,18 @@ def _touched(base: Snapshot, placed: DataFrame, sizes: DataFrame) -> DataFrame:
     return base.spark.createDataFrame([*sure, *(r for r in near if r.file in hit and r not in sure)], manifest.schema)
 
 
-def _changed(base: Snapshot, new: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+def _changed(base: Snapshot, new: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], fresh: bool = False, applied: tuple[str, int] | None = None) -> int:
     """Commit what ``combine`` makes of the touched files' rows and the new ones."""
     layout = base.layout
     grouped = _grouped(new, layout)
     sizes = _sizes(grouped, layout, base.manifest())
     placed = stash(_placed(grouped, layout, sizes), "placed")
-    touched = _touched(base, placed, sizes)
+    touched = _touched(base, placed, sizes, fresh)
     old = base.read(touched)
     result = _grouped(combine(old, placed.drop(*PLACE)).select(base.schema.names), layout)
     # a group that is only touched keeps its buckets: sizes has all groups of the new rows, and touched files have no others
     added = _written(_placed(result, layout, sizes), base.path, layout)
-    return _commit(base.spark, base.path, layout, base.schema, base, added, touched)
+    return _commit(base.spark, base.path, layout, base.schema, base, added, touched, applied)
 
 
 def _tried(work: Callable[[], int], times: int) -> int:
@@ -283,6 +290,22 @@ def upsert(rows: DataFrame, path: str, version: str | None = None, times: int =
     return _tried(lambda: _changed(base := snapshot(spark, path), rows.select(base.schema.names), lambda old, new: upserted(old, new, list(base.layout.keys), version)), times)
 
 
+def combine(rows: DataFrame, path: str, how: Callable[[DataFrame, DataFrame], DataFrame], applied: tuple[str, int] | None = None, times: int = 5) -> int:
+    """Commit ``how`` of the rows of all files with a key of ``rows`` and of ``rows`` themselves.
+
+    ``applied``: a source and the number of its batch; a batch at or below the source's last one changes nothing.
+    """
+    spark = rows.sparkSession
+
+    def work() -> int:
+        base = snapshot(spark, path)
+        if applied and base.applied.get(applied[0], -1) >= applied[1]:
+            return base.version
+        return _changed(base, rows.select(base.schema.names), how, applied=applied)
+
+    return _tried(work, times)
+
+
 def merge_into(rows: DataFrame, path: str, key: str, matched=None, insert=None, missing=None, identity: str | None = None, times: int = 5) -> int:
     """Commit :func:`changes.merge` of ``rows`` into a table whose layout has ``key`` as its only key and no groups.
 
