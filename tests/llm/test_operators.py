@@ -713,3 +713,45 @@ def test_comments_as_articles_stay_asides():
     words = " ".join(["word"] * 60)
     page = f"<article><h1>A headline here</h1><p>{words}</p></article><div class='comments'><article class='comment'><p>{words} no</p></article></div>"
     assert "no" not in html_text.main_text(page, html_text.trained_tree()).split()
+
+
+TEXT = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("h", 6), ("a", 50), ("b", 54))]
+BODY = "<h1>{}</h1><p>{}</p><p>{}</p>".format(*TEXT)
+CARD = "<article><h3><a href=x>no no no</a></h3><p>" + "no " * 20 + "</p></article>"
+SAID = "<div><b>no no</b><p>" + "no " * 15 + "</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main><div>{BODY}</div><div>{CARD * 2}</div></main>",
+        f"<main><div>{BODY}</div><div>{CARD}</div></main>",
+        f"<div>{CARD * 4}</div><div class=story>{BODY}</div>",
+        f"<body><div class=wrap>{BODY}<div class=more>{CARD * 3}</div></div></body>",
+        f"<div>{BODY}</div><div class=reviews>{SAID * 3}</div>",
+        f"<article>{BODY}<section id=user-thoughts><h3>no</h3>{SAID * 2}</section></article>",
+        f"<article>{BODY}<section id=q17>{SAID * 2}<form>no</form></section></article>",
+        f"<main>{BODY}<ol>{SAID.replace('div', 'li') * 4}</ol></main>",
+        f"<article>{BODY}<div class=author-bio><p>no no no no</p></div></article>",
+    ],
+)
+def test_cards_and_threads_are_no_main_text(page):
+    assert html_text.main_text(page, html_text.trained_tree()) == " ".join(TEXT)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>{0}</h1><p>{1}</p></article><div><p>no</p></div>",
+        "<article><p>{0}</p></article><article><p>{1}</p></article>",
+        "<h1>{0}</h1><article><p>{1}</p></article>",
+    ],
+)
+def test_articles_that_are_no_cards_stay(page):
+    assert html_text.main_text(page.format(*TEXT), html_text.trained_tree()).endswith(TEXT[1])
+
+
+def test_entries_that_are_the_page_stay():
+    steps = [f"s{i} x" for i in range(4)], [" ".join(f"w{i}_{j}" for j in range(30)) for i in range(4)]
+    page = "<article><h1>how to do it</h1><p>in four steps</p>" + "".join(f"<div><div>{a}</div><p>{b}</p></div>" for a, b in zip(*steps, strict=True)) + "</article>"
+    assert html_text.main_text(page, html_text.trained_tree()) == "how to do it in four steps " + " ".join(f"{a} {b}" for a, b in zip(*steps, strict=True))

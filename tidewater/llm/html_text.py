@@ -40,13 +40,18 @@ ASIDE = frozenset("nav aside footer menu dialog button".split())
 WRAPS = frozenset("form fieldset header".split())
 #: Last or first words of class names, ids and roles of boilerplate; words that may follow a first one; words that turn a name into a layout's.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo complementary cookie cookies copyright discussion disqus feedback footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promotion reactions recommended related replies reply respond responses search share sharebar sharing sidebar signup social sponsor sponsored subscribe subscription teaser teasers toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements advertising banner bio breadcrumb breadcrumbs comment comments commentlist consent contentinfo complementary cookie cookies copyright discussion disqus feedback footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices opinions pagination popup promo promotion reactions recommended related replies reply respond responses reviews search share sharebar sharing sidebar signup social sponsor sponsored subscribe subscription teaser teasers testimonials thoughts toolbar widget widgets".split()
 )
 TAILS = frozenset(
     "area articles bar block body bottom box button buttons container content form group holder icons inner item items left link links list main menu message news outer panel post posts primary right row secondary section slot stories text thread title top unit wrap wrapper".split()
 )
 LAYOUT = frozenset("with has no non without free and content page layout".split())
 
+#: Elements that an entry of a thread may be.
+ENTRY = frozenset("div li article section blockquote dd".split())
+#: Most words of what an entry of a thread begins with, a name or a time.
+LABEL_WORDS = 6
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r""">|=\s*(["'])""")
 _EITHER = re.compile(r"[<>]")
@@ -258,25 +263,79 @@ def parse(page: str) -> tuple[list[Block], Elements]:
     return out, elements
 
 
-def _scope(found: list[Block], e: Elements, unlinked: list[int], off: list[bool]) -> set[int]:
-    """Elements that hold the page's article: outermost articles clear of boilerplate, else those with a headline, else main elements.
+def _threads(found: list[Block], e: Elements, unlinked: list[int], off: list[bool]) -> list[bool]:
+    """Elements that have the form of comments, whatever their names: most children with text are entries, at least two.
+
+    An entry begins with a short text, a name or a time, and goes on with a longer one; no headings stand in it. Before
+    a thread stand more words than in it, so a page whose text is a list of such entries keeps it.
+    """
+    size, n = len(e.name), len(found)
+    first, count, heads = [n] * size, [0] * size, [False] * size
+    before = [0] * (n + 1)  # plain words before a block
+    for at, b in enumerate(found):
+        first[b.element] = min(first[b.element], at)
+        count[b.element] += 1
+        heads[b.element] |= b.heading != ""
+        before[at + 1] = before[at] + (0 if off[b.element] else b.words - min(b.words, b.links))
+    for i in range(size - 1, 0, -1):
+        up = e.parent[i]
+        first[up], count[up], heads[up] = min(first[up], first[i]), count[up] + count[i], heads[up] or heads[i]
+    entries, others = [0] * size, [0] * size
+    for i in range(1, size):
+        if count[i]:
+            label = found[first[i]]
+            entry = e.name[i] in ENTRY and count[i] > 1 and not heads[i] and label.words <= LABEL_WORDS and found[first[i] + 1].words > label.words
+            entries[e.parent[i]] += entry
+            others[e.parent[i]] += not entry and e.name[i] not in HEADINGS and e.name[i] != "form"
+    return [0 < i and entries[i] > max(1, others[i]) and not e.headline[i] and before[first[i]] > unlinked[i] for i in range(size)]
+
+
+def _wrapped(found: list[Block], e: Elements, cards: set[int]) -> set[int]:
+    """Cards and the elements around them that have no other text but headings."""
+    other, holds = [0] * len(e.name), [i in cards for i in range(len(e.name))]
+    for b in found:
+        other[b.element] += not b.heading
+    for i in range(len(e.name) - 1, 0, -1):
+        other[e.parent[i]] += 0 if i in cards else other[i]
+        holds[e.parent[i]] |= holds[i]
+    return cards | {i for i in range(1, len(e.name)) if holds[i] and not other[i] and not e.headline[i]}
+
+
+def _scope(found: list[Block], e: Elements, unlinked: list[int], off: list[bool]) -> tuple[set[int], set[int]]:
+    """Elements that hold the page's article (outermost articles clear of boilerplate, else those with a headline, else main elements), and
+    articles that are cards of other articles.
 
-    They count only with a tenth of the words outside boilerplate, as cards of other articles may be articles too.
+    Articles are cards if more plain words than in the largest of them stand together outside of all, in the blocks around one element,
+    and either there are several, none with the page's headline, or the headline stands with those words. Otherwise articles
+    and main elements count with a tenth of the words outside boilerplate.
     """
     inside = [False] * len(e.name)  # in an article
+    within = [False] * len(e.name)  # is one or in one
     for i in range(1, len(e.name)):
         inside[i] = inside[e.parent[i]] or e.name[e.parent[i]] == "article"
+        within[i] = inside[i] or e.name[i] == "article"
     articles = [i for i, n in enumerate(e.name) if n == "article" and not inside[i] and not e.hinted[i]]
     plain = sum(b.words - min(b.words, b.links) for b in found if not off[b.element])
-    for some in ([i for i in articles if not off[i]], [i for i in articles if e.headline[i]], [i for i, m in enumerate(e.is_main) if m]):
+    region: Counter = Counter()
+    for b in found:
+        if not off[b.element] and not within[b.element]:
+            region[e.parent[b.element]] += b.words - min(b.words, b.links)
+    cards: set[int] = set()
+    if articles and region:
+        at, words = max(region.items(), key=lambda x: (x[1], -x[0]))
+        headed = [i for i in articles if e.headline[i]]
+        if words > max(unlinked[i] for i in articles) and not headed and (len(articles) > 1 or e.headline[at] and at):
+            cards = _wrapped(found, e, set(articles))
+    clear = [i for i in articles if not off[i] and i not in cards]
+    for some in (clear, [i for i in articles if e.headline[i]], [i for i, m in enumerate(e.is_main) if m]):
         if some and 10 * sum(unlinked[i] for i in some) >= plain and sum(unlinked[i] for i in some):
-            return set(some)
-    return set()
+            return set(some), cards
+    return set(), cards
 
 
 def features(found: list[Block], e: Elements) -> np.ndarray:
-    """A row for each block: words and link density of the block, its predecessor and its successor; in an
-    aside; named as boilerplate; in the page's article (1), outside it (-1) or no article found (0); before
+    """A row for each block: words and link density of the block, its two predecessors and its two successors; in an
+    aside or a card; named or formed as boilerplate; in the page's article (1), outside it (-1) or no article found (0); before
     the headline; heading."""
     n, size = len(found), len(e.name)
     unlinked = [0] * size
@@ -299,20 +358,23 @@ def features(found: list[Block], e: Elements) -> np.ndarray:
     off = [False] * size
     for i in range(1, size):
         off[i] = off[e.parent[i]] or hint(i) or aside(i, True)
-    scope = _scope(found, e, unlinked, off)
+    thread = _threads(found, e, unlinked, off)
+    for i in range(1, size):
+        off[i] = off[i] or off[e.parent[i]] or thread[i]
+    scope, cards = _scope(found, e, unlinked, off)
     flags = [(False, False, False)] * size
     for i in range(1, size):
         a, h, s = flags[e.parent[i]]
-        flags[i] = (False, False, True) if i in scope else (a or aside(i, s), h or hint(i), s)
+        flags[i] = (False, False, True) if i in scope else (a or i in cards or aside(i, s), h or thread[i] or hint(i), s)
     own = np.array([[b.words, min(1.0, b.links / b.words)] for b in found], float).reshape(n, 2)
-    around = np.zeros((n + 2, 2))
-    around[1:-1] = own
+    around = np.zeros((n + 4, 2))
+    around[2:-2] = own
     signs = np.array([flags[b.element] for b in found], float).reshape(n, 3)
     first = next((i for i, b in enumerate(found) if b.heading == "h1" and not signs[i, 0]), 0)
     if scope:
         signs[:, 2] = 2 * signs[:, 2] - 1
     rest = np.array([[i < first, b.heading != ""] for i, b in enumerate(found)], float).reshape(n, 2)
-    return np.concatenate([own, around[:-2], around[2:], signs, rest], axis=1)
+    return np.concatenate([own, around[1:-3], around[3:-1], around[:-4], around[4:], signs, rest], axis=1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 5):
@@ -403,6 +465,13 @@ LABELLED = (
     "<p>+{80}</p><p>+{1}</p><p>+{44}</p><p>+{2}</p>",
     "<div class='notice'><p>{18}</p></div><p>+{26}</p><p>+{3}</p><div class='sponsored'><p>{35}</p></div><p>+{31}</p>",
     "<form><p>{8}</p></form><p>+{36}</p><p>+{15}</p><aside><p>{50}</p></aside><p>+{29}</p><footer><p>{20}</p></footer>",
+    # cards of other articles beside the text, threads without telling names, neighbours that tell a short block's side
+    "<main><div><h1>+{6}</h1><p>+{50}</p><p>+{54}</p></div><div><article><h3>{5}</h3><p>{20}</p></article><article><h3>{4}</h3><p>{18}</p></article></div></main>",
+    "<nav><a>{2}</a></nav><div><h1>+{7}</h1><p>+{61}</p><p>+{3}</p><p>+{39}</p></div><article><h2>{4}</h2><p>{15}</p></article><article><h2>{6}</h2><p>{17}</p></article><article><h2>{3}</h2><p>{22}</p></article>",
+    "<main><h1>+{5}</h1><p>+{71}</p><p>+{48}</p><section><h2>{3}</h2><article><h3><a>{6}</a></h3><p>{21}</p></article></section></main>",
+    "<article><h1>+{5}</h1><p>+{66}</p><p>+{51}</p><section id='x'><div><b>{2}</b><p>{24}</p></div><div><b>{1}</b><p>{9}</p></div></section></article>",
+    "<div><h1>+{8}</h1><p>+{57}</p><p>+{72}</p></div><ul><li><div>{3}</div><p>{18}</p></li><li><div>{3}</div><p>{25}</p></li><li><div>{2}</div><p>{7}</p></li></ul>",
+    "<div><h1>+{6}</h1><p>+{12}</p><div><div>+{2}</div><p>+{40}</p></div><div><div>+{2}</div><p>+{33}</p></div></div><div><a>{2}</a></div>",
     "<header><h1>{3}</h1><p>{5}</p></header><nav><a>{1}</a></nav><h2>+{5}</h2><p>+{71}</p><p>+{38}</p><footer>{9}</footer>",
 )
 
