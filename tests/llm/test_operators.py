@@ -605,6 +605,16 @@ def test_neighbours_of_words(spark):
     assert got == {w: sorted(c.items()) for w, c in expected.items()}
 
 
+def test_counts_beyond_an_int(spark):
+    n = {2 * 4 + 3: 3 << 31, 2 * 4 + 2: (1 << 31) - 1, 3 * 4 + 2: 1 << 31}
+    lists = lm_score.listed(spark.createDataFrame(list(n.items()), "code long, n long"), 4).coalesce(1)
+    classes = np.array([0, 1, 2, 3])
+    w, counts, itself = lm_score._by_class(lists.toArrow().combine_chunks().to_batches()[0], classes, 4)
+    at = {x: i for i, x in enumerate(w.tolist())}
+    assert counts[at[2], 0].tolist() == [0, 0, (1 << 31) - 1, 3 << 31] and counts[at[2], 1].tolist() == [0, 0, (1 << 31) - 1, 1 << 31]
+    assert itself[at[2]] == (1 << 31) - 1 and counts[at[3], 0].tolist() == [0, 0, 1 << 31, 0]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_held_out_perplexity_is_below_the_unigrams(spark, seed):
     """Sentences of a small grammar, whose word order the classes have to find."""

@@ -120,11 +120,17 @@ def neighbours(texts: DataFrame, words: list[bytes]) -> DataFrame:
         at[1:-1] = np.fromiter(map(shared.value.get, tokens, repeat(UNKNOWN)), np.int64, len(tokens))
         return at[:-1] * size + at[1:]
 
-    counted = texts.mapInArrow(_coded_counts(codes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return listed(texts.mapInArrow(_coded_counts(codes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), size)
+
+
+def listed(counted: DataFrame, size: int) -> DataFrame:
+    """Lists of :func:`neighbours` from counts by code; a count that an int can't hold stands in several parts, whose sum it is."""
+    most = (1 << 31) - 1
+    parts = F.expr(f"transform(sequence(0, (n - 1) div {most}), i -> cast(least(n - i * {most}, {most}) as int))")
     a, b = F.expr(f"cast(code div {size} as int)"), F.expr(f"cast(code % {size} as int)")
     sides = F.array(F.struct(a.alias("w"), b.alias("o")), F.struct(b.alias("w"), (-a - 1).cast("int").alias("o")))
-    listed = counted.select(F.explode(sides).alias("x"), F.col("n").cast("int").alias("n")).select("x.w", F.struct("x.o", "n").alias("y"))
-    return listed.groupBy("w").agg(F.collect_list("y").alias("y")).select("w", F.col("y.o").alias("o"), F.col("y.n").alias("n"))
+    rows = counted.select("code", F.explode(parts).alias("n")).select(F.explode(sides).alias("x"), "n").select("x.w", F.struct("x.o", "n").alias("y"))
+    return rows.groupBy("w").agg(F.collect_list("y").alias("y")).select("w", F.col("y.o").alias("o"), F.col("y.n").alias("n"))
 
 
 def _g(x: np.ndarray) -> np.ndarray:
