@@ -35,6 +35,23 @@ def test_pieces_give_what_whole_series_give(points, pieces, series):
     same(segments.places(cut, ["t", "i"]).withColumn("place", F.col("place").cast("int")), timeseries.sorted_places(whole, by, "t", ["i"]).drop("one"))
 
 
+def test_rates_of_close_times_are_exact(spark):
+    """Three microseconds apart: seconds since 1970 as doubles would be a fifth of a microsecond off."""
+    rows = spark.createDataFrame([("a", 0, 1.0, "2024-01-31 23:59:59.123457"), ("a", 1, 4.0, "2024-01-31 23:59:59.123460")], "s string, i long, v double, t string").withColumn("t", F.col("t").cast("timestamp"))
+    cut = segments.cut(rows, ["s"], ["t", "i"], 2)
+    for made in (segments.derivative(cut, "t", "v", tie=["i"]), timeseries.derivative(rows, ["s"], "t", "v", tie=["i"])):
+        assert [r.derivative for r in made.orderBy("i").collect()] == [None, 3.0 / (3 / 1e6)]
+
+
+def test_rates_between_equal_times_as_numbers(spark):
+    """As SQL divides doubles by zero: events of one time that stay, rise and fall."""
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate((2.0, 2.0, 5.0, 1.0))], "s string, i long, v double").withColumn("t", F.expr("timestamp'2024-01-01'"))
+    cut = segments.cut(rows, ["s"], ["t", "i"], 3)
+    for made in (segments.derivative(cut, "t", "v", tie=["i"], instant=True), timeseries.derivative(rows, ["s"], "t", "v", tie=["i"], instant=True)):
+        assert [repr(r.d) for r in made.orderBy("i").select(F.round("derivative", 6).alias("d")).collect()] == ["None", "nan", "inf", "-inf"]
+    assert segments.derivative(cut, "t", "v", tie=["i"]).where("derivative is null").count() == 4
+
+
 def test_pieces_of_an_empty_table(points):
     assert segments.increase(segments.cut(points.limit(0), ["s"], ["t", "i"]), ["t", "i"], "v").count() == 0
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stash
+from .timeseries import micros, rate
 
 #: Rows that a range is meant for.
 ROWS = 1_000_000
@@ -55,15 +56,14 @@ def _earlier():
     return _pieces().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def derivative(cut_points: DataFrame, time: str, value: str, unit_seconds: float = 1.0, nonnegative: bool = False, tie: list[str] = (), alias: str = "derivative") -> DataFrame:
+def derivative(cut_points: DataFrame, time: str, value: str, unit_seconds: float = 1.0, nonnegative: bool = False, tie: list[str] = (), alias: str = "derivative", instant: bool = False) -> DataFrame:
     """Like :func:`timeseries.derivative`, of points that are :func:`cut` by time and ``tie``."""
     order, row = [time, *tie], F.struct(F.col(value).alias("v"), F.col(time).alias("t"))
     rows = cut_points.withColumn("_lag", F.lag(row).over(_inside(order)))
     rows = _carried(rows, [F.max_by(row, F.struct(*order)).alias("_last")], {"_row": F.lag("_last").over(_pieces())})
     before = F.coalesce("_lag", "_row")
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    rate = (F.col(value) - before["v"]) / F.nullif(seconds(F.col(time)) - seconds(before["t"]), F.lit(0.0)) * unit_seconds
-    return rows.withColumn(alias, F.when(rate >= 0, rate) if nonnegative else rate).drop(*_OWN, "_lag", "_row")
+    made = rate(F.col(value) - before["v"], micros(F.col(time)) - micros(before["t"]), unit_seconds, nonnegative, instant)
+    return rows.withColumn(alias, made).drop(*_OWN, "_lag", "_row")
 
 
 def increase(cut_points: DataFrame, order: list[str], value: str, alias: str = "increase") -> DataFrame:
