@@ -92,3 +92,19 @@ def test_run_on_empty_tables(spark, tmp_path):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_fingerprints_give_near_dedup_its_first_pairs(spark):
+    """Equal fingerprints meet their least node, those within two bits their least nodes; sizes that can't be alike don't."""
+    from tidewater.llm import simhash
+
+    nodes = spark.createDataFrame([(1, 0b1011, 10), (2, 0b1011, 10), (3, 0b1000, 11), (4, 0b111 << 40, 10), (5, 0b1011, 90)], "node long, fp long, n int")
+    assert {tuple(r) for r in simhash.print_pairs(nodes, 0.8).collect()} == {(1, 2), (1, 3)}
+
+
+def test_frequent_shingles_come_last_by_their_number():
+    from tidewater.llm import simhash
+
+    held, ranks = np.array([2, 5, 9]), np.array([40, 7, 20])
+    assert simhash._ordered_keys(np.array([1, 2, 5, 7, 9, 11]), held, ranks).tolist() == [1, 7, 11, 5, 9, 2]
+    assert simhash._ordered_keys(np.array([1, 2]), held[:0], ranks[:0]).tolist() == [1, 2]

@@ -170,9 +170,9 @@ def _shingles(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((h(b" ".join(words[i : i + width]), 42) for i in range(n)), "<u8", n)
 
 
-def _mixed(text: bytes, width: int) -> np.ndarray:
+def _mixed(shingles: np.ndarray) -> np.ndarray:
     """The set of a text's shingles as sorted hashes."""
-    return np.unique(_shingles(text, width) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return np.unique(shingles * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -182,18 +182,19 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Which of ``values`` are in the sorted ``held``, by binary search, as ``held`` may be far the longer."""
+def _ordered_keys(values: np.ndarray, held: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Sorted ``values`` by their rank, 0 for those that the sorted ``held`` has not, and then as they are; by binary search, as ``held`` may be far the longer."""
     if not len(held):
-        return np.zeros(len(values), bool)
-    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+        return values
+    at = np.minimum(np.searchsorted(held, values), len(held) - 1)
+    return values[np.argsort(np.where(held[at] == values, ranks[at], 0), kind="stable")]
 
 
-def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """``texts`` (_k1, _k2, text) as distinct nodes: node, _k1, n (shingles of the set) and keys, the first of the set.
+def _prefixes(texts: DataFrame, width: int, similarity: float, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``texts`` (_k1, _k2, text) as distinct nodes: node, _k1, fp (the SimHash fingerprint, as of :func:`text_fingerprint`), n (shingles of the set) and keys, the first of the set.
 
-    The order of shingles is that of their hashes with those in ``last`` (sorted) behind all others, the
-    same for all texts. Sets of ``similarity`` share at least ceil(similarity * n) shingles, so the least
+    The order of shingles is that of their hashes with those in ``last`` (sorted hashes, ranks) behind all others by
+    rank, the same for all texts. So what a near copy shares with other copies comes before what all of its group have. Sets of ``similarity`` share at least ceil(similarity * n) shingles, so the least
     of these is among the first n - ceil(similarity * n) + 1 of both. A text without words has the key 0.
     """
     shared = texts.sparkSession.sparkContext.broadcast(last)
@@ -201,29 +202,31 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, last: np.ndarray)
     def scan(batches):
         last = shared.value
         for batch in batches:
-            sizes, keys = [], []
+            prints, sizes, keys = [], [], []
             for text in as_bytes(batch.column(2)):
-                h = _mixed(text, width)
-                late = _among(h, last)
+                shingles = _shingles(text, width)
+                h = _mixed(shingles)
                 n = len(h)
+                prints.append(_majority(shingles))
                 sizes.append(n)
-                keys.append(np.concatenate([h[~late], h[late]])[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int32()), flat_lists(keys, pa.int64())], ["_k1", "_k2", "n", "keys"])
+                keys.append(_ordered_keys(h, *last)[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.int64))
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fp, pa.array(sizes, pa.int32()), flat_lists(keys, pa.int64())], ["_k1", "_k2", "fp", "n", "keys"])
 
     bounded_batches(texts.sparkSession)
-    found = texts.mapInArrow(scan, "_k1 long, _k2 long, n int, keys array<long>")
-    return found.groupBy(F.col("_k2").alias("node")).agg(F.min("_k1").alias("_k1"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    found = texts.mapInArrow(scan, "_k1 long, _k2 long, fp long, n int, keys array<long>")
+    return found.groupBy(F.col("_k2").alias("node")).agg(F.min("_k1").alias("_k1"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys"))
 
 
-def _frequent(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted shingle hashes of many distinct texts, at most FREQUENT, told from a sample; any choice gives the same links, at another cost."""
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes of many distinct texts, at most FREQUENT, and their ranks by how many, told from a sample; any choice gives the same links, at another cost."""
     sampled = texts.where(F.pmod("_k2", F.lit(SAMPLED)) == 0).dropDuplicates(["_k2"]).select("text")
 
     def count(batches):
         held: list[np.ndarray] = []
         for batch in batches:
             for text in as_bytes(batch.column(0)):
-                held.append(_mixed(text, width))
+                held.append(_mixed(_shingles(text, width)))
                 if sum(map(len, held)) > 1 << 20:
                     yield part(held)
         yield part(held)
@@ -244,8 +247,11 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
             break
         least = r.step
     if least is None:
-        return np.zeros(0, np.int64)
-    return np.sort(counts.where(step >= least).select("key").toArrow().column(0).to_numpy())
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    found = counts.where(step >= least).select("key", step.cast("short").alias("rank")).toArrow()
+    keys, ranks = (found.column(i).to_numpy() for i in range(2))
+    order = np.argsort(keys)
+    return keys[order], ranks[order]
 
 
 def prefix_nodes(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -308,6 +314,20 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("na"), high["n"].alias("nb"), low["p"].alias("pa"), high["p"].alias("pb")]
 
 
+def print_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose fingerprints are alike by :func:`near_links`: each node with the least of its fingerprint, and of two linked fingerprints their least nodes.
+
+    They are no more than nodes and links. Near copies of few changes are joined here, so that they needn't meet in large buckets.
+    """
+    me = F.struct("node", "n")
+    least = stash(nodes.groupBy("fp").agg(F.min(me).alias("least")), "fp")
+    same = split_join(nodes.select("fp", me.alias("x")), least, ["fp"]).select("x", F.col("least").alias("y"))
+    end = lambda c, n: least.select(F.col("fp").alias(c), F.col("least").alias(n))
+    near = near_links(least.select("fp")).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    both = same.unionByName(near).where("x.node <> y.node").where(_size_fits(F.col("x.n"), F.col("y.n"), similarity))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def small_pairs(found: DataFrame, in_bucket: int, similarity: float) -> DataFrame:
     """_BOTH and ``common``: the pairs of nodes of a fitting size that share keys of up to ``in_bucket`` members, and how many of these."""
     me = F.struct("node", "n", "p")
@@ -318,14 +338,14 @@ def small_pairs(found: DataFrame, in_bucket: int, similarity: float) -> DataFram
 
 
 def hub_pairs(large: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the members of ``large`` buckets with four of them: least, greatest, one by chance, and that of the fewest keys of its own.
+    """Pairs (a, b) of the members of ``large`` buckets with four of them: least, greatest, one by chance, and that whose keys have most members on the average.
 
-    In a group of near copies of one text, which are less like each other than like it, the last is that text.
+    In a group of near copies of one text, which are less like each other than like it, the last is meant to be that text, as it has none of the keys that a change makes.
     """
     mask = F.xxhash64("key")
     me = F.struct("node", "n", "p")
-    own = F.struct(F.col("p") - F.col("large"), -F.col("n"), "node")
-    hubs = large.groupBy("key").agg(F.min(me).alias("least"), F.max(me).alias("most"), F.min_by(me, F.col("node").bitwiseXOR(mask)).alias("chance"), F.min_by(me, own).alias("centre"))
+    shared = F.struct(-F.col("met") / F.col("p"), -F.col("n"), "node")
+    hubs = large.groupBy("key").agg(F.min(me).alias("least"), F.max(me).alias("most"), F.min_by(me, F.col("node").bitwiseXOR(mask)).alias("chance"), F.min_by(me, shared).alias("centre"))
     met = split_join(large, hubs.select("key", F.array_distinct(F.array("least", "most", "chance", "centre")).alias("hubs")), ["key"])
     met = met.select(me.alias("x"), F.explode("hubs").alias("y")).where("x.node <> y.node").where(_size_fits(F.col("x.n"), F.col("y.n"), similarity))
     return met.select(*_ordered(F.col("x"), F.col("y"))).select("a", "b").distinct()
@@ -398,8 +418,9 @@ def verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, s
 def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8, in_bucket: int = IN_BUCKET) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of texts with a Jaccard similarity of ``similarity`` or more.
 
-    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. No pair is missed:
-    two such texts share a prefix key (see :func:`_prefixes`). Keys of up to ``in_bucket`` members give
+    ``keyed``: columns _k1, _k2 and text; a node is a distinct text, named by _k2. SimHash fingerprints alike to 2 bits
+    give the first candidates. Sets of that similarity may differ in more bits, so prefix keys find the rest, and no pair is
+    missed: two such texts share one (see :func:`_prefixes`). Keys of up to ``in_bucket`` members give
     all their pairs. Of others, members leave that can't be alike to any of the sizes there; the rest meet
     four of them first, then all that are not yet joined meet each other. Every link is verified.
     """
@@ -407,13 +428,14 @@ def similar_links(keyed: DataFrame, width: int = 5, similarity: float = 0.8, in_
     nodes = prefix_nodes(keyed, width, similarity)
     found = stash(prefix_buckets(nodes), "buckets")
     large = found.where(F.col("members") > in_bucket)
-    per_node = large.groupBy("node").agg(F.count(F.lit(1)).alias("large"))
+    per_node = large.groupBy("node").agg(F.count(F.lit(1)).alias("large"), F.sum("members").alias("met"))
     large = stash(in_reach(large.join(per_node, "node"), similarity), "large")
     small = stash(small_pairs(found, in_bucket, similarity), "small")
     held = lambda c: per_node.select(F.col("node").alias(c), F.col("large").alias(f"l{c}"))
     near = small.join(held("a"), "a", "left").join(held("b"), "b", "left")
     near = _enough(near, F.col("common") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))), similarity)
-    links = verified(keyed, nodes, near.unionByName(hub_pairs(large, similarity)).distinct(), width, similarity)
+    first = near.unionByName(hub_pairs(large, similarity)).unionByName(print_pairs(nodes, similarity))
+    links = verified(keyed, nodes, first.distinct(), width, similarity)
     if large.isEmpty():
         return links
     more = stash(other_pairs(large, components(links), small, similarity), "more")
