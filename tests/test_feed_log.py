@@ -1,5 +1,6 @@
 """Growing logs as a stream: offsets, spans, rejects, restarts; bars before their window is closed."""
 
+import io
 import json
 import random
 
@@ -41,6 +42,35 @@ def test_every_whole_line_is_read_once(tmp_path, monkeypatch, seed, span, block)
     assert sorted(got) == sorted(expected)
 
 
+def test_a_large_batch_has_longer_spans_and_the_same_lines(tmp_path, monkeypatch):
+    monkeypatch.setattr(feed_log, "TASKS", 8, raising=False)
+    text = {n: "".join(f"{n}{i}\n" for i in range(k)) for n, k in (("a.log", 3000), ("b.log", 50))}
+    for name, lines in text.items():
+        (tmp_path / name).write_text(lines)
+    reader = feed_log.LogReader(str(tmp_path), 64)
+    end = reader.latestOffset()
+    spans = reader.partitions({}, end)
+    assert len(spans) <= 8 + 2 and max(s.end - s.start for s in spans) == sum(end.values()) // 8  # one more a file
+    assert [(f, x) for f, _, x in read_all(reader, {}, end)] == [(n, x) for n, lines in text.items() for x in lines.split()]
+    late = {"a.log": end["a.log"] - 100, "b.log": end["b.log"]}
+    assert {s.end - s.start for s in reader.partitions(late, end)} == {64, 36}  # a small batch keeps what was asked for
+    monkeypatch.setattr(feed_log, "SPAN", 128)
+    assert max(s.end - s.start for s in reader.partitions({}, end)) == 128
+
+
+def test_a_short_span_reads_little_of_its_file(tmp_path):
+    log, asked = io.BytesIO(b"0123456\n" * (1 << 18)), []
+
+    def read_at(n, at):
+        asked.append(n)
+        log.seek(at)
+        return log.read(n)
+
+    log.read_at = read_at
+    got = [x for _, lines in feed_log._lines(log, feed_log.Span("x", 1 << 10, 1 << 11, False)) for x in lines]
+    assert got == ["0123456"] * 128 and sum(asked) <= 1 << 17
+
+
 def test_logs_that_got_shorter_raise_and_no_folder_has_no_lines(tmp_path):
     reader = feed_log.LogReader(str(tmp_path / "none"), 10)
     assert reader.initialOffset() == {} and reader.latestOffset() == {}

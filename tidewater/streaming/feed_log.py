@@ -20,8 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from ..sources import schemas, snapshots
 from .live import split_corrupt
 
-#: Bytes of a file that one task reads, about, and that it holds at once.
-SPAN, BLOCK = 64 << 20, 1 << 20
+#: Bytes of a file that one task reads, about, and that it holds at once; bytes after a span's end, for its last line.
+SPAN, BLOCK, TAIL = 64 << 20, 1 << 20, 1 << 16
+#: So many tasks read a batch, about, before their spans are as long as SPAN.
+TASKS = 256
 
 
 @dataclass
@@ -39,7 +41,7 @@ class FeedLog(DataSource):
 
     The folder is one that the driver and all executors see, by any scheme that Arrow opens. Files only grow: one that
     got shorter raises, as lines would be lost. Names that begin with a dot or an underscore don't count.
-    Option ``span``: bytes that one task reads.
+    Option ``span``: bytes that one task reads; more, up to SPAN, in a batch of more than TASKS such spans.
     """
 
     @classmethod
@@ -70,13 +72,12 @@ class LogReader(DataSourceStreamReader):
         return {f.base_name: _whole_lines(files, f.path, f.size) for f in logs}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        spans = []
-        for file, to in end.items():
-            at = start.get(file, 0)
+        parts = [(file, start.get(file, 0), to) for file, to in end.items()]
+        for file, at, to in parts:
             if to < at:
                 raise ValueError(f"{file} is shorter than what was read of it")
-            spans += [Span(file, a, min(a + self.span, to), a == at) for a in range(at, to, self.span)]
-        return spans
+        span = max(self.span, min(SPAN, sum(to - at for _, at, to in parts) // TASKS))
+        return [Span(file, a, min(a + span, to), a == at) for file, at, to in parts for a in range(at, to, span)]
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         files, root = self._open()
@@ -107,7 +108,7 @@ def _lines(log, span: Span) -> Iterator[tuple[list[int], list[str]]]:
         skip = False
     read = at
     while at < span.end:
-        block = log.read_at(BLOCK, read)
+        block = log.read_at(min(BLOCK, max(TAIL, span.end - read)), read)
         if not block:
             return
         read += len(block)
