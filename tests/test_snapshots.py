@@ -48,6 +48,22 @@ def test_a_group_that_grows_gets_more_buckets(spark, path):
     assert read.count() == 2900 and read.distinct().count() == 2900
 
 
+def test_a_large_table_has_larger_buckets_instead_of_ever_more_files(spark, path, monkeypatch):
+    monkeypatch.setattr(snapshots, "BUCKETS", 8, raising=False)
+    snapshots.replace(numbers(spark, 0, 4000), path, Layout(("k",), rows=10))
+    count = lambda: len(snapshots.snapshot(spark, path).files())
+    assert 8 <= count() <= 16
+    snapshots.upsert(numbers(spark, 3900, 4100, 1.0), path)
+    snapshots.update_where(spark, path, {"v": F.col("v") + 5}, F.col("k") % 2 == 0)
+    snapshots.delete_where(spark, path, F.col("k") < 10)
+    values = {"v": changes.source("v")}
+    snapshots.merge_into(numbers(spark, 4099, 4101, 9.0), path, "k", matched=values, insert=values | {"k": changes.source("k")})
+    assert state(spark, path) == {k: 9.0 if k >= 4099 else (k >= 3900) + 5.0 * (k % 2 == 0) for k in range(10, 4101)} and count() <= 32
+    monkeypatch.setattr(snapshots, "ROWS", 20, raising=False)
+    snapshots.replace(numbers(spark, 0, 4000), path, Layout(("k",), rows=10))
+    assert count() > 200  # buckets are not made larger than that
+
+
 def test_many_small_files_of_a_bucket_are_put_together(spark, path, monkeypatch):
     monkeypatch.setattr(snapshots, "MANY_FILES", 3)
     snapshots.replace(numbers(spark, 0, 10), path, Layout(("k",)))

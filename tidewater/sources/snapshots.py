@@ -35,6 +35,8 @@ FILE = r"(data/[0-9a-f]{32}/[^/]+/[^/]+)$"
 #: A group's buckets are made anew when they hold so many times the rows they were meant for, and a bucket's files are put together when they are so many.
 GROWN, MANY_FILES = 4, 8
 PLACE = ["_group", "_buckets", "_bucket"]
+#: Rows of a bucket where a layout asks for no others, and so many buckets, about, a table has before these are made larger than asked for, up to as many rows.
+ROWS, BUCKETS = 1_000_000, 256
 
 
 class Conflict(Exception):
@@ -43,12 +45,15 @@ class Conflict(Exception):
 
 @dataclass(frozen=True)
 class Layout:
-    """How rows are dealt: by the values of ``by`` and the month of ``month`` into groups, by a hash of ``keys`` into buckets of about ``rows`` rows."""
+    """How rows are dealt: by the values of ``by`` and the month of ``month`` into groups, by a hash of ``keys`` into buckets of about ``rows`` rows.
+
+    A table that would have more than BUCKETS of them gets larger ones, up to ROWS, as each costs a file in every change that meets it.
+    """
 
     keys: tuple[str, ...]
     by: tuple[str, ...] = ()
     month: str | None = None
-    rows: int = 1_000_000
+    rows: int = ROWS
 
     def __post_init__(self):
         if not self.keys or not {*self.by, *([self.month] if self.month else [])} <= set(self.keys):
@@ -153,17 +158,29 @@ def _grouped(rows: DataFrame, layout: Layout) -> DataFrame:
     return rows.withColumn("_group", layout.group())
 
 
-def _sizes(grouped: DataFrame, layout: Layout, manifest: DataFrame | None) -> DataFrame:
-    """_group, _buckets (a power of two) and whether it changed, for the groups of new rows."""
+def _aim(layout: Layout, total: int) -> int:
+    """Rows of a bucket in a table of so many."""
+    return max(layout.rows, min(ROWS, -(-total // BUCKETS)))
+
+
+def _rows_of(manifest: DataFrame | None) -> int:
+    return (manifest.agg(F.sum("rows")).first()[0] or 0) if manifest is not None else 0
+
+
+def _sizes(grouped: DataFrame, layout: Layout, manifest: DataFrame | None) -> tuple[DataFrame, int]:
+    """_group, _buckets (a power of two) and whether it changed, for the groups of new rows; and the rows of a bucket."""
     more = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("more"))
+    counts = more.collect()
+    more = grouped.sparkSession.createDataFrame(counts, more.schema)
+    aim = _aim(layout, _rows_of(manifest) + sum(r.more for r in counts))
     if manifest is None:
         had = more.select("_group", F.lit(None).cast("int").alias("had"), F.lit(0).cast("long").alias("rows"))
     else:
         had = manifest.groupBy("_group").agg(F.max("_buckets").alias("had"), F.sum("rows").alias("rows"))
     both = more.join(had, "_group", "left").withColumn("all", F.col("more") + F.coalesce("rows", F.lit(0)))
-    asked = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("all") / layout.rows)))).cast("int")
-    buckets = F.when(F.col("had").isNull(), asked).when(F.col("all") > GROWN * layout.rows * F.col("had").cast("long"), F.greatest(asked, "had")).otherwise(F.col("had"))
-    return _listed(both.select("_group", buckets.alias("_buckets"), (F.col("had") != buckets).alias("_anew")))
+    asked = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("all") / aim)))).cast("int")
+    buckets = F.when(F.col("had").isNull(), asked).when(F.col("all") > GROWN * aim * F.col("had").cast("long"), F.greatest(asked, "had")).otherwise(F.col("had"))
+    return _listed(both.select("_group", buckets.alias("_buckets"), (F.col("had") != buckets).alias("_anew"))), aim
 
 
 def _placed(grouped: DataFrame, layout: Layout, sizes: DataFrame) -> DataFrame:
@@ -171,13 +188,13 @@ def _placed(grouped: DataFrame, layout: Layout, sizes: DataFrame) -> DataFrame:
     return rows.withColumn("_bucket", F.pmod(F.xxhash64(*layout.keys), F.col("_buckets").cast("long")).cast("int"))
 
 
-def _written(placed: DataFrame, path: str, layout: Layout) -> DataFrame:
+def _written(placed: DataFrame, path: str, layout: Layout, aim: int) -> DataFrame:
     """Write rows, a bucket a file, sorted by key; the manifest of the new files."""
     spark, name = placed.sparkSession, f"data/{uuid.uuid4().hex}"
     unit = F.lower(F.hex(F.xxhash64(*PLACE)))
     columns = [c for c in placed.columns if c not in PLACE]
     rows = placed.select(*columns, *PLACE, unit.alias("unit")).repartition("unit").sortWithinPartitions("unit", *layout.keys)
-    rows.write.option("maxRecordsPerFile", GROWN * layout.rows).partitionBy("unit").parquet(f"{path}/{name}")
+    rows.write.option("maxRecordsPerFile", GROWN * aim).partitionBy("unit").parquet(f"{path}/{name}")
     held = spark.read.schema(placed.select(*columns, *PLACE).schema).parquet(f"{path}/{name}").select(*layout.keys, *PLACE, F.col("_metadata.file_path").alias("_file"))
     key = F.struct(*layout.keys)
     counted = held.groupBy("_file", *PLACE).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
@@ -230,7 +247,8 @@ def replace(rows: DataFrame, path: str, layout: Layout) -> int:
 
 def _filled(rows: DataFrame, path: str, layout: Layout) -> DataFrame:
     grouped = _grouped(rows, layout)
-    return _written(_placed(grouped, layout, _sizes(grouped, layout, None)), path, layout)
+    sizes, aim = _sizes(grouped, layout, None)
+    return _written(_placed(grouped, layout, sizes), path, layout, aim)
 
 
 def _touched(base: Snapshot, placed: DataFrame, sizes: DataFrame, fresh: bool) -> DataFrame:
@@ -261,13 +279,13 @@ def _changed(base: Snapshot, new: DataFrame, combine: Callable[[DataFrame, DataF
     """Commit what ``combine`` makes of the touched files' rows and the new ones."""
     layout = base.layout
     grouped = _grouped(new, layout)
-    sizes = _sizes(grouped, layout, base.manifest())
+    sizes, aim = _sizes(grouped, layout, base.manifest())
     placed = stash(_placed(grouped, layout, sizes), "placed")
     touched = _touched(base, placed, sizes, fresh)
     old = base.read(touched)
     result = _grouped(combine(old, placed.drop(*PLACE)).select(base.schema.names), layout)
     # a group that is only touched keeps its buckets: sizes has all groups of the new rows, and touched files have no others
-    added = _written(_placed(result, layout, sizes), base.path, layout)
+    added = _written(_placed(result, layout, sizes), base.path, layout, aim)
     return _commit(base.spark, base.path, layout, base.schema, base, added, touched, applied)
 
 
@@ -338,7 +356,8 @@ def _rewritten(spark: SparkSession, path: str, condition: Column, change: Callab
             return base.version
         sizes = touched.select("_group", "_buckets").distinct()
         result = _grouped(change(base.read(touched)), base.layout)
-        return _commit(spark, path, base.layout, base.schema, base, _written(_placed(result, base.layout, sizes), path, base.layout), touched)
+        added = _written(_placed(result, base.layout, sizes), path, base.layout, _aim(base.layout, _rows_of(base.manifest())))
+        return _commit(spark, path, base.layout, base.schema, base, added, touched)
 
     return _tried(work, times)
 
