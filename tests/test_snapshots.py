@@ -64,6 +64,12 @@ def test_a_large_table_has_larger_buckets_instead_of_ever_more_files(spark, path
     assert count() > 200  # buckets are not made larger than that
 
 
+def test_a_table_without_groups_is_dealt_without_a_product(spark):
+    sizes = spark.createDataFrame([("", 4)], "_group string, _buckets int")
+    placed = snapshots._placed(snapshots._grouped(numbers(spark, 0, 100), Layout(("k",))), Layout(("k",)), sizes)
+    assert placed.count() == 100 and "CartesianProduct" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_small_files_of_a_bucket_are_put_together(spark, path, monkeypatch):
     monkeypatch.setattr(snapshots, "MANY_FILES", 3)
     snapshots.replace(numbers(spark, 0, 10), path, Layout(("k",)))

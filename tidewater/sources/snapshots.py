@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import changes
-from ..operators.relational import split_join
 from ..operators.timeseries import upserted
 from ..scratch import stash
 
@@ -184,7 +183,8 @@ def _sizes(grouped: DataFrame, layout: Layout, manifest: DataFrame | None) -> tu
 
 
 def _placed(grouped: DataFrame, layout: Layout, sizes: DataFrame) -> DataFrame:
-    rows = split_join(grouped, sizes.select("_group", "_buckets"), ["_group"])
+    # the sizes are broadcast: Spark makes a product of a join by one group's constant, which does the rows' work again for each partition of the sizes
+    rows = grouped.join(F.broadcast(sizes.select("_group", "_buckets")), "_group")
     return rows.withColumn("_bucket", F.pmod(F.xxhash64(*layout.keys), F.col("_buckets").cast("long")).cast("int"))
 
 
