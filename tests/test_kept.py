@@ -1,9 +1,11 @@
 """Series in pieces, kept rollups and appends that keep keys."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import rollups, segments, timeseries
+from tidewater.plans import registry
 from tidewater.sources import keyed, snapshots
 from tidewater.sources.snapshots import Layout
 
@@ -52,6 +54,24 @@ def test_rates_between_equal_times_as_numbers(spark):
     assert segments.derivative(cut, "t", "v", tie=["i"]).where("derivative is null").count() == 4
 
 
+def test_rates_halfway_between_decimals_round_as_in_sql(spark, tmp_path):
+    """16.1846875 in doubles, times a million, lies below its half; the others are what rounding must leave as it is."""
+    steps = [(517.91, 32_000_000), (-517.91, 32_000_000), (0.0, 7), (133.01, 32_000_000), (9.0, 0), (-4.0, 0), (0.0, 0), (1e305, 1), (-1e305, 3), (0.01, 10**12), (123.45, 1)]
+    values, times = [0.0], [0]
+    for rise, took in steps:
+        values.append(values[-1] + rise)
+        times.append(times[-1] + took)
+    start = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, us / 1e6)"
+    rows = spark.createDataFrame([(i, 1, "a", v, t) for i, (v, t) in enumerate(zip(values, times, strict=True))], "event_id long, user_id long, event_type string, value double, us long")
+    rows.withColumn("ts", F.expr(start)).drop("us").write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("pieces_derivative", "agg_derivative", "agg_nonnegative_derivative"):
+        expected = sorted(duck.execute(registry.ORACLE_SQL[name]).fetchall())
+        assert [repr(r[1]) for r in expected[1:3]] == ["16.184687", "None" if "nonnegative" in name else "-16.184687"]
+        assert repr(sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))) == repr(expected)
+
+
 def test_pieces_of_an_empty_table(points):
     assert segments.increase(segments.cut(points.limit(0), ["s"], ["t", "i"]), ["t", "i"], "v").count() == 0
 

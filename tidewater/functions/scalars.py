@@ -52,6 +52,15 @@ def now_to_second() -> Column:
     return to_second(F.current_timestamp())
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double to so many decimals as SQL's doubles round: times a power of ten, to the nearest whole number, divided again.
+
+    ``F.round`` takes a double by its decimal text, where other doubles stand halfway between two results.
+    """
+    made = F.round(c * 10.0**digits, 0) / 10.0**digits
+    return F.when(F.abs(made) == float("inf"), c).otherwise(made)
+
+
 def pages(rows: Column, size: int) -> Column:
     """Number of pages of ``size`` rows."""
     return F.ceil(rows / size).cast("bigint")
